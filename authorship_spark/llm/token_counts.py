@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import ready, text_of
 from .words import WordMemory
 
-#: Between two pre-tokens no piece of the vocabulary can reach: checked by _Pieces.
-_WORDS = re.compile(r"\n|▁*[^▁\n]+|▁+")
+#: Pre-tokens end before a space, after a letter that no letter follows, and around a
+#: line's end. No piece may reach over such a border: _Pieces checks its vocabulary.
+_WORDS = re.compile(r"\n|▁*(?:[^\w▁\n]|[\d_²])*[^\W\d_²]+|▁*(?:[^\w▁\n]|[\d_²])+|▁+")
 _NONE = np.iinfo(np.int64).max
 
 
@@ -35,7 +36,7 @@ class _Pieces:
         n = model.vocab_size()
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         names = {model.id_to_piece(i): i for i in plain}
-        if any("▁" in p.lstrip("▁") or ("\n" in p and p != "\n") for p in names):
+        if any(_WORDS.findall(p) != [p] for p in names):
             raise ValueError("pieces reach over word borders: this model can't be split into words")
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         rank = np.full(n, _NONE, np.int64)
@@ -46,7 +47,10 @@ class _Pieces:
                 last, value = model.get_score(i), value + 1
             rank[i] = value
         self.n = n
-        self.char = {p: i for p, i in names.items() if len(p) == 1}
+        self.char = np.full(0x110000, -1, np.int64)
+        for p, i in names.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
         left, right, whole = [], [], []
         for p, i in names.items():
             for k in range(1, len(p)):
@@ -75,13 +79,12 @@ class _Pieces:
 
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each word."""
-        chars = list("".join(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        sym = np.fromiter((self.char.get(c, -1) for c in chars), np.int64, len(chars))
+        sym = self.char[chars]
         seq = np.repeat(np.arange(len(words)), sizes)
-        cost = np.ones(len(chars), np.int64)
-        odd = np.flatnonzero(sym < 0)
-        cost[odd] = [len(chars[i].encode()) for i in odd]
+        # a character that the vocabulary lacks is as many tokens as it has bytes
+        cost = np.where(sym < 0, 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF), 1)
         out = np.zeros(len(words), np.int64)
         rank, whole = np.full(len(sym), _NONE, np.int64), np.zeros(len(sym), np.int64)
         if len(sym) > 1:
@@ -111,7 +114,7 @@ class _Pieces:
             at = hit - np.cumsum(gone)[hit]
             keep = ~gone
             sym, seq, cost, rank, whole = sym[keep], seq[keep], cost[keep], rank[keep], whole[keep]
-            touched = np.unique(np.r_[at, at[at > 0] - 1])
+            touched = np.r_[at, at[at > 0] - 1]  # a place may come twice, with one result
             rank[touched] = _NONE
             touched = touched[touched < len(sym) - 1]
             touched = touched[seq[touched] == seq[touched + 1]]
