@@ -129,7 +129,7 @@ class ByteBpe:
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
     bpe, split = ByteBpe(load_ranks(path)), regex.compile(pattern)
-    memory = WordMemory(lambda words: bpe.encode_words([w.encode() for w in words]), limit=250_000)
+    memory = WordMemory(lambda words: bpe.encode_words([w.encode() for w in words]), limit=400_000)
     return bpe, split.findall, memory
 
 

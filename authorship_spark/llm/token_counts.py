@@ -125,7 +125,7 @@ class _Pieces:
 @lru_cache(maxsize=2)
 def _memory(path: str) -> WordMemory:
     pieces = _Pieces(path)
-    return WordMemory(lambda words: pieces.count(words).tolist())
+    return WordMemory(lambda words: pieces.count(words).tolist(), limit=800_000)
 
 
 def _split(text: str) -> list[str]:
