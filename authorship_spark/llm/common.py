@@ -20,6 +20,7 @@ def ready(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
@@ -29,9 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may lack the setting; it then gets a folder of its own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if at:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(at)
         return at
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
