@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, kdtree, packing, token_counts
+from . import byte_bpe, chat_format, jaccard_join, kdtree, packing, token_counts
 from .common import table
 
 #: Where the public vocabularies lie; files are named by each query.
@@ -94,6 +94,27 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
+#: Pairs of documents with five-word shingles of Jaccard similarity 0.8 or more, and their groups.
+NEAR_SQL = """
+t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM {source}),
+u AS (SELECT doc_id, w, len(w) AS k FROM t WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, CASE WHEN k < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS s
+      FROM (SELECT doc_id, w, k, unnest(range(1, greatest(k - 4, 1) + 1)) AS i FROM u)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+near AS (SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id)) AS class_id,
+         CAST((SELECT count(*) FROM e WHERE e.x = d.doc_id) AS BIGINT) AS n_links FROM {source} d)
+"""
+
+OP10_SQL = "WITH RECURSIVE " + NEAR_SQL.replace("{source}", "documents") + "SELECT doc_id, class_id, n_links FROM near"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
@@ -101,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": op6_chat_format,
         "op5_token_counts": op5_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
@@ -108,4 +130,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk_search": OP1_SQL,
         "op6_chat_format": OP6_SQL,
+        "op10_jaccard_join": OP10_SQL,
     }
