@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, kdtree, packing, token_counts
-from .common import table
+from . import byte_bpe, chat_format, jaccard_join, kdtree, line_dedup, packing, spotsigs, token_counts
+from .common import table, text_of
 
 #: Where the public vocabularies lie; files are named by each query.
 VOCABULARY: Callable[[str], str] = public_tokenizers.path
@@ -94,6 +94,63 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    after = spotsigs.following(docs).withColumnRenamed("id", "doc_id")
+    others = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other")).dropDuplicates(["next"])
+    pairs = docs.join(after, "doc_id", "left").join(others, "next", "left").withColumn("other", F.coalesce("other", F.lit("")))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("other", F.lit(1), half))
+    rows = pairs.select("doc_id", "text", "other", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.signatures(F.col("text")).alias("a"),
+        spotsigs.signatures(F.col("edited")).alias("b"),
+        spotsigs.signatures(F.col("other")).alias("c"),
+    )
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        spotsigs.fingerprint(F.col("a")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("b")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("a"), F.col("b")).alias("near_edited"),
+        spotsigs.likeness(F.col("a"), F.col("c")).alias("near_next"),
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
+#: The template tree over {source}: what is left of each document's text.
+LINES_SQL = """
+li AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM {source}),
+lo AS (SELECT doc_id, unnest(range(0, len(a))) AS line, unnest(a) AS raw FROM li),
+lm AS (SELECT doc_id, line, raw, regexp_replace(trim(raw), '[^\\s0-9]*[0-9]\\S*', '<*>', 'g') AS template FROM lo),
+lf AS (SELECT doc_id, min(md5(template)) AS family FROM lm WHERE template <> '' GROUP BY doc_id),
+ln AS (SELECT doc_id, line, template, family, string_split(template, ' ') AS tokens, (len(string_split(template, ' ')), string_split(template, ' ')[1:3]) AS leaf
+       FROM lm JOIN lf USING (doc_id) WHERE template <> ''),
+lr AS (SELECT leaf, count(DISTINCT template) AS templates FROM ln GROUP BY leaf HAVING count(DISTINCT template) >= 8),
+lp AS (SELECT leaf, template, templates, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS token
+       FROM (SELECT DISTINCT leaf, template, tokens, templates FROM ln JOIN lr USING (leaf))),
+lc AS (SELECT leaf, pos, token FROM lp GROUP BY leaf, pos, token HAVING count(*) >= 0.3 * max(templates)),
+lg AS (SELECT p.leaf, p.template, string_agg(CASE WHEN c.pos IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.pos) AS general
+       FROM lp p LEFT JOIN lc c ON p.leaf = c.leaf AND p.pos = c.pos AND p.token = c.token
+       GROUP BY p.leaf, p.template HAVING count(c.pos) >= 0.6 * count(*)),
+lt AS (SELECT ln.*, coalesce(lg.general, ln.template) AS general FROM ln LEFT JOIN lg ON ln.leaf = lg.leaf AND ln.template = lg.template),
+ld AS (SELECT general, min((doc_id, line)) AS first FROM lt GROUP BY general HAVING count(DISTINCT family) >= 4),
+lx AS (SELECT doc_id, line FROM lt JOIN ld USING (general) WHERE (doc_id, line) <> first),
+lines_left AS (SELECT m.doc_id, coalesce(string_agg(CASE WHEN x.line IS NULL THEN m.raw END, chr(10) ORDER BY m.line), '') AS text, CAST(count(x.line) AS BIGINT) AS lines_dropped
+       FROM lm m LEFT JOIN lx x ON m.doc_id = x.doc_id AND m.line = x.line GROUP BY m.doc_id)
+"""
+
+OP9_SQL = "WITH " + LINES_SQL.replace("{source}", "documents") + "SELECT doc_id, text, lines_dropped FROM lines_left"
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
 
@@ -122,6 +179,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": op6_chat_format,
         "op5_token_counts": op5_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_fingerprints": op8_fingerprints,
+        "op9_line_dedup": op9_line_dedup,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
@@ -130,5 +189,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk_search": OP1_SQL,
         "op6_chat_format": OP6_SQL,
+        "op9_line_dedup": OP9_SQL,
         "op10_jaccard_join": OP10_SQL,
     }
