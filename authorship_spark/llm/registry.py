@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, kdtree, line_dedup, packing, spotsigs, token_counts
+from . import byte_bpe, chat_format, jaccard_join, kdtree, line_dedup, packing, pii, spotsigs, token_counts, toxicity
 from .common import table, text_of
 
 #: Where the public vocabularies lie; files are named by each query.
@@ -34,6 +34,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY("byte_bpe_50k.json"))
 
 
+#: The key of the registered queries; a real corpus needs a secret one of its own.
+PII_KEY = "registered-query"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.replace_entities(table(spark, sf_dir, "documents"), key=PII_KEY)
+    return docs.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon, weights = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, lexicon, weights)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "clauses")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY("piece_bpe_32k.model"))
 
@@ -176,6 +192,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
         "op2_packing": op2_packing,
+        "op3_pii": op3_pii,
+        "op4_toxicity": op4_toxicity,
         "op6_chat_format": op6_chat_format,
         "op5_token_counts": op5_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
