@@ -45,7 +45,7 @@ MAX_LABELLED = 10_000
 #: A learned word stands in this share of the toxic documents (and in four)...
 COVER = 0.015
 #: ...and is so much more likely there than elsewhere.
-LIFT = 20.0
+LIFT = 100.0
 MAX_LEXICON = 5_000
 #: Documents get label 1 from this score on.
 CUT = 0.3
@@ -184,19 +184,26 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     starts = F.transform(F.sequence(F.lit(PREFIXES.start), F.least(F.length("word") - 1, F.lit(PREFIXES.stop - 1))), lambda k: F.concat(F.left("word", k), F.lit("*")))
     forms = F.when(F.length("word") > PREFIXES.start, F.concat(F.array("word"), starts)).otherwise(F.array("word"))
     formed = counted.select("bad", "all", F.explode(forms).alias("form")).groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
-    lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("all") - F.col("bad") + 0.5) / (good + 1))
+    lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("all") - F.col("bad") + 0.25) / (good + 1))
     told = formed.where((F.col("bad") >= max(4, COVER * bad)) & (lift >= LIFT)).withColumn("lift", lift)
     return {r["form"]: 1.0 for r in told.orderBy(F.desc("lift"), F.desc("bad"), "form").limit(MAX_LEXICON).collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """Logistic weights by Newton steps, drawn to PRIOR."""
+    """Logistic weights by Newton steps, drawn to PRIOR; a step that does harm is halved."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + strength / 2 * ((w - PRIOR) ** 2).sum())
+
     w = PRIOR.copy()
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (y - p) - strength * (w - PRIOR)
         bend = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
+        step, now = np.linalg.solve(bend, slope), loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-8:
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -240,5 +247,15 @@ def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, id_co
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
+def score_rows(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, and score, clauses and predicted beside them (see score)."""
+    ready(docs.sparkSession)
+    lex = tuple(sorted(lexicon.items()))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_of(text_col).alias("_text"))
+    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, score double, clauses array<string>"
+    scored = rows.mapInArrow(lambda it: _read_batches(it, lex, weights), schema)
+    return scored.select("_row.*", "score", "clauses", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
