@@ -32,7 +32,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _each(df: DataFrame, array: str, value: str = "value") -> DataFrame:
-    return df.select("doc_id", F.posexplode(array).alias("idx", value))
+    return df.select("doc_id", F.posexplode_outer(array).alias("idx", value)).where("idx IS NOT NULL")
 
 
 def _r(c: str, name: str | None = None):

@@ -22,13 +22,13 @@ DROPPED = {"c3": 150, "w": 120}
 def sides(pairs: DataFrame) -> DataFrame:
     """Two rows per pair: (doc_a, doc_b, side, doc_id)."""
     both = F.array(F.struct(F.lit(1).alias("side"), F.col("doc_a").alias("doc_id")), F.struct(F.lit(2).alias("side"), F.col("doc_b").alias("doc_id")))
-    return pairs.select(*PAIR, F.explode(both).alias("s")).select(*PAIR, "s.side", "s.doc_id")
+    return pairs.select(*PAIR, F.explode_outer(both).alias("s")).select(*PAIR, "s.side", "s.doc_id")
 
 
 def profile_align(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc_a, doc_b, kind, gram, r1, r2, own1, own2): the key union, 0 on the side that lacks a gram."""
     rows = sides(pairs).join(packed, "doc_id").repartition(*PAIR)
-    rows = rows.select(*PAIR, "kind", "side", F.explode("prof").alias("p"))
+    rows = rows.select(*PAIR, "kind", "side", F.explode_outer("prof").alias("p"))
     side = lambda s, value, rest: F.sum(F.when(F.col("side") == s, value).otherwise(rest))
     return rows.groupBy(*PAIR, "kind", "p.gram").agg(
         side(1, F.col("p.rel"), 0.0).alias("r1"), side(2, F.col("p.rel"), 0.0).alias("r2"),

@@ -52,7 +52,7 @@ def documents(corpus: DataFrame, compose: bool = True) -> DataFrame:
 
 def script_counts(corpus: DataFrame) -> DataFrame:
     """(doc_id, script, n): letters of each script; letters of no known script are left out."""
-    letters = corpus.select("doc_id", F.explode(F.split(F.regexp_replace("text", r"[^\p{L}]", ""), "")).alias("letter")).where("letter <> ''")
+    letters = corpus.select("doc_id", F.explode_outer(F.split(F.regexp_replace("text", r"[^\p{L}]", ""), "")).alias("letter")).where("letter <> ''")
     counted = letters.groupBy("doc_id", "letter").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("script", script_of(F.col("letter"))).where("script IS NOT NULL").groupBy("doc_id", "script").agg(F.sum("n").alias("n"))
 
@@ -81,5 +81,5 @@ def split_chunks(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"cut{i}", F.when(F.col("k") > i, cut))
     ends = F.filter(F.array("cut1", "cut2", "cut3", "size"), lambda x: x.isNotNull())
     spans = F.zip_with(F.concat(F.array("cut0"), ends), ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    rows = rows.select("doc_id", "text", F.posexplode(F.filter(spans, lambda s: s["end"] > s["start"])).alias("chunk_no", "span"))
+    rows = rows.select("doc_id", "text", F.posexplode_outer(F.filter(spans, lambda s: s["end"] > s["start"])).alias("chunk_no", "span"))
     return rows.select("doc_id", "chunk_no", F.substring("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("text"))

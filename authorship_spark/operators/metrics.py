@@ -52,7 +52,7 @@ def cosine_delta(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     chunks = split_chunks(docs)
     words = tokens(chunks.withColumnRenamed("doc_id", "whole").withColumn("doc_id", F.col("whole") * 4 + F.col("chunk_no")), compose=False)
-    words = words.select("whole", "doc_id", F.size("words").alias("size"), F.explode("words").alias("gram"))
+    words = words.select("whole", "doc_id", F.size("words").alias("size"), F.explode_outer("words").alias("gram")).where("gram IS NOT NULL")
     shares = words.groupBy("whole", "doc_id", "gram").agg((F.count(F.lit(1)) / F.max("size")).alias("rel"))
     held = shares.groupBy("whole", "gram").agg(F.collect_list("rel").alias("rels")).groupBy("whole").agg(F.collect_list(F.struct("gram", "rels")).alias("prof"))
     held = held.withColumnRenamed("whole", "doc_id").join(docs.select("doc_id", chunk_number(F.col("word_count")).alias("k")), "doc_id")
@@ -60,7 +60,7 @@ def cosine_delta(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     every = Window.partitionBy(*PAIR)
     size = lambda s: F.max(F.when(F.col("side") == s, F.col("k"))).over(every)
     rows = rows.withColumn("n1", size(1)).withColumn("n2", size(2)).where("n1 IS NOT NULL AND n2 IS NOT NULL")
-    rows = rows.select(*PAIR, "side", "n1", "n2", F.explode("prof").alias("p"))
+    rows = rows.select(*PAIR, "side", "n1", "n2", F.explode_outer("prof").alias("p"))
     of = lambda s: F.flatten(F.collect_list(F.when(F.col("side") == s, F.array_sort("p.rels"))))
     rows = rows.groupBy(*PAIR, "n1", "n2", "p.gram").agg(of(1).alias("x"), of(2).alias("y"))
     n = F.col("n1") + F.col("n2")
@@ -103,7 +103,7 @@ def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True) -> Da
     ``docs`` has the columns of documents(); only documents of some pair are profiled.
     a and b are structs of the documents' counts, script and text digest.
     """
-    ids = pairs.select(F.explode(F.array(*PAIR)).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode_outer(F.array(*PAIR)).alias("doc_id")).distinct()
     docs = docs.join(ids, "doc_id", "left_semi")
     flat, packed = features(docs)
     extra = tuple(c for c in ("dominant_script",) if c in docs.columns)
@@ -146,7 +146,7 @@ def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True) -> Da
 def extract(rows: DataFrame) -> DataFrame:
     """Long form of ``distances``: doc_a, doc_b, metric_no, metric, distance, weight, neutral, contribution."""
     each = F.array(*(F.struct(F.lit(i).alias("metric_no"), F.lit(m).alias("metric"), F.col(m.lower()).alias("d"), F.lit(w).alias("weight")) for i, (m, w) in enumerate(WEIGHTS.items(), 1)))
-    long = rows.select(*PAIR, F.explode(each).alias("x")).select(*PAIR, "x.*")
+    long = rows.select(*PAIR, F.explode_outer(each).alias("x")).select(*PAIR, "x.*")
     long = long.select(*PAIR, "metric_no", "metric", F.coalesce("d", F.lit(0.5)).alias("distance"), "weight", F.col("d").isNull().alias("neutral"))
     return long.withColumn("contribution", F.col("distance") * F.col("weight"))
 

@@ -22,7 +22,7 @@ def pairs_blocked(docs: DataFrame, block: tuple[str, ...] = ("lang", "source"),
     order = Window.partitionBy(*block).orderBy("doc_id")
     nexts = F.array(*(F.lead("doc_id", k).over(order) for k in range(1, window + 1)))
     rows = docs.select("doc_id", *block).withColumn("nexts", nexts)
-    return rows.select(F.col("doc_id").alias("doc_a"), F.explode("nexts").alias("doc_b")).where("doc_b IS NOT NULL")
+    return rows.select(F.col("doc_id").alias("doc_a"), F.explode_outer("nexts").alias("doc_b")).where("doc_b IS NOT NULL")
 
 
 def identical(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,6 +41,6 @@ def chunk_id(doc_id, chunk_no):
 def chunk_pairs(chunks: DataFrame) -> DataFrame:
     """(doc_id, doc_a, doc_b): all pairs of the 2 to 4 chunks of each document."""
     held = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list("chunk_no")).alias("nos"))
-    a = held.select("doc_id", "nos", F.explode("nos").alias("i"))
-    both = a.select("doc_id", "i", F.explode("nos").alias("j")).where("i < j")
+    a = held.select("doc_id", "nos", F.explode_outer("nos").alias("i"))
+    both = a.select("doc_id", "i", F.explode_outer("nos").alias("j")).where("i < j")
     return both.select("doc_id", chunk_id(F.col("doc_id"), F.col("i")).alias("doc_a"), chunk_id(F.col("doc_id"), F.col("j")).alias("doc_b"))

@@ -16,19 +16,25 @@ def _grams(kind: str) -> Column:
     if kind == "w":
         return F.col("words")
     n = int(kind[1])
-    chars = F.split("letters_lower", "")
-    ends = F.length("letters_lower") - n + 1
+    chars = F.col("chars")  # a column, so that a text is split once and not for each gram
+    ends = F.size("chars") - n + 1
     if n == 1:
-        return F.when(ends > 0, chars).otherwise(F.array().cast("array<string>"))
+        return chars
     starts = F.sequence(F.lit(1), F.greatest(ends, F.lit(1)))
     gram = lambda i: F.concat(*(F.element_at(chars, i + k) for k in range(n)))
     return F.when(ends > 0, F.transform(starts, gram)).otherwise(F.array().cast("array<string>"))
 
 
+def _chars() -> Column:
+    return F.when(F.length("letters_lower") > 0, F.split("letters_lower", "")).otherwise(F.array().cast("array<string>"))
+
+
 def counts(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(doc_id, kind, gram, cnt); a document without grams of a kind has no rows of it."""
+    docs = docs.select("doc_id", *(["words"] if "w" in kinds else []), *([_chars().alias("chars")] if kinds != ("w",) else []))
     all_grams = F.array(*(F.struct(F.lit(k).alias("kind"), _grams(k).alias("grams")) for k in kinds))
-    rows = docs.select("doc_id", F.explode(all_grams).alias("x")).select("doc_id", "x.kind", F.explode("x.grams").alias("gram"))
+    # the outer form: for the inner one Spark infers a filter that would compute the grams a second time
+    rows = docs.select("doc_id", F.explode_outer(all_grams).alias("x")).select("doc_id", "x.kind", F.explode_outer("x.grams").alias("gram")).where("gram IS NOT NULL")
     return rows.groupBy("doc_id", "kind", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
