@@ -151,7 +151,7 @@ _VIEWS = {
     "zm": "SELECT doc_a, doc_b, n1, n2, gram, (coalesce(list_sum(list_sort(list(rel) FILTER (side = 1))), 0) + coalesce(list_sum(list_sort(list(rel) FILTER (side = 2))), 0)) / (n1 + n2) AS mean, "
     "count(*) AS there, count(*) FILTER (side = 1) AS here1, count(*) FILTER (side = 2) AS here2 FROM zv GROUP BY doc_a, doc_b, n1, n2, gram",
     "zt": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY mean DESC, gram) AS rk FROM zm) WHERE rk <= 150",
-    "zd": "SELECT doc_a, doc_b, gram, n1, n2, mean, here1, here2, sqrt((sum((rel - mean) * (rel - mean)) + (n1 + n2 - there) * mean * mean) / (n1 + n2 - 1)) AS sd FROM zt JOIN zv USING (doc_a, doc_b, n1, n2, gram) GROUP BY ALL, there",
+    "zd": "SELECT doc_a, doc_b, gram, n1, n2, mean, here1, here2, sqrt((sum((rel - mean) * (rel - mean)) + (n1 + n2 - there) * mean * mean) / (n1 + n2 - 1)) AS sd FROM zt JOIN zv USING (doc_a, doc_b, n1, n2, gram) GROUP BY doc_a, doc_b, gram, n1, n2, mean, here1, here2, there",
     "zc": "SELECT doc_a, doc_b, gram, " + ", ".join(
         f"(coalesce(sum(CASE WHEN sd > 0 THEN least(2, greatest(-2, (rel - mean) / sd)) ELSE 0 END) FILTER (side = {s}), 0) + (n{s} - here{s}) * max(CASE WHEN sd > 0 THEN least(2, greatest(-2, -mean / sd)) ELSE 0 END)) / n{s} AS c{s}" for s in (1, 2)
     ) + " FROM zd JOIN zv USING (doc_a, doc_b, n1, n2, gram) GROUP BY doc_a, doc_b, gram, n1, n2, here1, here2",
@@ -172,7 +172,7 @@ _VIEWS = {
 for _i in (1, 2, 3):
     _VIEWS[f"k{_i}"] = _cut(_i, "kc" if _i == 1 else f"k{_i - 1}")
 _W = {1: 0.18, 2: 0.12, 3: 0.12, 4: 0.08, 5: 0.04, 6: 0.10, 7: 0.06, 8: 0.12, 9: 0.08, 10: 0.04, 11: 0.06, 12: 0.04, 13: 0.10, 14: 0.04, 15: 0.04, 17: 0.10}
-_VIEWS["lg"] = " UNION ALL ".join(f"SELECT doc_a, doc_b, {n} AS metric_no, 'M{n}' AS metric, coalesce(least(1, greatest(0, m{n})), 0.5) AS distance, {w}::DOUBLE AS weight, m{n} IS NULL AS neutral FROM mm" for n, w in _W.items())
+_VIEWS["lg"] = " UNION ALL ".join(f"SELECT doc_a, doc_b, {n} AS metric_no, 'M{n}' AS metric, CASE WHEN m{n} IS NULL THEN 0.5 ELSE least(1, greatest(0, m{n})) END AS distance, {w}::DOUBLE AS weight, m{n} IS NULL AS neutral FROM mm" for n, w in _W.items())
 _VIEWS["ds"] = "SELECT doc_a, doc_b, sum(distance * weight) FILTER (NOT neutral) / sum(weight) FILTER (NOT neutral) AS dist FROM lg GROUP BY doc_a, doc_b"
 _VIEWS["s1"] = "SELECT doc_a, doc_b, n1, n2, identical, CASE WHEN identical THEN 0 ELSE dist END AS dd, least(1, log10(1 + least(n1, n2)) / log10(2001)) * CASE WHEN least(n1, n2) < 150 THEN 0.8 ELSE 1 END AS f0 FROM mm JOIN ds USING (doc_a, doc_b)"
 _VIEWS["s2"] = "SELECT *, 1 / (1 + exp(-120 * (1 - dd - 0.66))) AS pt, CASE WHEN identical THEN 1 ELSE f0 END AS ff FROM s1"
@@ -205,7 +205,7 @@ def _sql(select: str) -> str:
 
 
 def _m(n: int) -> str:
-    return f"SELECT doc_a, doc_b, round(coalesce(least(1, greatest(0, m{n})), 0.5), 5) AS distance, m{n} IS NULL AS neutral FROM mm"
+    return f"SELECT doc_a, doc_b, round(CASE WHEN m{n} IS NULL THEN 0.5 ELSE least(1, greatest(0, m{n})) END, 5) AS distance, m{n} IS NULL AS neutral FROM mm"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -250,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "j6_top_combined": pairs + "CAST(rk AS INTEGER) AS rk FROM rk0 WHERE kind = 'w' AND rk <= 100",
         "j7_restrict_renorm": pairs + "round(t1, 6) AS t1, round(t2, 6) AS t2 FROM rks WHERE kind = 'w' AND rk <= 300",
         "j8_top_diff": pairs + "CAST(rkd AS INTEGER) AS rkd FROM rk0 WHERE kind = 'w' AND rkd <= 120",
-        "j9_drop_keys": pairs + "round(r1 / sum(r1) OVER (PARTITION BY doc_a, doc_b), 6) AS d1, round(r2 / sum(r2) OVER (PARTITION BY doc_a, doc_b), 6) AS d2 FROM rk0 WHERE kind = 'w' AND rkd > 120",
+        "j9_drop_keys": pairs + "round(coalesce(r1 / nullif(sum(r1) OVER (PARTITION BY doc_a, doc_b), 0), 0), 6) AS d1, round(coalesce(r2 / nullif(sum(r2) OVER (PARTITION BY doc_a, doc_b), 0), 0), 6) AS d2 FROM rk0 WHERE kind = 'w' AND rkd > 120",
         "j10_key_sets": "SELECT doc_a, doc_b, count(*) FILTER (own1 <= 50 AND own2 <= 50) AS inter, count(*) FILTER (own1 <= 50 OR own2 <= 50) AS uni FROM rk0 WHERE kind = 'w' AND rk <= 50 GROUP BY doc_a, doc_b",
         "j11_chunk_pairs": "SELECT a.doc_id, a.doc_id * 4 + a.chunk_no AS doc_a, a.doc_id * 4 + b.chunk_no AS doc_b FROM ch a JOIN ch b ON a.doc_id = b.doc_id AND a.chunk_no < b.chunk_no WHERE a.text <> '' AND b.text <> ''",
         "m1_trigram_cosine": _m(1),
