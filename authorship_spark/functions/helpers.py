@@ -7,15 +7,16 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normalisation form C; null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_utf16(content: pd.Series) -> pd.Series:
     """UTF-16 bytes that begin with their byte order mark; malformed units become U+FFFD."""
     return content.map(lambda b: bytes(b).decode("utf-16", "replace"), na_action="ignore")
@@ -30,7 +31,7 @@ def _deflated(data: str | None, dictionary: str | None) -> int:
         return -1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def deflate_size(data: pd.Series, dictionary: pd.Series) -> pd.Series:
     """zlib size at level 9, with ``dictionary`` preset where it isn't null or empty; -1 on an error."""
     return pd.Series([_deflated(a, b) for a, b in zip(data, dictionary, strict=True)], dtype="int32")

@@ -58,9 +58,9 @@ def top_habit(typo: Column) -> Column:
 
 def histogram(values: Column, bins: int) -> Column:
     """Shares of the values 1..bins, larger ones in the last; zeros without values."""
-    held = F.transform(values, lambda v: F.greatest(F.lit(1), F.least(F.lit(bins), v)))
     n = F.size(values)
-    share = lambda b: F.size(F.filter(held, lambda v: v == b)) / F.greatest(n, F.lit(1))
+    inside = lambda b: F.filter(values, lambda v: F.greatest(F.lit(1), F.least(F.lit(bins), v)) == b)
+    share = lambda b: F.size(inside(b)) / F.greatest(n, F.lit(1))
     return F.transform(F.sequence(F.lit(1), F.lit(bins)), share)
 
 
