@@ -17,9 +17,6 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
-TEXT = F.col("text")
-
-
 @pytest.mark.parametrize(
     "text,words",
     [
@@ -31,22 +28,22 @@ TEXT = F.col("text")
     ],
 )
 def test_tokenize(spark, text, words):
-    assert one(spark, T.tokenize(TEXT), text=text) == words
+    assert one(spark, T.tokenize(F.col("text")), text=text) == words
 
 
 def test_normalize(spark):
-    assert one(spark, T.normalize_text(TEXT), text=" \t é\r\nb\rc \n") == "é\nb\nc"
+    assert one(spark, T.normalize_text(F.col("text")), text=" \t é\r\nb\rc \n") == "é\nb\nc"
 
 
 def test_letters(spark):
-    assert one(spark, T.letters_lower(TEXT), text="ΟΔΟΣ İx") == "οδοσix"
+    assert one(spark, T.letters_lower(F.col("text")), text="ΟΔΟΣ İx") == "οδοσix"
 
 
 def test_lengths(spark):
     text = 'Hi there. 3.14 is pi!? "Yes." ok|go\n\nlast line'
-    assert one(spark, T.sentence_lengths(TEXT), text=text) == [2, 1, 3, 1, 1, 1, 2]
-    assert one(spark, T.sentence_lengths(TEXT), text="...") == []
-    assert one(spark, T.paragraph_lengths(TEXT), text="a b\nc\n\n\n- \nd e f") == [2, 1, 3]
+    assert one(spark, T.sentence_lengths(F.col("text")), text=text) == [2, 1, 3, 1, 1, 1, 2]
+    assert one(spark, T.sentence_lengths(F.col("text")), text="...") == []
+    assert one(spark, T.paragraph_lengths(F.col("text")), text="a b\nc\n\n\n- \nd e f") == [2, 1, 3]
 
 
 @pytest.mark.parametrize(
@@ -60,7 +57,7 @@ def test_lengths(spark):
     ],
 )
 def test_typo_vector(spark, text, counts):
-    got = one(spark, V.typo_vector(TEXT, F.lit(1000)), text=text)
+    got = one(spark, V.typo_vector(F.col("text"), F.lit(1000)), text=text)
     assert {i: v for i, v in enumerate(got) if v} == counts
 
 
