@@ -22,7 +22,10 @@ _HIGH = "".join(map(chr, range(0x80, 0x100)))
 
 
 def read_text_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, modificationTime, length, content) of the files under ``path`` with one of ``extensions`` (all if empty)."""
+    """(path, modificationTime, length, content) of the files under ``path`` with one of ``extensions`` (all if empty).
+
+    Spark's reader leaves out files without a byte.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
