@@ -40,8 +40,8 @@ def _r(c: str, name: str | None = None):
 
 
 def _long(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Documents of at least 500 words and their pairs."""
-    docs = documents.long_enough(_docs(spark, sf_dir))
+    """Documents of at least 500 words and their pairs; many branches read them, so they are kept."""
+    docs = documents.long_enough(_docs(spark, sf_dir)).persist()
     return docs, pairs.pairs_blocked(docs, BLOCK, WINDOW)
 
 
@@ -59,7 +59,7 @@ def _aligned(spark, sf_dir, kinds=profiles.KINDS) -> DataFrame:
 def _distances(spark, sf_dir, compression: bool = False) -> DataFrame:
     docs, wanted = _long(spark, sf_dir)
     docs = docs.join(documents.dominant_script(docs), "doc_id", "left")
-    return metrics.distances(docs, wanted, compression)
+    return metrics.distances(docs, wanted, compression).persist()  # tables and reports read it more than once
 
 
 def _scores(spark, sf_dir, compression: bool, own: bool) -> DataFrame:

@@ -9,14 +9,18 @@ from ..operators import metrics, pairs, report, score
 
 
 def prepare(corpus: DataFrame, force: bool = False, compose: bool = True) -> DataFrame:
-    """Documents of a corpus (doc_id, text, ...) that are long enough, with all derived columns and their script."""
-    docs = D.long_enough(D.documents(corpus, compose), force)
+    """Documents of a corpus (doc_id, text, ...) that are long enough, with all derived columns and their script.
+
+    Many branches of the metrics read them, so they are kept in memory or on disk
+    (computed again where an executor is lost).
+    """
+    docs = D.long_enough(D.documents(corpus, compose), force).persist()
     return docs.join(D.dominant_script(docs), "doc_id", "left")
 
 
 def verify(docs: DataFrame, wanted: DataFrame, self_baseline: bool = True, compression: bool = True) -> tuple[DataFrame, DataFrame]:
     """(scores, metrics in long form) of the pairs ``wanted`` of prepared documents."""
-    rows = metrics.distances(docs, wanted, compression)
+    rows = metrics.distances(docs, wanted, compression).persist()
     own = score.self_distance(docs, compression) if self_baseline else None
     return score.scores(rows, own), metrics.extract(rows)
 
