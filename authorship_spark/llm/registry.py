@@ -112,25 +112,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    after = spotsigs.following(docs).withColumnRenamed("id", "doc_id")
-    others = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other")).dropDuplicates(["next"])
-    pairs = docs.join(after, "doc_id", "left").join(others, "next", "left").withColumn("other", F.coalesce("other", F.lit("")))
+    # each document is the next one of another: it sends that one the beginning it needs, and its signatures
+    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    after = spotsigs.following(docs).withColumnRenamed("id", "before").join(sizes.withColumnRenamed("doc_id", "before"), "before")
+    after = after.select(F.col("next").alias("doc_id"), "before", F.floor(F.col("n") / 2).cast("int").alias("needed"))
+    placed = spotsigs.with_signatures(docs.join(after, "doc_id", "left"), "text", "a")
+    sent = placed.where("before IS NOT NULL").select(F.col("before").alias("doc_id"), F.left("text", F.col("needed")).alias("other"), F.col("a").alias("c")).dropDuplicates(["doc_id"])
+    rows = placed.select("doc_id", "text", "a").join(sent, "doc_id", "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("other", F.lit(1), half))
-    rows = pairs.select("doc_id", "text", "other", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        spotsigs.signatures(F.col("text")).alias("a"),
-        spotsigs.signatures(F.col("edited")).alias("b"),
-        spotsigs.signatures(F.col("other")).alias("c"),
-    )
+    edited = F.concat(F.left("text", n - half), F.left(F.coalesce("other", F.lit("")), half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", F.coalesce("c", F.array().cast("array<long>")).alias("c"), edited.alias("edited"))
+    rows = spotsigs.with_signatures(rows, "edited", "b")
     return rows.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.fingerprint(F.col("a")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("b")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("a"), F.col("b")).alias("near_edited"),

@@ -26,28 +26,27 @@ ANCHORS = (
 ).split()
 
 
-def signatures(text: Column, chain: int = 2) -> Column:
-    """The sorted distinct signatures (32 bits each) of a text.
+def with_signatures(rows: DataFrame, text: str, name: str, chain: int = 2) -> DataFrame:
+    """Adds ``name``: the sorted distinct signatures (32 bits each) of the column ``text``.
 
     A text without any chain after an anchor has its single words as signatures;
-    one without words has none.
+    one without words has none. Each step is a column, so none is computed twice.
     """
     anchor = lambda w: w.isin(*sorted(set(ANCHORS)))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    before = lambda x: F.concat(F.array(F.lit("")), x)
+    nothing = F.array(F.lit(""))
+    rows = rows.withColumn("_words", F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", -1))
     # content words; those right after an anchor carry it before a bar
-    marked = F.filter(F.zip_with(before(words), words, lambda p, w: F.when(w.isNull() | anchor(w), F.lit("")).when(anchor(p), F.concat(p, F.lit("|"), w)).otherwise(w)), lambda w: w != "")
-
-    def chained(x: Column) -> Column:
-        rest, out = x, x
-        for _ in range(chain - 1):
-            rest = F.concat(F.slice(rest, 2, 1 << 30), F.array(F.lit("")))
-            out = F.zip_with(out, rest, lambda a, b: F.concat(a, F.lit(" "), F.substring_index(b, "|", -1)))
-        return F.filter(out, lambda w: F.contains(w, F.lit("|")))
-
+    mark = lambda p, w: F.when(w.isNull() | anchor(w), F.lit("")).when(anchor(p), F.concat(p, F.lit("|"), w)).otherwise(w)
+    rows = rows.withColumn("_marked", F.filter(F.zip_with(F.concat(nothing, "_words"), "_words", mark), lambda w: w != ""))
+    chains = F.col("_marked")
+    for k in range(1, chain):
+        later = F.concat(F.slice("_marked", k + 1, 1 << 30), F.array_repeat(F.lit(""), k))
+        # a chain whose head carries no anchor is given up at once
+        chains = F.zip_with(chains, later, lambda a, b: F.when(F.contains(a, F.lit("|")), F.concat(a, F.lit(" "), F.substring_index(F.coalesce(b, F.lit("")), "|", -1))).otherwise(a))
     hashed = lambda x: F.transform(x, lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFFFF)))
-    spots = hashed(chained(marked))
-    return F.array_sort(F.array_distinct(F.when(F.size(spots) > 0, spots).otherwise(hashed(words))))
+    rows = rows.withColumn("_chains", F.filter(chains, lambda w: F.contains(w, F.lit("|"))))
+    found = F.when(F.size("_chains") > 0, hashed(F.col("_chains"))).otherwise(hashed(F.filter("_words", lambda w: w != "")))
+    return rows.withColumn(name, F.array_sort(F.array_distinct(found))).drop("_words", "_marked", "_chains")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -68,8 +67,8 @@ def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, signatures and fingerprint of every row; a null text counts as empty."""
-    rows = docs.select(F.col(id_col), signatures(text_of(text_col)).alias("signatures"))
-    return rows.withColumn("fingerprint", fingerprint(F.col("signatures")))
+    rows = with_signatures(docs.select(F.col(id_col), text_of(text_col).alias("_text")), "_text", "signatures")
+    return rows.select(id_col, "signatures", fingerprint(F.col("signatures")).alias("fingerprint"))
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
