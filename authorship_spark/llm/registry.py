@@ -116,13 +116,15 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     after = spotsigs.following(docs).withColumnRenamed("id", "before").join(sizes.withColumnRenamed("doc_id", "before"), "before")
     after = after.select(F.col("next").alias("doc_id"), "before", F.floor(F.col("n") / 2).cast("int").alias("needed"))
-    placed = spotsigs.with_signatures(docs.join(after, "doc_id", "left"), "text", "a")
-    sent = placed.where("before IS NOT NULL").select(F.col("before").alias("doc_id"), F.left("text", F.col("needed")).alias("other"), F.col("a").alias("c")).dropDuplicates(["doc_id"])
-    rows = placed.select("doc_id", "text", "a").join(sent, "doc_id", "left")
+    # both sides of the later join start alike, so that they share one shuffle of the texts
+    placed = spotsigs.with_signatures(docs.where("doc_id IS NOT NULL").join(after, "doc_id"), "text", "a")
+    sent = placed.select(F.col("before").alias("doc_id"), F.left("text", F.col("needed")).alias("other"), F.col("a").alias("c")).dropDuplicates(["doc_id"])
+    alone = spotsigs.with_signatures(docs.where("doc_id IS NULL"), "text", "a").withColumn("other", F.lit("")).withColumn("c", F.lit(None).cast("array<int>"))
+    rows = placed.select("doc_id", "text", "a").join(sent, "doc_id").unionByName(alone)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left(F.coalesce("other", F.lit("")), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", F.coalesce("c", F.array().cast("array<long>")).alias("c"), edited.alias("edited"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", F.coalesce("c", F.array().cast("array<int>")).alias("c"), edited.alias("edited"))
     rows = spotsigs.with_signatures(rows, "edited", "b")
     return rows.select(
         "doc_id",

@@ -43,7 +43,7 @@ def with_signatures(rows: DataFrame, text: str, name: str, chain: int = 2) -> Da
         later = F.concat(F.slice("_marked", k + 1, 1 << 30), F.array_repeat(F.lit(""), k))
         # a chain whose head carries no anchor is given up at once
         chains = F.zip_with(chains, later, lambda a, b: F.when(F.contains(a, F.lit("|")), F.concat(a, F.lit(" "), F.substring_index(F.coalesce(b, F.lit("")), "|", -1))).otherwise(a))
-    hashed = lambda x: F.transform(x, lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFFFF)))
+    hashed = lambda x: F.transform(x, lambda w: F.hash(w))
     rows = rows.withColumn("_chains", F.filter(chains, lambda w: F.contains(w, F.lit("|"))))
     found = F.when(F.size("_chains") > 0, hashed(F.col("_chains"))).otherwise(hashed(F.filter("_words", lambda w: w != "")))
     return rows.withColumn(name, F.array_sort(F.array_distinct(found))).drop("_words", "_marked", "_chains")
@@ -51,7 +51,7 @@ def with_signatures(rows: DataFrame, text: str, name: str, chain: int = 2) -> Da
 
 def fingerprint(sigs: Column) -> Column:
     """A set of signatures as a string: eight hex digits each, in order."""
-    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
+    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.right(F.lower(F.hex(s)), F.lit(8)), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
