@@ -7,8 +7,10 @@ value: so every mention of one value gets one surrogate, in whatever document an
 format it stands. Surrogates keep length, separators, letter case, script, the
 gender of a title, country codes and check digits. The distinct units of the whole
 corpus are then checked: no two of a kind may have one surrogate, and none may be
-a value that occurs; units that fail are hashed again until all are distinct. Only
-SQL functions are used.
+a value that occurs; units that fail are hashed again until all are distinct, and
+from the fourth time on surrogates grow, so that short values never run out of
+them. Masks (one sign again and again, as in ``********``) stay. Only SQL functions
+are used.
 """
 
 from __future__ import annotations
@@ -98,6 +100,11 @@ def with_units(entities: DataFrame) -> DataFrame:
     return rows.withColumn("units", parts)
 
 
+def _spelled(kind: Column, canon: Column) -> Column:
+    """The part of a unit's canonical value that its surrogate spells anew."""
+    return F.when(kind == "email", F.substring_index(canon, "@", 1)).when(kind == "domain", F.regexp_replace(canon, r"\.[^.]*$", "")).otherwise(canon)
+
+
 def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     """Adds ``new`` to units (kind, canon, attempt): a text of the canonical value's form."""
     seed = F.concat_ws("\u0001", F.lit(key), "kind", "canon", F.col("attempt").cast("string"))
@@ -106,9 +113,12 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("b", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.conv(F.col("stream").substr(k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
     byte = lambda i: F.get("b", (i % 64).cast("int"))
     kind, canon, n = F.col("kind"), F.col("canon"), F.length("canon")
-    spelled = F.when(kind == "email", F.substring_index("canon", "@", 1)).when(kind == "domain", F.regexp_replace("canon", r"\.[^.]*$", "")).otherwise(canon)
-    rows = rows.withColumn("spelled", spelled)
+    rows = rows.withColumn("spelled", _spelled(kind, canon))
+    spelled = F.col("spelled")
     most = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 6).otherwise(26)
+    bare = ~spelled.rlike(r"[\p{L}\p{N}]")
+    more = F.greatest(F.col("attempt") - 3, F.lit(0))  # characters by which the surrogate is longer than the value
+    added = lambda one: F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), one), "")).otherwise("")
 
     def char(c: Column, i: Column) -> Column:
         b = byte(i)
@@ -119,11 +129,15 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
             .when(c.between("A", "Z"), F.char(65 + b % most))
             .when(c.rlike(r"\p{IsCyrillic}"), F.when(c == F.lower(c), cyrillic).otherwise(F.upper(cyrillic)))
             .when(c.rlike(r"\p{L}"), F.when(c == F.lower(c), F.char(97 + b % 26)).otherwise(F.char(65 + b % 26)))
+            .when(c.rlike(r"\p{N}"), F.char(48 + b % 10))
+            .when(bare, F.char(97 + b % 26))
             .otherwise(c)
         )
 
-    rows = rows.withColumn("text", F.array_join(F.transform(F.split("spelled", ""), char), ""))
+    longer = added(lambda k: F.char(F.when(kind.isin("aws_key", "iban"), 65).otherwise(97) + byte(F.length("spelled") + k) % most))
+    rows = rows.withColumn("text", F.concat(F.array_join(F.transform(F.split("spelled", ""), char), ""), longer))
     # digits are counted from the right, so a number with and without its country code agree
+    n = n + more
     digit = lambda k: F.when(k == 1, byte(n - k) % 9 + 1).otherwise(byte(n - k) % 10).cast("string")
     rows = rows.withColumn("number", F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), digit), ""))
     ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(F.left("number", n - 1), d.cast("string")))
@@ -134,7 +148,7 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     script = canon.rlike(r"\p{IsCyrillic}")
     syllables = F.when(script, F.lit(list(_SLAVIC))).otherwise(F.lit(list(_LATIN)))
     end = F.when(kind == "first_f", F.when(script, "на").otherwise("na")).when(kind == "first_m", F.when(script, "рт").otherwise("rt")).when(kind == "first_n", F.when(script, "ль").otherwise("l")).otherwise(F.when(script, "ко").otherwise("son"))
-    size = F.when(F.col("attempt") > 3, 5).otherwise(3)
+    size = F.when(more > 0, more + 4).otherwise(3)
     name = F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: F.element_at("syllables", byte(i) % 16 + 1)), "")
     rows = rows.withColumn("syllables", syllables).withColumn("name", F.initcap(F.concat(name, end)))
     new = (
@@ -149,9 +163,10 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
 
 
 def _into_form(form: Column, filling: Column, pattern: str) -> Column:
-    """``filling`` in the places of ``form`` that match ``pattern``, the others as they are."""
+    """``filling`` in the places of ``form`` that match ``pattern``, the others as they are; what is left of it follows."""
     place = lambda i: F.length(F.regexp_replace(F.left(form, i + 1), f"[^{pattern}]", ""))
-    return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c.rlike(f"[{pattern}]"), filling.substr(place(i), F.lit(1))).otherwise(c)), "")
+    filled = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c.rlike(f"[{pattern}]"), filling.substr(place(i), F.lit(1))).otherwise(c)), "")
+    return F.concat(filled, filling.substr(F.length(F.regexp_replace(form, f"[^{pattern}]", "")) + 1, F.length(filling)))
 
 
 def rendered(entities: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -178,9 +193,13 @@ def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
     """(kind, canon, new) of the distinct units: no two of a kind have one ``new``, and none is a value that occurs.
 
     Of units with one surrogate the least keeps it. Only those that failed are
-    hashed again, and all are checked again, until every surrogate is free.
+    hashed again, and all are checked again, until every surrogate is free. Masks
+    hide their value already and keep their text.
     """
-    now = units.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
+    units = units.select("kind", "canon").distinct().withColumn("spelled", _spelled(F.col("kind"), F.col("canon")))
+    mask = F.col("spelled").rlike(r"^([^\p{L}\p{N}])\1*$")
+    masks = units.where(mask).select("kind", "canon", F.when(F.col("kind") == "domain", F.col("canon")).otherwise(F.col("spelled")).alias("new"))
+    now = units.where(~mask).select("kind", "canon").withColumn("attempt", F.lit(0))
     while True:
         now = materialize(with_surrogates(now, key), "surrogates")
         domain = F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1))
@@ -190,7 +209,7 @@ def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
         bad = twice.select("kind", "canon").unionByName(taken.select("kind", "canon")).distinct().withColumn("bad", F.lit(1))
         bad = materialize(bad, "taken")
         if bad.isEmpty():
-            return now.select("kind", "canon", "new")
+            return now.select("kind", "canon", "new").unionByName(masks)
         now = now.join(bad, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
 
 

@@ -41,6 +41,25 @@ def test_collisions(spark, monkeypatch):
     assert len({r["new"] for r in got}) == 6
 
 
+def test_surrogates_never_run_out(spark, monkeypatch):
+    written, materialize = [], pii.materialize
+
+    def counted(df, name):
+        written.append(name)
+        assert len(written) < 30, "no end"
+        return materialize(df, name)
+
+    monkeypatch.setattr(pii, "materialize", counted)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["password: ********", "mail ___@mail.example.com", "x ٣@--.com", "secret = !#%&/()=?!", " ".join(f"{c}@m.org" for c in letters)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "key").collect()}
+    assert got[0] == texts[0] and got[1].startswith("mail ___@") and "mail.example" not in got[1]
+    assert "٣" not in got[2] and got[2].endswith("@--.com") and "!#%" not in got[3]
+    names = [m.split("@")[0] for m in got[4].split()]
+    assert len(set(names)) == 26 and not set(names) & set(letters)
+
+
 def test_grammar():
     reader = toxicity.Reader({})
     kinds = lambda text: next(iter(reader.read([text])))[1]
