@@ -29,6 +29,9 @@ TITLES = {
 #: Words before a value that must stay secret.
 SECRETS = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key")
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
+#: A capitalised name with its apostrophes and hyphens, but not a possessive ending; and initials before it.
+_NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{Lu}\p{L}|\p{L}{3})|-(?=\p{Lu}))+"
+_INITIALS = r"(?:\p{Lu}\. ?){0,3}"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 #: One alternative for each kind; the first that fits at a place counts.
 KINDS = {
@@ -41,18 +44,30 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9\w])(?:\+(?=(?:[ ().-]{0,2}[0-9]){8})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_INITIALS}{_NAME}(?: {_INITIALS}{_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without any of these has no entity.
-_HINT = rf"[0-9]{{3}}|@|[0-9]\.[0-9]|(?:{_TITLE})\.? \p{{Lu}}|(?i:{'|'.join(SECRETS)})\s?[=:]"
+#: What every match of a kind has in it: a text without any of these has no entity.
+HINTS = {
+    "email": "@",
+    "secret": rf"(?i:{'|'.join(SECRETS)})\s{{0,2}}[=:]",
+    "aws_key": "A[KS]IA",
+    "api_key": "(?:sk|pk|ghp|gho|xox[bp])[_-]",
+    "iban": "[A-Z]{2}[0-9]{2}",
+    "ip": r"[0-9]\.[0-9]",
+    "ssn": "[0-9]{3}-",
+    "card": "[0-9](?:[ -]?[0-9]){2}",
+    "phone": r"\+[0-9]|[0-9]{3}[ .-][0-9]",
+    "person": rf"(?:{_TITLE})\.? \p{{Lu}}",
+}
+_HINT = "|".join(HINTS.values())
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 _LATIN = "ba de fi go ku la me ni ro su ta ve wi jo pa ze".split()
 _SLAVIC = "ба де фи го ку ла ме ни ро су та ве ви жо па зе".split()
 
 
 def _kind(m: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = F.lit("person")  # a later mention of a surname
     for kind, pattern in reversed(KINDS.items()):
         # the tests of one match; what stands around it was seen when it was found
         own = {
@@ -79,6 +94,15 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def _surname(person: Column) -> Column:
+    return F.regexp_extract(person, r"([^ .]+)$", 1)
+
+
+def _pattern_with(surnames: Column) -> Column:
+    """PATTERN, and the surnames as they stand; the longer of two with one beginning comes first."""
+    return F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(surnames, asc=False), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
 def with_units(entities: DataFrame) -> DataFrame:
     """Adds kind, prefix, rest and the units (kind, canon) of the entities ``m``."""
     rows = entities.withColumn("kind", _kind(F.col("m")))
@@ -87,11 +111,12 @@ def with_units(entities: DataFrame) -> DataFrame:
     unit = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
     title = F.regexp_replace(F.trim("prefix"), r"\.$", "")
     gender = F.when(title.isin(*TITLES["f"]), "first_f").when(title.isin(*TITLES["m"]), "first_m").otherwise("first_n")
-    last = unit(F.lit("last"), F.lower(F.substring_index("rest", " ", -1)))
-    first = unit(gender, F.lower(F.substring_index("rest", " ", 1)))
+    surname = _surname(F.col("rest"))
+    last = unit(F.lit("last"), F.lower(surname))
+    first = unit(gender, F.lower(F.regexp_replace(F.regexp_extract("rest", r"^((?:\p{Lu}\. ?)+|\S+)", 1), " ", "")))
     parts = (
         F.when(kind == "email", F.array(unit(F.lit("email"), F.lower(m)), unit(F.lit("domain"), F.lower(F.substring_index(m, "@", -1)))))
-        .when(kind == "person", F.when(F.contains("rest", F.lit(" ")), F.array(first, last)).otherwise(F.array(last)))
+        .when(kind == "person", F.when(F.col("rest") != surname, F.array(first, last)).otherwise(F.array(last)))
         .when(kind == "phone", F.array(unit(kind, F.right("digits", F.lit(10)))))
         .when(kind.isin("card", "ssn"), F.array(unit(kind, F.col("digits"))))
         .when(kind == "ip", F.array(unit(kind, m)))
@@ -218,12 +243,20 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
 
     All rows and columns stay; texts without an entity are unchanged, a null text
     becomes empty. The same key gives the same surrogates for the same corpus.
+    A surname that follows a title is replaced wherever its document has it.
     Repeated rows get equal results. Only texts with entities are shuffled.
     """
     text = text_of(text_col)
     found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    marked = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+    # written once, so that no text is searched again for the mentions, the filling and the rest
+    marked = materialize(docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))), "marked")
     some = marked.where(F.size("_found") > 0)
+    people = F.filter("_found", lambda m: m.rlike(rf"^(?:{_TITLE})\.? \p{{Lu}}"))
+    some = some.withColumn("_surnames", F.array_distinct(F.transform(people, _surname)))
+    pattern = F.when(F.size("_surnames") > 0, _pattern_with(F.col("_surnames"))).otherwise(F.lit(PATTERN))
+    some = some.withColumn("_pattern", pattern)
+    again = F.regexp_extract_all(text, F.col("_pattern"), F.lit(0))
+    some = some.withColumn("_found", F.when(F.size("_surnames") > 0, again).otherwise(F.col("_found")))
     mentions = materialize(some.select(F.col(id_col).alias("_doc"), F.explode(F.array_distinct("_found")).alias("m")).distinct(), "mentions")
     entities = materialize(with_units(mentions.select("m").distinct()), "entities")
     mapping = distinct_surrogates(entities.select(F.explode("units").alias("u")).select("u.kind", "u.canon"), key)
@@ -231,7 +264,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     by_doc = new.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("kind", "surrogate")))).alias("_map"))  # a document's entities at most
     rows = some.join(by_doc, F.col(id_col).eqNullSafe(F.col("_doc")))
     rows = rows.withColumn("entities", F.transform("_found", lambda m: F.element_at("_map", m)))
-    gaps = F.split(text, PATTERN, -1)
+    gaps = F.split(text, F.col("_pattern"), -1)
     filled = F.array_join(F.zip_with(gaps, "entities", lambda gap, e: F.concat(gap, F.coalesce(e["surrogate"], F.lit("")))), "")
     keep = lambda new_text: [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     none = F.array().cast("array<struct<kind:string,surrogate:string>>").alias("entities")
