@@ -5,7 +5,9 @@ hash is least under that step's hash function, so two sets take the same step wi
 a probability equal to their Jaccard similarity. Sets that share a first token
 form a bucket; a bucket that is too large is split on the next sampled token, and
 so on. Small buckets are compared by brute force. Runs with other hash functions
-are added until a pair at the threshold is missed with at most the stated chance.
+are added until a pair at the threshold is missed with at most the stated chance:
+a step is shared less often the deeper it lies, so units of split buckets get the
+runs that a pair needs to meet on the last step.
 
 Texts of equal shingle sets are one unit. Every unit pair is judged in the first
 run in which it meets, so links are counted, not listed, and a group of copies
@@ -75,8 +77,9 @@ def identity(x: np.ndarray) -> tuple[int, int]:
     return tuple(int(_mix(x + _U(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 2))
 
 
-def _signature_batches(batches: Iterator[pa.RecordBatch], n: int, runs: int) -> Iterator[pa.RecordBatch]:
-    factors = _mix(np.arange(1, runs * DEPTH + 1, dtype=np.uint64)) | _U(1)
+def _signature_batches(batches: Iterator[pa.RecordBatch], n: int, runs: int, start: int = 0) -> Iterator[pa.RecordBatch]:
+    """Sets and the paths of ``runs`` runs, of which the first is run ``start``."""
+    factors = _mix(np.arange(start * DEPTH + 1, (start + runs) * DEPTH + 1, dtype=np.uint64)) | _U(1)
     for batch in batches:
         one, two, sizes, paths, sketches = [], [], [], [], []
         for x in _shingled(batch.column(1).to_pylist(), n):
@@ -92,7 +95,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], n: int, runs: int) ->
                 least = np.minimum(least, (factors[:, None] * x[None, k : k + 2048]).min(axis=1))
             least = _mix(least).reshape(runs, DEPTH)
             path = np.zeros((runs, DEPTH), np.uint64)
-            last = _mix(np.arange(runs, dtype=np.uint64))
+            last = _mix(np.arange(start, start + runs, dtype=np.uint64))
             for k in range(DEPTH):
                 last = path[:, k] = _mix(last + least[:, k])
             paths.append(path.astype(np.int64).ravel().tolist())
@@ -242,9 +245,27 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key")
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met in a first step with probability ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold))) if threshold < 1 else 1
+def runs_for(threshold: float, recall: float, depth: int = 1) -> int:
+    """Runs after which a pair at the threshold has shared ``depth`` steps of one with probability ``recall``."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))) if threshold < 1 else 1
+
+
+def _buckets(paths: DataFrame, first: int, runs: int) -> tuple[DataFrame, DataFrame | None]:
+    """Each unit's bucket in each run, at the first step at which few units are left; and the rows of buckets that were split."""
+    every = paths.select("unit", "path", F.explode(F.sequence(F.lit(first), F.lit(first + runs - 1))).alias("run"))
+    rest = every.select("unit", "run", F.slice("path", (F.col("run") - first) * DEPTH + 1, DEPTH).alias("path"))
+    chosen, split = None, None
+    for k in range(DEPTH):
+        sized = _sized(rest.withColumn("key", F.element_at("path", k + 1)))
+        sized = materialize(sized, "buckets")
+        small = sized if k == DEPTH - 1 else sized.where(F.col("size") <= BUCKET)
+        small = small.select("unit", "run", "key", "size")
+        chosen = small if chosen is None else chosen.unionByName(small)
+        rest = sized.where(F.col("size") > BUCKET).select("unit", "run", "path")
+        if k == DEPTH - 1 or rest.isEmpty():
+            return chosen, split
+        split = rest if split is None else split
+    return chosen, split
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,23 +288,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     unit = F.xxhash64("h1", "h2", "n").alias("unit")
     units = materialize(units.select(unit, "*"), "units")
 
-    # the bucket of each unit in each run: the first step of its path at which few units are left
-    every = units.select("unit", "path", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    rest, chosen = every.select("unit", "run", F.slice("path", F.col("run") * DEPTH + 1, DEPTH).alias("path")), None
-    for k in range(DEPTH):
-        sized = _sized(rest.withColumn("key", F.element_at("path", k + 1)))
-        sized = materialize(sized, "buckets")
-        small = sized if k == DEPTH - 1 else sized.where(F.col("size") <= BUCKET)
-        small = small.select("unit", "run", "key", "size")
-        chosen = small if chosen is None else chosen.unionByName(small)
-        rest = sized.where(F.col("size") > BUCKET).select("unit", "run", "path")
-        if k == DEPTH - 1 or rest.isEmpty():
-            break
+    chosen, split = _buckets(units.select("unit", "path"), 0, runs)
+    if split is not None:
+        # both units of a pair that met in a split bucket, and may have lost each other there, are in these
+        more = runs_for(threshold, recall, DEPTH) - runs
+        texts = units.join(split.select("unit").distinct(), "unit", "left_semi").select(F.col("first").alias("doc")).distinct()
+        paths = rows.join(texts, "doc", "left_semi").mapInArrow(lambda it, start=runs: _signature_batches(it, words, more, start), signed.schema) if more > 0 else None
+        if paths is not None:
+            paths = paths.where("n > 0").select(unit, "path").groupBy("unit").agg(F.any_value("path").alias("path"))  # repeated rows
+            paths = materialize(paths.join(split.select("unit").distinct(), "unit", "left_semi"), "paths")
+            chosen = chosen.unionByName(_buckets(paths, runs, more)[0])
+            runs += more
     held = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.element_at(F.map_from_entries("all"), r)["key"], F.lit(0).cast("long")))
     grouped = chosen.groupBy("unit").agg(F.collect_list(F.struct("run", F.struct("key", "size"))).alias("all"))  # runs rows at most
     wide = grouped.select("unit", "all", held.alias("keys")).join(units.select("unit", "n", "copies", "sketch"), "unit")
     tiles = F.ceil(F.col("b.col2.size") / BUCKET).cast("int")
     member = wide.select("unit", "n", "copies", "sketch", "keys", F.explode("all").alias("b"))
+    member = member.withColumn("keys", F.slice("keys", 1, F.col("b.run")))  # those of earlier runs
     member = member.select("unit", "n", "copies", "sketch", "keys", F.col("b.run").alias("run"), F.col("b.col2.key").alias("key"), tiles.alias("tiles"))
     member = member.withColumn("block", F.pmod(F.xxhash64("unit"), F.col("tiles")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))

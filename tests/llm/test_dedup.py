@@ -58,6 +58,23 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     assert jaccard_join.near_duplicates(df.where("false")).count() == 0
 
 
+def test_split_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(120):  # near-variants of one text, most pairs just above the threshold
+        words = list(base)
+        for k in rng.sample(range(0, 200, 5), 4):
+            words[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicates(df, threshold=0.6).collect())
+    sets = [shingled(t) for _, t in rows]
+    near = lambda x, y: len(x & y) >= 0.6 * len(x | y)
+    assert [r[2] for r in got] == [sum(near(x, y) for y in sets) - 1 for x in sets]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
