@@ -41,10 +41,15 @@ def recurring_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of the least id."""
-    found = jaccard_join.near_duplicates(docs, words=5, threshold=0.8)
-    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
-    return _like(docs, docs.join(gone, "doc_id", "left_anti"))
+    """One row of each group of near duplicates stays: the one of the least id, rows without an id last."""
+    # rows are judged, not ids: an id may stand in several rows, or in none
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_join.near_duplicates(rows, words=5, threshold=0.8, id_col="_row")
+    grouped = rows.select("_row", "doc_id").join(found.where("n_links > 0").select("_row", "class_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    kept = grouped.groupBy("class_id").agg(F.min(order)["_row"].alias("kept"))
+    gone = grouped.join(kept, "class_id").where("_row <> kept").select("_row")
+    return _like(docs, rows.join(gone, "_row", "left_anti"))
 
 
 def personal_data_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

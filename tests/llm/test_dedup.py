@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from authorship_spark.llm import components, jaccard_join, line_dedup, spotsigs
 
 
@@ -75,6 +76,14 @@ def test_split_buckets_lose_no_pair(spark, monkeypatch):
     assert [r[2] for r in got] == [sum(near(x, y) for y in sets) - 1 for x in sets]
 
 
+def test_one_row_of_each_group_stays(spark):
+    one, other, third = ("words of text number %s stand here and are its own" % k for k in ("one", "two hundred", "three thousand"))
+    rows = [(7, one), (7, one), (3, other), (9, other), (9, third), (None, third), (None, "alone"), (None, "alone"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates_go(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(7, one), (3, other), (9, third), (None, "alone"), (5, ""), (6, "")], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
