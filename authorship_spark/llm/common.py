@@ -54,9 +54,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(column: str = "text") -> Column:
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def text_of(name: str = "text") -> Column:
     """A text column in which null counts as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(column(name).cast("string"), F.lit(""))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name of an operator can clash with one of theirs."""
+    return F.struct(*(column(c) for c in docs.columns))
+
+
+def with_columns(rows: DataFrame, docs: DataFrame, new: dict[str, Column], row: str = "row") -> DataFrame:
+    """The columns of ``docs`` out of the struct ``row``; ``new`` ones take the place of those of their name or follow."""
+    named = {c.lower(): c for c in new}
+    kept = [new[named[c.lower()]].alias(c) if c.lower() in named else F.col(row).getField(c).alias(c) for c in docs.columns]
+    there = {c.lower() for c in docs.columns}
+    return rows.select(*kept, *(value.alias(c) for c, value in new.items() if c.lower() not in there))
+
+
+#: Rows up to which a side of a join, whose rows were counted, is broadcast.
+FEW = 500_000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``values``, which has one row per key and in ``n`` how many of the ``total`` rows hold it.
+
+    Keys of more than a share of 1 / (4 x partitions) of all rows, of which there can be
+    4 x partitions at most, are broadcast; only the others are shuffled, so no task
+    gets all rows of a hot key. Keys are not null. ``n`` isn't in the result.
+    """
+    limit = max(1000, total // (4 * partitions(rows.sparkSession)))
+    hot, cold = values.where(F.col(n) > limit).drop(n), values.where(F.col(n) <= limit).drop(n)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(others)
 
 
 def partitions(spark: SparkSession) -> int:

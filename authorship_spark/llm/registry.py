@@ -146,17 +146,15 @@ LINES_SQL = """
 li AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM {source}),
 lo AS (SELECT doc_id, unnest(range(0, len(a))) AS line, unnest(a) AS raw FROM li),
 lm AS (SELECT doc_id, line, raw, regexp_replace(trim(raw), '[^\\s0-9]*[0-9]\\S*', '<*>', 'g') AS template FROM lo),
-lf AS (SELECT doc_id, min(md5(template)) AS family FROM lm WHERE template <> '' GROUP BY doc_id),
-ln AS (SELECT doc_id, line, template, family, string_split(template, ' ') AS tokens, (len(string_split(template, ' ')), string_split(template, ' ')[1:3]) AS leaf
-       FROM lm JOIN lf USING (doc_id) WHERE template <> ''),
-lr AS (SELECT leaf, count(DISTINCT template) AS templates FROM ln GROUP BY leaf HAVING count(DISTINCT template) >= 8),
-lp AS (SELECT leaf, template, templates, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS token
-       FROM (SELECT DISTINCT leaf, template, tokens, templates FROM ln JOIN lr USING (leaf))),
-lc AS (SELECT leaf, pos, token FROM lp GROUP BY leaf, pos, token HAVING count(*) >= 0.3 * max(templates)),
-lg AS (SELECT p.leaf, p.template, string_agg(CASE WHEN c.pos IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.pos) AS general
-       FROM lp p LEFT JOIN lc c ON p.leaf = c.leaf AND p.pos = c.pos AND p.token = c.token
-       GROUP BY p.leaf, p.template HAVING count(c.pos) >= 0.6 * count(*)),
-lt AS (SELECT ln.*, coalesce(lg.general, ln.template) AS general FROM ln LEFT JOIN lg ON ln.leaf = lg.leaf AND ln.template = lg.template),
+lb AS (SELECT doc_id, line, template, string_split(template, ' ') AS tokens, md5(array_to_string(string_split(template, ' ')[1:3], ' ')) AS branch FROM lm WHERE template <> ''),
+lf AS (SELECT doc_id, list_sort(list_distinct(list(branch))) AS b FROM lb GROUP BY doc_id),
+ln AS (SELECT doc_id, line, template, tokens, (CASE WHEN b[1] = branch THEN b[2] ELSE b[1] END, CASE WHEN b[-1] = branch THEN b[-2] ELSE b[-1] END) AS family FROM lb JOIN lf USING (doc_id)),
+lp AS (SELECT DISTINCT template, tokens, len(tokens) AS n, len(tokens) * 2 // 5 AS w FROM ln),
+lw AS (SELECT template, tokens, n, w, unnest(range(0, n - w + 1, greatest(1, (n - w) // 7))) AS pos FROM lp WHERE w > 0),
+lv AS (SELECT DISTINCT template, array_to_string(list_concat(list_concat(tokens[1:pos], list_transform(range(w), lambda x: '<*>')), tokens[pos + w + 1:]), ' ') AS form FROM lw WHERE pos >= 3 OR pos + w <= n - 3),
+lc AS (SELECT form, count(*) AS variants FROM lv GROUP BY form HAVING count(*) >= 4),
+lg AS (SELECT template, arg_min(form, (-variants, md5(form))) AS general FROM lv JOIN lc USING (form) GROUP BY template),
+lt AS (SELECT ln.*, coalesce(lg.general, ln.template) AS general FROM ln LEFT JOIN lg USING (template)),
 ld AS (SELECT general, min((doc_id, line)) AS first FROM lt GROUP BY general HAVING count(DISTINCT family) >= 4),
 lx AS (SELECT doc_id, line FROM lt JOIN ld USING (general) WHERE (doc_id, line) <> first),
 lines_left AS (SELECT m.doc_id, coalesce(string_agg(CASE WHEN x.line IS NULL THEN m.raw END, chr(10) ORDER BY m.line), '') AS text, CAST(count(x.line) AS BIGINT) AS lines_dropped
