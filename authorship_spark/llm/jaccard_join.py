@@ -1,18 +1,19 @@
 """N-gram Jaccard self-join by chosen paths.
 
-A set's path is a chain of sampled tokens: at each step of a run, the token whose
-hash is least under that step's hash function, so two sets take the same step with
-a probability equal to their Jaccard similarity. Sets that share a first token
-form a bucket; a bucket that is too large is split on the next sampled token, and
-so on. Small buckets are compared by brute force. Runs with other hash functions
-are added until a pair at the threshold is missed with at most the stated chance:
-a step is shared less often the deeper it lies, so units of split buckets get the
-runs that a pair needs to meet on the last step.
+A run splits sets step by step on sampled shared tokens. At each step a set goes on
+by two tokens, those that are least under two hash functions of the step, so a path
+branches, and two sets of similarity J share a token of a step with a probability of
+1 - (1 - J)^2. Sets that share a token form a bucket; a bucket that is too large is
+split on the next step's tokens, and so on. A bucket that a step doesn't split - one
+of its parts holds more than half of it, as among many near copies - is left whole.
+Small buckets are compared by brute force. Runs with other hash functions are added
+until a pair at the threshold that is split on every step of every run is missed
+with at most the stated chance.
 
 Texts of equal shingle sets are one unit. Every unit pair is judged in the first
-run in which it meets, so links are counted, not listed, and a group of copies
-costs no row per pair. A bucket that no token splits any further is compared in
-tiles of bounded size: it is slower, but nothing is capped.
+bucket in which it meets, so links are counted, not listed, and a group of copies
+costs no row per pair. A large bucket that stays whole is compared in tiles of
+bounded size: it is slower, but nothing is capped.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ready, text_of
+from .common import FEW, join_hot, materialize, ready, text_of
 from .components import components
 from .words import WordMemory
 
-#: Buckets of more units are split on the next token, as long as there is one.
+#: Buckets of more units are split on the next step's tokens, as long as there is one.
 BUCKET = 512
-#: Sampled tokens of a path.
+#: Steps of a path.
 DEPTH = 4
+#: Tokens by which a set goes on at each step.
+BRANCH = 2
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -77,32 +80,28 @@ def identity(x: np.ndarray) -> tuple[int, int]:
     return tuple(int(_mix(x + _U(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 2))
 
 
-def _signature_batches(batches: Iterator[pa.RecordBatch], n: int, runs: int, start: int = 0) -> Iterator[pa.RecordBatch]:
-    """Sets and the paths of ``runs`` runs, of which the first is run ``start``."""
-    factors = _mix(np.arange(start * DEPTH + 1, (start + runs) * DEPTH + 1, dtype=np.uint64)) | _U(1)
+def _signature_batches(batches: Iterator[pa.RecordBatch], n: int, runs: int) -> Iterator[pa.RecordBatch]:
+    """Sets, the sampled tokens of all runs, steps and branches, and a byte of each as a sketch."""
+    factors = _mix(np.arange(1, runs * DEPTH * BRANCH + 1, dtype=np.uint64)) | _U(1)
     for batch in batches:
-        one, two, sizes, paths, sketches = [], [], [], [], []
+        one, two, sizes, tokens, sketches = [], [], [], [], []
         for x in _shingled(batch.column(1).to_pylist(), n):
             sizes.append(len(x))
             for out, value in zip((one, two), identity(x), strict=True):
                 out.append(value)
             if not len(x):
-                paths.append(None), sketches.append(None)
+                tokens.append(None), sketches.append(None)
                 continue
-            # the least hashed token of each step; x is mixed already, so an odd factor makes another hash
+            # the least hashed token of each branch; x is mixed already, so an odd factor makes another hash
             least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
             for k in range(0, len(x), 2048):
                 least = np.minimum(least, (factors[:, None] * x[None, k : k + 2048]).min(axis=1))
-            least = _mix(least).reshape(runs, DEPTH)
-            path = np.zeros((runs, DEPTH), np.uint64)
-            last = _mix(np.arange(start, start + runs, dtype=np.uint64))
-            for k in range(DEPTH):
-                last = path[:, k] = _mix(last + least[:, k])
-            paths.append(path.astype(np.int64).ravel().tolist())
+            least = _mix(least)
+            tokens.append(least.astype(np.int64).tolist())
             sketches.append(least.astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            names=["doc", "h1", "h2", "n", "path", "sketch"],
+            [batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+            names=["doc", "h1", "h2", "n", "tokens", "sketch"],
         )
 
 
@@ -135,18 +134,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _pending(t: pa.Table, threshold: float) -> np.ndarray:
-    """Pairs of a tile that this run judges: of like size, in no common bucket of an earlier run."""
+    """Pairs of a tile that are judged here: of like size, in no common bucket that comes before this one."""
     size = t["n"].to_numpy().astype(np.float64)
-    run, block = t["run"][0].as_py(), t["block"].to_numpy()
     ok = np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - 1e-9
     if t["i"][0].as_py() != t["j"][0].as_py():
+        block = t["block"].to_numpy()
         ok &= block[:, None] < block[None, :]
     else:
         ok &= np.tri(len(size), k=-1, dtype=bool).T
-    keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(size), -1)
-    for r in range(run):
-        own = keys[:, r]
-        ok &= (own[:, None] != own) | (own[:, None] == 0)
+    before = t["before"].combine_chunks()
+    keys, owner = before.flatten().to_numpy(), np.repeat(np.arange(len(size)), before.value_lengths().to_numpy())
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a > 1:
+            ok[np.ix_(owner[a:b], owner[a:b])] = False
     return ok
 
 
@@ -169,7 +172,7 @@ def _sift_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
         ok &= same >= need
         some = np.flatnonzero(ok.any(axis=0) | ok.any(axis=1))
         if len(some):
-            yield t.select(["key", "run", "i", "j", "block", "unit", "n", "copies", "keys"]).take(pa.array(some)).combine_chunks().to_batches()[0]
+            yield t.select(["key", "i", "j", "block", "unit", "n", "copies", "before"]).take(pa.array(some)).combine_chunks().to_batches()[0]
 
 
 def _links(sets: list[np.ndarray], pending: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -231,44 +234,55 @@ def _judge_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(unit, shingles) of the rows (unit, h1, h2, text) whose text is the unit's."""
     for batch in batches:
-        one, two, sizes, held = [], [], [], []
-        for x in _shingled(batch.column(1).to_pylist(), n):
-            for out, value in zip((one, two), identity(x), strict=True):
-                out.append(value)
-            sizes.append(len(x)), held.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int32()), pa.array(held, pa.binary())], names=["h1", "h2", "n", "shingles"])
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(sizes, "key")
-
-
-def runs_for(threshold: float, recall: float, depth: int = 1) -> int:
-    """Runs after which a pair at the threshold has shared ``depth`` steps of one with probability ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))) if threshold < 1 else 1
-
-
-def _buckets(paths: DataFrame, first: int, runs: int) -> tuple[DataFrame, DataFrame | None]:
-    """Each unit's bucket in each run, at the first step at which few units are left; and the rows of buckets that were split."""
-    every = paths.select("unit", "path", F.explode(F.sequence(F.lit(first), F.lit(first + runs - 1))).alias("run"))
-    rest = every.select("unit", "run", F.slice("path", (F.col("run") - first) * DEPTH + 1, DEPTH).alias("path"))
-    chosen, split = None, None
-    for k in range(DEPTH):
-        sized = _sized(rest.withColumn("key", F.element_at("path", k + 1)))
-        sized = materialize(sized, "buckets")
-        small = sized if k == DEPTH - 1 else sized.where(F.col("size") <= BUCKET)
-        small = small.select("unit", "run", "key", "size")
-        chosen = small if chosen is None else chosen.unionByName(small)
-        rest = sized.where(F.col("size") > BUCKET).select("unit", "run", "path")
-        if k == DEPTH - 1 or rest.isEmpty():
-            return chosen, split
-        split = rest if split is None else split
-    return chosen, split
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        units, held = [], []
+        for unit, h1, h2, x in zip(*(batch.column(k).to_pylist() for k in range(3)), _shingled(batch.column(3).to_pylist(), n), strict=True):
+            if identity(x) == (h1, h2):
+                units.append(unit), held.append(x.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(held, pa.binary())], names=["unit", "shingles"])
+
+
+def runs_for(threshold: float, recall: float) -> int:
+    """Runs after which a pair at the threshold has shared a token at every step of one with probability ``recall``."""
+    met = (1 - (1 - threshold) ** BRANCH) ** DEPTH
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 1
+
+
+def _sized(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets that hold at least two units, with the bucket's size; and the sizes."""
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return join_hot(rows, sizes.withColumn("k", F.col("size")), ["key"], "k", total), sizes
+
+
+def _buckets(units: DataFrame, runs: int) -> DataFrame:
+    """(unit, run, key, size): the buckets in which each unit is compared, of all runs."""
+    token = lambda step, b: F.element_at("tokens", (F.col("run") * DEPTH + step) * BRANCH + b + 1)
+    each = units.select("unit", "tokens", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    rows = each.select("unit", "run", F.explode(F.array(*(F.xxhash64(F.col("run"), token(0, b)) for b in range(BRANCH)))).alias("key"))
+    now = materialize(_sized(rows)[0].select("unit", "run", "key", "size"), "buckets")
+    chosen = now.where(F.col("size") <= BUCKET)
+    for step in range(1, DEPTH):
+        full = now.where(F.col("size") > BUCKET)
+        if full.isEmpty():
+            return chosen
+        parts = F.explode(F.array(*(F.xxhash64(F.col("key"), token(step, b)) for b in range(BRANCH))))
+        below = full.join(units.select("unit", "tokens"), "unit").select("unit", "run", F.col("key").alias("whole"), F.col("size").alias("held"), parts.alias("key"))
+        below, _ = _sized(below)
+        below = materialize(below, "parts")
+        largest = below.groupBy("whole", "held").agg(F.max("size").alias("most"))
+        left_whole = materialize(largest.where("2 * most > held").select(F.col("whole").alias("key"), F.col("held").alias("k")), "whole")
+        total = full.count()
+        chosen = chosen.unionByName(join_hot(full, left_whole, ["key"], "k", total))
+        mark = left_whole.select(F.col("key").alias("whole"), (F.col("k") * BRANCH).alias("k"), F.lit(True).alias("stays"))
+        now = join_hot(below, mark, ["whole"], "k", total * BRANCH, "left").where("stays IS NULL").select("unit", "run", "key", "size")
+        now = materialize(now, "buckets")
+        chosen = chosen.unionByName(now.where(F.col("size") <= BUCKET))
+    return chosen.unionByName(now.where(F.col("size") > BUCKET))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, class_id, n_links.
 
     Two texts are linked if their sets of ``words``-word shingles (lower-cased
@@ -277,57 +291,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     n_links the number of other rows that a row is linked to, copies included.
     Texts without words (null and empty ones too) are linked to none and are their
     own class. Ids are whole numbers; repeated rows of one id are copies of each
-    other if their texts are; a row with a null id is linked to none.
+    other if their texts are; a row with a null id is linked to none. Other columns
+    aren't read. An empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
     runs = runs_for(threshold, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    signed = rows.mapInArrow(lambda it: _signature_batches(it, words, runs), "doc long, h1 long, h2 long, n int, path array<long>, sketch binary")
+    signed = rows.mapInArrow(lambda it: _signature_batches(it, words, runs), "doc long, h1 long, h2 long, n int, tokens array<long>, sketch binary")
     signed = materialize(signed, "signatures")
-    units = signed.where("n > 0 AND doc IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("path").alias("path"), F.any_value("sketch").alias("sketch"))
-    unit = F.xxhash64("h1", "h2", "n").alias("unit")
-    units = materialize(units.select(unit, "*"), "units")
-
-    chosen, split = _buckets(units.select("unit", "path"), 0, runs)
-    if split is not None:
-        # both units of a pair that met in a split bucket, and may have lost each other there, are in these
-        more = runs_for(threshold, recall, DEPTH) - runs
-        texts = units.join(split.select("unit").distinct(), "unit", "left_semi").select(F.col("first").alias("doc")).distinct()
-        paths = rows.join(texts, "doc", "left_semi").mapInArrow(lambda it, start=runs: _signature_batches(it, words, more, start), signed.schema) if more > 0 else None
-        if paths is not None:
-            paths = paths.where("n > 0").select(unit, "path").groupBy("unit").agg(F.any_value("path").alias("path"))  # repeated rows
-            paths = materialize(paths.join(split.select("unit").distinct(), "unit", "left_semi"), "paths")
-            chosen = chosen.unionByName(_buckets(paths, runs, more)[0])
-            runs += more
-    held = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.element_at(F.map_from_entries("all"), r)["key"], F.lit(0).cast("long")))
-    grouped = chosen.groupBy("unit").agg(F.collect_list(F.struct("run", F.struct("key", "size"))).alias("all"))  # runs rows at most
-    wide = grouped.select("unit", "all", held.alias("keys")).join(units.select("unit", "n", "copies", "sketch"), "unit")
-    tiles = F.ceil(F.col("b.col2.size") / BUCKET).cast("int")
-    member = wide.select("unit", "n", "copies", "sketch", "keys", F.explode("all").alias("b"))
-    member = member.withColumn("keys", F.slice("keys", 1, F.col("b.run")))  # those of earlier runs
-    member = member.select("unit", "n", "copies", "sketch", "keys", F.col("b.run").alias("run"), F.col("b.col2.key").alias("key"), tiles.alias("tiles"))
+    units = signed.where("n > 0 AND doc IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
+    units = materialize(units.withColumn("unit", F.monotonically_increasing_id()), "units")  # numbered once: they are read back
+
+    chosen = materialize(_buckets(units, runs).select("unit", "run", "key", "size"), "chosen")
+    grouped = chosen.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("run", "key", "size"))).alias("all"))  # runs x branches at most
+    wide = grouped.withColumn("keys", F.col("all.key")).join(units.select("unit", "n", "copies", "sketch"), "unit")
+    member = wide.select("unit", "n", "copies", "sketch", "keys", F.posexplode("all").alias("at", "b"))
+    tiles = F.ceil(F.col("b.size") / BUCKET).cast("int")
+    member = member.select("unit", "n", "copies", "sketch", F.slice("keys", F.lit(1), F.col("at")).alias("before"), F.col("b.key").alias("key"), tiles.alias("tiles"))
     member = member.withColumn("block", F.pmod(F.xxhash64("unit"), F.col("tiles")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     member = member.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "tiles")
     order = ["key", "i", "j"]
-    kinds = "key long, run int, i int, j int, block int, unit long, n int, copies long, keys array<long>"
-    likely = member.select("key", "run", "i", "j", "block", "unit", "n", "copies", "keys", "sketch").repartition(*order).sortWithinPartitions(*order)
+    kinds = "key long, i int, j int, block int, unit long, n int, copies long, before array<long>"
+    likely = member.select("key", "i", "j", "block", "unit", "n", "copies", "before", "sketch").repartition(*order).sortWithinPartitions(*order)
     likely = materialize(likely.mapInArrow(lambda it: _sift_batches(it, threshold), kinds), "likely")
 
     # the texts of likely units only are shingled again, and judged exactly
-    wanted = units.join(likely.select("unit").distinct(), "unit", "left_semi").select(F.col("first").alias("doc")).distinct()
-    again = rows.join(wanted, "doc", "left_semi").mapInArrow(lambda it: _shingle_batches(it, words), "h1 long, h2 long, n int, shingles binary")
-    sets = again.select(unit, "shingles").groupBy("unit").agg(F.any_value("shingles").alias("shingles"))  # repeated rows
-    judged = likely.join(sets, "unit").select("key", "run", "i", "j", "block", "unit", "n", "copies", "keys", "shingles")
+    wanted = materialize(units.join(likely.select("unit").distinct(), "unit", "left_semi").select(F.col("first").alias("doc"), "unit", "h1", "h2"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    again = rows.join(wanted, "doc").select("unit", "h1", "h2", "text").mapInArrow(lambda it: _shingle_batches(it, words), "unit long, shingles binary")
+    sets = again.groupBy("unit").agg(F.any_value("shingles").alias("shingles"))  # repeated rows
+    judged = likely.join(sets, "unit").select("key", "i", "j", "block", "unit", "n", "copies", "before", "shingles")
     judged = judged.repartition(*order).sortWithinPartitions(*order)
     judged = materialize(judged.mapInArrow(lambda it: _judge_batches(it, threshold), "unit long, links long, root long"), "links")
     links = judged.groupBy("unit").agg(F.sum("links").alias("links"))
     roots = components(judged.select(F.col("unit").alias("a"), F.col("root").alias("b")))
     firsts = units.select("unit", "first").join(roots.withColumnRenamed("node", "unit"), "unit")
-    classes = firsts.groupBy("root").agg(F.min("first").alias("class_id"))
-    found = units.join(links, "unit", "left").join(firsts.select("unit", "root").join(classes, "root"), "unit", "left")
-    found = found.select("h1", "h2", "n", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = firsts.groupBy("root").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("k"))
+    firsts = join_hot(firsts.select("unit", "root"), materialize(classes, "classes"), ["root"], "k", firsts.count())
+    found = units.join(links, "unit", "left").join(firsts, "unit", "left")
+    found = found.select("h1", "h2", "n", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("k"))
     own = signed.select("doc", "h1", "h2", F.when(F.col("doc").isNotNull(), F.col("n")).alias("n"))
-    out = own.join(found, ["h1", "h2", "n"], "left")
+    out = join_hot(own, materialize(found, "found"), ["h1", "h2", "n"], "k", own.count(), "left")
     return out.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
