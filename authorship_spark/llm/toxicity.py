@@ -1,30 +1,33 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols (insult, threat, modal, target, negation, report, clause end,
-other). Small transducers rewrite the symbol stream, each adding what it knows:
-the threat transducer joins a modal to a threat word, the target transducer marks
-what is aimed at someone, the negation transducer what is denied, the reported-
-speech transducer what is only quoted. Their composition is compiled into one
-table, so a text is read once. What comes out are matched clauses; a logistic
-model over the weights of each kind of clause gives the score.
-
-Which words insult is learned from labelled documents, on top of a short fixed
-list: a word, or the beginning of a word, that stands in many toxic documents and
-in hardly any other.
+other). Small weighted transducers rewrite the symbol stream: the matcher finds
+insults and joins a modal to a threat word, the aim transducer marks what has a
+target before or after it in its clause, the negation transducer what is denied, the
+reported-speech transducer what is only quoted. An arc may carry a weight; weights
+add up along a clause, so a clause is worth what its whole path says: an insult
+without a target little, one aimed at someone much, a denied or quoted one less. The
+composition is compiled into one table, so a text is read once. A text's score is
+the logistic of its matched clauses' weights and an intercept.
+
+The weights of the arcs are learned from labelled documents, and so are further
+insults and what each is worth: a word that stands in many toxic documents and in
+hardly any other.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ready, text_of
+from .common import materialize, ready, text_of, whole_row, with_columns
 from .words import WordMemory
 
 #: Fixed word lists: what the grammar knows before it has seen a label.
@@ -35,158 +38,166 @@ TARGETS = "you your you're he she him her they them people all everyone tu te to
 NEGATIONS = "not no never don't isn't aren't cannot without ne pas jamais non nicht kein keine nie ni nunca jamás sin".split()
 REPORTS = "said says called calls wrote claimed quoted dit appelle écrit sagte nannte schrieb dijo llamó escribió".split()
 
-OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, STOP, QUOTE = range(9)
+OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, STOP, QUOTE, HIT = range(10)
 #: Tokens that a negation reaches.
 REACH = 3
-#: Beginnings of words that may be learned.
-PREFIXES = range(3, 9)
 #: Labelled documents of each class that the lexicon and the model are fitted on, at most.
 MAX_LABELLED = 10_000
 #: A learned word stands in this share of the toxic documents (and in four)...
 COVER = 0.015
 #: ...and is so much more likely there than elsewhere.
 LIFT = 100.0
-MAX_LEXICON = 5_000
 #: Documents get label 1 from this score on.
 CUT = 0.3
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]|[\"“”«»]")
-#: Kinds of matched clauses: (threat, targeted, negated, reported).
-KINDS = [(h, t, n, r) for h in (0, 1) for t in (0, 1) for n in (0, 1) for r in (0, 1)]
-#: The model before any label: intercept, then a weight for each kind.
-PRIOR = np.array([-3.0] + [5.0 + 0.5 * h + 1.0 * t - 2.0 * n - 2.0 * r for h, t, n, r in KINDS])
+#: The weighted arcs: a first insult of a clause, a further one, a threat, and what hits are aimed, denied, told.
+ARCS = ("insult", "again", "threat", "aimed", "denied", "reported")
+#: The model before any label: the intercept, then each arc's weight.
+PRIOR = np.array([-3.0, 1.5, 0.5, 2.0, 2.5, -1.5, -1.5])
+#: Arcs whose weight is multiplied by what the word is worth.
+_LEXICAL = ("insult", "again")
 
 
 @dataclass
 class Transducer:
-    """Arcs (state, symbol) -> (next state, symbol out); a symbol without an arc passes in place."""
+    """Arcs (state, symbol) -> (next state, symbol out, name of the weight or None).
 
-    arcs: dict = field(default_factory=dict)
-    start: object = 0
-
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol))
-
-
-def compose(*chain: Transducer):
-    """One step through all of ``chain``: what one puts out, the next one reads."""
-
-    def step(states, symbol):
-        out = []
-        for machine, state in zip(chain, states, strict=True):
-            state, symbol = machine.step(state, symbol)
-            out.append(state)
-        return tuple(out), symbol
-
-    return tuple(m.start for m in chain), step
+    A symbol without an arc passes in place and weighs nothing; a clause end leads to the start.
+    """
 
+    arcs: dict
 
-def _hits(base: int) -> list:
-    return [(base, t, n, r) for t in (0, 1) for n in (0, 1) for r in (0, 1)]
+    def step(self, state, symbol):
+        if (state, symbol) in self.arcs:
+            return self.arcs[state, symbol]
+        return (0 if symbol == STOP else state), symbol, None
+
+
+def grammar() -> list[Transducer]:
+    """The chain of transducers: what one puts out, the next one reads."""
+    # states: 1 after a modal, 2 after an insult, 3 after both
+    match = {(k, INSULT): (k | 2, HIT, "again" if k & 2 else "insult") for k in range(4)} | {(k, MODAL): (k | 1, MODAL, None) for k in range(4)}
+    match |= {(k, THREAT): (k & 2, HIT, "threat") for k in (1, 3)}
+    # states: 1 after a target, 2 after a hit without one
+    aim = {(k, TARGET): (1, TARGET, None) for k in (0, 1)} | {(0, HIT): (2, HIT, None), (1, HIT): (1, HIT, "aimed"), (2, TARGET): (1, TARGET, "aimed")}
+    # states: tokens that the negation still reaches
+    deny = {(k, NEGATION): (REACH, NEGATION, None) for k in range(REACH + 1)}
+    for k in range(1, REACH + 1):
+        deny |= {(k, s): (k - 1, s, "denied" if s == HIT else None) for s in (OTHER, THREAT, MODAL, TARGET, REPORT, QUOTE, HIT)}
+    # states: 1 after a reporting word, to the end of the clause; 2 in a quotation after one, to its end
+    told = {(0, REPORT): (1, REPORT, None), (1, QUOTE): (2, QUOTE, None), (2, QUOTE): (0, QUOTE, None), (2, STOP): (2, STOP, None)}
+    told |= {(k, HIT): (k, HIT, "reported") for k in (1, 2)}
+    return [Transducer(match), Transducer(aim), Transducer(deny), Transducer(told)]
 
 
-def grammar():
-    """The composed transducers; symbols that come out as tuples are matches of that kind."""
-    match = Transducer({(0, INSULT): (0, (0, 0, 0, 0)), (0, MODAL): (1, MODAL), (1, THREAT): (0, (1, 0, 0, 0)), (1, STOP): (0, STOP)})
-    both = [*_hits(0), *_hits(1)]
-    aim = Transducer({(0, TARGET): (1, TARGET), (1, STOP): (0, STOP)} | {(1, h): (1, (h[0], 1, h[2], h[3])) for h in both})
-    deny = {(k, NEGATION): (REACH, NEGATION) for k in range(REACH + 1)} | {(k, STOP): (0, STOP) for k in range(REACH + 1)}
-    for k in range(1, REACH + 1):
-        deny |= {(k, s): (k - 1, s) for s in (OTHER, MODAL, THREAT, TARGET, REPORT, QUOTE)} | {(k, h): (k - 1, (h[0], h[1], 1, h[3])) for h in both}
-    # a report opens at a reporting word and ends with its clause, or, once quoted, with the quotation
-    told = {(0, REPORT): (1, REPORT), (1, STOP): (0, STOP), (1, QUOTE): (2, QUOTE), (2, QUOTE): (0, QUOTE)}
-    told |= {(k, h): (k, (h[0], h[1], h[2], 1)) for k in (1, 2) for h in both}
-    return compose(match, aim, Transducer(deny), Transducer(told))
+def composed(chain: list[Transducer], states: tuple, symbol: int) -> tuple[tuple, int]:
+    """One step through all of ``chain``: the states after it, and the weighted arcs on its way as bits."""
+    after, taken = [], 0
+    for machine, state in zip(chain, states, strict=True):
+        state, symbol, name = machine.step(state, symbol)
+        after.append(state)
+        taken |= 1 << ARCS.index(name) if name else 0
+    return tuple(after), taken
 
 
 class Reader:
-    """Reads texts with the compiled grammar under a lexicon of insults (words, and beginnings ending in *)."""
-
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = {w: 1.0 for w in INSULTS} | lexicon
-        fixed = {w: s for s, ws in ((THREAT, THREATS), (MODAL, MODALS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-        fixed |= dict.fromkeys(".!?;\n", STOP) | dict.fromkeys("\"“”«»", QUOTE)
-        self.fixed = fixed
-        self.start, step = grammar()
+    """Reads texts with the compiled grammar under a lexicon of insults and what each is worth."""
+
+    def __init__(self, lexicon: dict[str, float], weights: np.ndarray = PRIOR):
+        self.lexicon = dict.fromkeys(INSULTS, 1.0) | lexicon
+        self.fixed = {w: s for s, ws in ((THREAT, THREATS), (MODAL, MODALS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+        self.fixed |= dict.fromkeys(".!?;\n", STOP) | dict.fromkeys("\"“”«»", QUOTE)
         self.memory = WordMemory(self._symbols, limit=500_000)
+        self.weights = dict(zip(ARCS, weights[1:].tolist(), strict=True))
         # compile: numbers for the states that can be reached, and a table over them
-        number, todo, self.table = {self.start: 0}, [self.start], []
+        chain = grammar()
+        number, todo, self.table = {(0,) * len(chain): 0}, [(0,) * len(chain)], []
         while todo:
-            state = todo.pop(0)
-            row = []
-            for symbol in range(9):
-                after, out = step(state, symbol)
+            state, row = todo.pop(0), []
+            for symbol in range(HIT):
+                after, taken = composed(chain, state, symbol)
                 if after not in number:
                     number[after] = len(number)
                     todo.append(after)
-                row.append((number[after], KINDS.index(out) if isinstance(out, tuple) else -1))
+                row.append((number[after], taken, symbol == STOP))
             self.table.append(row)
 
     def _symbols(self, words: list[str]) -> Iterator[tuple[int, float]]:
         for word in words:
             low = word.lower()
-            weight = max(self.lexicon.get(low, 0.0), *(self.lexicon.get(low[:k] + "*", 0.0) for k in PREFIXES if k < len(low)), 0.0)
-            yield (INSULT, weight) if weight else (self.fixed.get(low, OTHER), 0.0)
-
-    def read(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-        """Per text: the summed weight of each kind of match, and its matched clauses' kinds."""
-        table = self.table
+            yield (INSULT, self.lexicon[low]) if low in self.lexicon else (self.fixed.get(low, OTHER), 1.0)
+
+    def clauses(self, values: list[tuple[int, float]]) -> Iterator[dict[str, float]]:
+        """Per matched clause: what was met on each weighted arc of its path."""
+        state, clause = 0, {}
+        for symbol, worth in values:
+            state, taken, ends = self.table[state][symbol]
+            if taken:
+                for k, name in enumerate(ARCS):
+                    if taken >> k & 1:
+                        clause[name] = clause.get(name, 0.0) + (worth if name in _LEXICAL else 1.0)
+            if ends and clause:
+                yield clause
+                clause = {}
+        if clause:
+            yield clause
+
+    def read(self, texts: list[str]) -> Iterator[list[dict[str, float]]]:
+        """Per text its matched clauses."""
         for values in self.memory.texts(texts, _TOKEN.findall):
-            sums, found = np.zeros(len(KINDS)), []
-            if any(v[0] == INSULT or v[0] == THREAT for v in values):
-                state = 0
-                for symbol, weight in values:
-                    state, kind = table[state][symbol]
-                    if kind >= 0:
-                        sums[kind] += weight or 1.0
-                        found.append("".join(name for name, on in zip(("threat ", "targeted ", "negated ", "reported "), KINDS[kind], strict=True) if on).strip() or "insult")
-            yield sums, found
+            yield list(self.clauses(values)) if any(v[0] == INSULT or v[0] == THREAT for v in values) else []
+
+    def weight(self, clause: dict[str, float]) -> float:
+        """What a clause is worth: the weights along its path, at least nothing."""
+        return max(0.0, sum(self.weights[name] * n for name, n in clause.items()))
 
 
 _READERS: dict[tuple, Reader] = {}
 
 
-def _reader(lexicon: tuple) -> Reader:
+def _reader(lexicon: tuple, weights: tuple) -> Reader:
     """One reader a worker keeps between its tasks."""
-    if lexicon not in _READERS:
+    if (lexicon, weights) not in _READERS:
         _READERS.clear()
-        _READERS[lexicon] = Reader(dict(lexicon))
-    return _READERS[lexicon]
+        _READERS[lexicon, weights] = Reader(dict(lexicon), np.array(weights))
+    return _READERS[lexicon, weights]
 
 
-def _features(sums: np.ndarray) -> np.ndarray:
-    """Many matches say more than one, with less and less effect."""
-    return np.concatenate([[1.0], np.log1p(sums) / np.log(2)])
+def _feature_batches(batches: Iterator[pa.RecordBatch], lexicon: tuple) -> Iterator[pa.RecordBatch]:
+    reader = _reader(lexicon, tuple(PRIOR.tolist()))
+    for batch in batches:
+        x = [[1.0, *(sum(c.get(name, 0.0) for c in found) for name in ARCS)] for found in reader.read(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
 
-def _read_batches(batches: Iterator[pa.RecordBatch], lexicon: tuple, weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    reader = _reader(lexicon)
+def _score_batches(batches: Iterator[pa.RecordBatch], lexicon: tuple, weights: tuple) -> Iterator[pa.RecordBatch]:
+    reader = _reader(lexicon, weights)
     for batch in batches:
-        x, found = [], []
-        for sums, kinds in reader.read(batch.column(batch.num_columns - 1).to_pylist()):
-            x.append(_features(sums)), found.append(kinds)
-        x = np.array(x).reshape(len(found), len(PRIOR))
-        if weights is None:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(x), pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "x"])
-        else:
-            score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "score", "clauses"])
+        total, kinds = [], []
+        for found in reader.read(batch.column(1).to_pylist()):
+            total.append(weights[0] + sum(map(reader.weight, found)))
+            kinds.append([" ".join(name for name in ARCS if name in c) for c in found])
+        score = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(kinds, pa.list_(pa.string()))], names=[batch.schema.names[0], "score", "clauses"])
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Words and beginnings of words that tell toxic (label 1) from other texts: (text, label) rows, no null."""
+    """Words that tell toxic (label 1) from other texts, and what each is worth: (text, label) rows, no null.
+
+    A word that is as much likelier in toxic texts as LIFT says is worth one fixed
+    insult, at most two. Each word stands in a share of COVER of the toxic texts, so
+    there are at most as many as one toxic text has words, over COVER.
+    """
     n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return {}
     words = labelled.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}']+", -1))).alias("word")).where("word <> ''")
     counted = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all"))
-    starts = F.transform(F.sequence(F.lit(PREFIXES.start), F.least(F.length("word") - 1, F.lit(PREFIXES.stop - 1))), lambda k: F.concat(F.left("word", k), F.lit("*")))
-    forms = F.when(F.length("word") > PREFIXES.start, F.concat(F.array("word"), starts)).otherwise(F.array("word"))
-    formed = counted.select("bad", "all", F.explode(forms).alias("form")).groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("all") - F.col("bad") + 0.25) / (good + 1))
-    told = formed.where((F.col("bad") >= max(4, COVER * bad)) & (lift >= LIFT)).withColumn("lift", lift)
-    return {r["form"]: 1.0 for r in told.orderBy(F.desc("lift"), F.desc("bad"), "form").limit(MAX_LEXICON).collect()}
+    told = counted.where((F.col("bad") >= max(4, COVER * bad)) & (lift >= LIFT)).select("word", F.least(F.lit(2.0), F.log(lift) / math.log(LIFT)).alias("worth"))
+    return {r["word"]: r["worth"] for r in told.collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
@@ -224,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     held = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(sample, "_id")
     held = materialize(held.select("text", "label"), "labelled")
     lexicon = learn_lexicon(held)
-    seen = held.select("label", "text").mapInArrow(lambda it, lex=tuple(sorted(lexicon.items())): _read_batches(it, lex, None), "label int, x array<double>")
+    seen = held.select("label", "text").mapInArrow(lambda it, lex=tuple(sorted(lexicon.items())): _feature_batches(it, lex), "label int, x array<double>")
     rows = seen.groupBy("x").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).collect()  # the sample's distinct feature vectors
     if not rows:
         return lexicon, PRIOR.copy()
@@ -233,28 +244,28 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return lexicon, fit(x, y)
 
 
+def _scored(docs: DataFrame, first: Column, lexicon: dict[str, float], weights: np.ndarray, text_col: str) -> DataFrame:
+    """(first, score, clauses, predicted) of every row."""
+    ready(docs.sparkSession)
+    lex, own = tuple(sorted(lexicon.items())), tuple(float(w) for w in weights)
+    rows = docs.select(first.alias("row"), text_of(text_col).alias("text"))
+    scored = rows.mapInArrow(lambda it: _score_batches(it, lex, own), f"row {rows.schema['row'].dataType.simpleString()}, score double, clauses array<string>")
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
 def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, score (0 to 1), predicted (1 from CUT on) and clauses (kinds of matches) of every whole text.
+    """``id_col``, score (0 to 1), predicted (1 from CUT on) and clauses (arcs of the matched ones) of every whole text.
 
     A null or empty text has the score of a text without matches. One row per
-    input row; only the text is looked at. Map-only.
+    input row; only the text is looked at. Map-only. An empty table gives no rows.
     """
-    ready(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    lex = tuple(sorted(lexicon.items()))
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
-    scored = rows.mapInArrow(lambda it: _read_batches(it, lex, weights), f"`{id_col}` {kind}, score double, clauses array<string>")
-    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return _scored(docs, F.col(id_col), lexicon, weights, text_col).withColumnRenamed("row", id_col)
 
 
 def score_rows(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, and score, clauses and predicted beside them (see score)."""
-    ready(docs.sparkSession)
-    lex = tuple(sorted(lexicon.items()))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_of(text_col).alias("_text"))
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, score double, clauses array<string>"
-    scored = rows.mapInArrow(lambda it: _read_batches(it, lex, weights), schema)
-    return scored.select("_row.*", "score", "clauses", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    """``docs`` with all its columns, and score, clauses and predicted (see score), which take the place of those of their names."""
+    scored = _scored(docs, whole_row(docs), lexicon, weights, text_col)
+    return with_columns(scored, docs, {c: F.col(c) for c in ("score", "clauses", "predicted")})
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,5 +1,7 @@
 """Surrogates keep form, coreference and distinctness; the toxicity grammar reads clauses."""
 
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -82,13 +84,43 @@ def test_each_kind_alone(spark):
 
 def test_grammar():
     reader = toxicity.Reader({})
-    kinds = lambda text: next(iter(reader.read([text])))[1]
+    read = lambda text: next(iter(reader.read([text])))
+    kinds = lambda text: [" ".join(a for a in toxicity.ARCS if a in c) for c in read(text)]
     assert kinds("What a moron") == ["insult"]
-    assert kinds("You are a moron.") == ["targeted"]
-    assert kinds("You are not a moron.") == ["targeted negated"]
-    assert kinds('She said "moron". Then moron') == ["targeted reported", "insult"]
-    assert kinds("We will kill you") == ["threat"]
+    assert kinds("You are a moron.") == kinds("Moron, you!") == ["insult aimed"]
+    assert kinds("You are not a moron.") == ["insult aimed denied"]
+    assert kinds('She said "moron". Then moron') == ["insult aimed reported", "insult"]
+    assert kinds("What a stupid stupid clown") == ["insult again"]
+    assert kinds("We will kill you") == ["threat aimed"] and kinds("We will kill time") == ["threat"]
     assert kinds("they kill time") == [] and kinds("") == []
+    # before any label: a word alone, a denied and a quoted one stay under the cut, an aimed one and a threat don't
+    score = lambda text: 1 / (1 + math.exp(-toxicity.PRIOR[0] - sum(map(reader.weight, read(text)))))
+    assert max(map(score, ("What a moron", "It is not a moron", "The paper wrote moron", ""))) < toxicity.CUT
+    assert min(map(score, ("You are a moron", "We will kill you", "moron, all of you"))) >= toxicity.CUT
+    assert score("You are a moron") > score("You are not a moron") > score("")
+
+
+def test_compiled_grammar_against_each_transducer_in_turn():
+    """The table against the plain reading: the whole stream through one transducer after the other."""
+    rng = random.Random(5)
+    reader = toxicity.Reader({"w1": 1.5})
+    words = [(toxicity.INSULT, 1.5), (toxicity.INSULT, 1.0)] + [(s, 1.0) for s in range(toxicity.HIT) if s != toxicity.INSULT]
+    for _ in range(500):
+        values = [rng.choice(words) for _ in range(rng.randrange(30))]
+        symbols, met = [s for s, _ in values], [[] for _ in values]
+        for machine in toxicity.grammar():
+            state = 0
+            for k, symbol in enumerate(symbols):
+                state, symbols[k], name = machine.step(state, symbol)
+                met[k] += [name] if name else []
+        want, clause = [], {}
+        for k, (symbol, worth) in enumerate(values + [(toxicity.STOP, 1.0)]):
+            for name in met[k] if k < len(met) else []:
+                clause[name] = clause.get(name, 0) + (worth if name in ("insult", "again") else 1)
+            if symbol == toxicity.STOP:
+                want += [clause] if clause else []
+                clause = {}
+        assert list(reader.clauses(values)) == want
 
 
 def test_model(spark):
@@ -98,9 +130,15 @@ def test_model(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(None, 1), (7, None)], "doc_id long, toxic int")
     lexicon, weights = toxicity.learn(docs, labels)
-    assert "zorgl*" in lexicon
+    assert {"zorgle", "zorglex"} <= set(lexicon)
     got = {r["doc_id"]: r for r in toxicity.score(docs, lexicon, weights).collect()}
     assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(200)) and got[500]["score"] == got[501]["score"] < 0.3
+    twice = docs.unionByName(docs.where("doc_id = 4")).withColumn("predicted", F.lit("mine"))
+    rows = toxicity.score_rows(twice.withColumn("score", F.lit("old")), lexicon, weights)
+    assert rows.columns == [*twice.columns, "clauses"] and rows.where("doc_id = 4").select("score").distinct().count() == 1
+    assert {r["doc_id"]: r["score"] for r in rows.collect()} == {i: r["score"] for i, r in got.items()}
+    long = spark.createDataFrame([(1, "fine words here. " * 200_000 + "zorgle"), (2, "x" * 1_000_000)], "doc_id long, text string")
+    assert [r["predicted"] for r in toxicity.score(long, lexicon, weights).orderBy("doc_id").collect()] == [1, 0]
     none = docs.where("false")
     lexicon, weights = toxicity.learn(none, labels)
     assert toxicity.score(none, lexicon, weights).count() == 0
