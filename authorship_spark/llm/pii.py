@@ -9,8 +9,8 @@ gender of a title, country codes and check digits. The distinct units of the who
 corpus are then checked: no two of a kind may have one surrogate, and none may be
 a value that occurs; units that fail are hashed again until all are distinct, and
 from the fourth time on surrogates grow, so that short values never run out of
-them. Masks (one sign again and again, as in ``********``) stay. Only SQL functions
-are used.
+them. Masks (one sign again and again, as in ``********``) stay, and so do numbers of
+a card's form whose check digit isn't a card's. Only SQL functions are used.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import column, join_hot, materialize, text_of, with_columns
 
 #: Titles by the gender that they tell.
 TITLES = {
@@ -33,6 +33,7 @@ _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{Lu}\p{L}|\p{L}{3})|-(?=\p{Lu}))+"
 _INITIALS = r"(?:\p{Lu}\. ?){0,3}"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
+CARD = "[0-9](?:[ -]?[0-9]){12,18}"
 #: One alternative for each kind; the first that fits at a place counts.
 KINDS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
@@ -42,7 +43,7 @@ KINDS = {
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": rf"(?<![0-9]){CARD}(?![0-9])",
     "phone": r"(?<![0-9\w])(?:\+(?=(?:[ ().-]{0,2}[0-9]){8})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_INITIALS}{_NAME}(?: {_INITIALS}{_NAME})?",
 }
@@ -72,7 +73,7 @@ def _kind(m: Column) -> Column:
         # the tests of one match; what stands around it was seen when it was found
         own = {
             "email": "@.*\\.", "secret": rf"^(?i:{'|'.join(SECRETS)})\s{{0,2}}[=:]", "ip": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$",
-            "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": r"^[0-9](?:[ -]?[0-9]){12,18}$", "phone": r"^[+(0-9]", "person": rf"^(?:{_TITLE})\.? ",
+            "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": f"^{CARD}$", "phone": r"^[+(0-9]", "person": rf"^(?:{_TITLE})\.? ",
         }.get(kind, f"^(?:{pattern})$")
         out = F.when(m.rlike(own), F.lit(kind)).otherwise(out)
     return out
@@ -120,6 +121,7 @@ def with_units(entities: DataFrame) -> DataFrame:
         .when(kind == "phone", F.array(unit(kind, F.right("digits", F.lit(10)))))
         .when(kind.isin("card", "ssn"), F.array(unit(kind, F.col("digits"))))
         .when(kind == "ip", F.array(unit(kind, m)))
+        .when(kind == "iban", F.array(unit(kind, F.replace(m, F.lit(" ")))))
         .otherwise(F.array(unit(kind, F.regexp_replace("rest", " ", ""))))
     )
     return rows.withColumn("units", parts)
@@ -127,7 +129,19 @@ def with_units(entities: DataFrame) -> DataFrame:
 
 def _spelled(kind: Column, canon: Column) -> Column:
     """The part of a unit's canonical value that its surrogate spells anew."""
-    return F.when(kind == "email", F.substring_index(canon, "@", 1)).when(kind == "domain", F.regexp_replace(canon, r"\.[^.]*$", "")).otherwise(canon)
+    email, domain = F.substring_index(canon, "@", 1), F.regexp_replace(canon, r"\.[^.]*$", "")
+    return F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "iban", F.substring(canon, 5, 1 << 30)).otherwise(canon)
+
+
+def _mod97(account: Column) -> Column:
+    """The remainder by which an account number with its country and check digits behind it is judged: 1 is right."""
+    values = F.transform(F.split(account, ""), lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(F.ascii(c) - 48))
+    return F.aggregate(values, F.lit(0), lambda r, v: ((r * F.when(v > 9, 100).otherwise(10) + v) % 97).cast("int"))
+
+
+def is_entity(m: Column) -> Column:
+    """Whether a match is what it looks like: digits of a card's form have to end in its check digit."""
+    return ~m.rlike(f"^(?:{CARD})$") | F.call_function("luhn_check", _digits(m))
 
 
 def with_surrogates(units: DataFrame, key: str) -> DataFrame:
@@ -168,6 +182,10 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(F.left("number", n - 1), d.cast("string")))
     luhn = lambda x: F.call_function("luhn_check", x)
     rows = rows.withColumn("valid", F.when(luhn(canon), F.array_join(F.filter(ends, luhn), "")).otherwise(F.col("number")))
+    # an account's check digits fit, where they did
+    turned = F.concat(F.col("text"), F.substring("canon", 1, 2))
+    fits = _mod97(F.concat(F.substring(canon, 5, 1 << 30), F.substring(canon, 1, 4))) == 1
+    checked = F.when(fits, F.lpad((98 - _mod97(F.concat(turned, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.concat(*((byte(F.lit(60 + k)) % 10).cast("string") for k in (0, 1))))
     octets = F.concat_ws(".", *((byte(F.lit(k)) % 254 + 1).cast("string") for k in range(4)))
     # names of three syllables; a first name ends as its gender's names tend to
     script = canon.rlike(r"\p{IsCyrillic}")
@@ -181,6 +199,7 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
         .when(kind == "card", F.col("valid"))
         .when(kind.isin("phone", "ssn"), F.col("number"))
         .when(kind == "ip", octets)
+        .when(kind == "iban", F.concat(checked, "text"))
         .when(kind.isin("first_f", "first_m", "first_n", "last"), F.col("name"))
         .otherwise(F.col("text"))
     )
@@ -229,7 +248,7 @@ def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
         now = materialize(with_surrogates(now, key), "surrogates")
         domain = F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1))
         twice = now.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "new", domain).orderBy("attempt", "canon"))).where("nth > 1")
-        there = now.select("kind", F.when(F.col("kind") == "email", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("low")).distinct()
+        there = now.select("kind", F.when(F.col("kind") == "email", F.substring_index("canon", "@", 1)).when(F.col("kind") == "iban", F.substring("canon", 3, 1 << 30)).otherwise(F.col("canon")).alias("low")).distinct()
         taken = now.withColumn("low", F.when(F.col("kind").isin("first_f", "first_m", "first_n", "last"), F.lower("new")).otherwise(F.col("new"))).join(there, ["kind", "low"], "left_semi")
         bad = twice.select("kind", "canon").unionByName(taken.select("kind", "canon")).distinct().withColumn("bad", F.lit(1))
         bad = materialize(bad, "taken")
@@ -241,31 +260,37 @@ def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in place of entities, and ``entities`` (kind, surrogate) in order.
 
-    All rows and columns stay; texts without an entity are unchanged, a null text
-    becomes empty. The same key gives the same surrogates for the same corpus.
-    A surname that follows a title is replaced wherever its document has it.
-    Repeated rows get equal results. Only texts with entities are shuffled.
+    All rows and columns stay (``entities`` takes the place of a column of that name; no
+    other name can clash); texts without an entity are unchanged, a null text becomes
+    empty. The same key gives the same surrogates for the same corpus. A surname that
+    follows a title is replaced wherever its row has it. Repeated rows get equal
+    results; ids aren't read. Only texts with entities are shuffled. An empty table
+    gives no rows.
     """
     text = text_of(text_col)
     found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    others = F.struct(F.lit(None).cast("int").alias("none"), *(column(c) for c in docs.columns if c != text_col))
     # written once, so that no text is searched again for the mentions, the filling and the rest
-    marked = materialize(docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))), "marked")
-    some = marked.where(F.size("_found") > 0)
-    people = F.filter("_found", lambda m: m.rlike(rf"^(?:{_TITLE})\.? \p{{Lu}}"))
-    some = some.withColumn("_surnames", F.array_distinct(F.transform(people, _surname)))
-    pattern = F.when(F.size("_surnames") > 0, _pattern_with(F.col("_surnames"))).otherwise(F.lit(PATTERN))
-    some = some.withColumn("_pattern", pattern)
-    again = F.regexp_extract_all(text, F.col("_pattern"), F.lit(0))
-    some = some.withColumn("_found", F.when(F.size("_surnames") > 0, again).otherwise(F.col("_found")))
-    mentions = materialize(some.select(F.col(id_col).alias("_doc"), F.explode(F.array_distinct("_found")).alias("m")).distinct(), "mentions")
-    entities = materialize(with_units(mentions.select("m").distinct()), "entities")
+    marked = docs.select(others.alias("row"), text.alias("text"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
+    marked = materialize(marked.withColumn("k", F.monotonically_increasing_id()), "marked")
+    any_entity = F.exists("found", is_entity)
+    some = marked.where(any_entity)
+    people = F.filter("found", lambda m: m.rlike(rf"^(?:{_TITLE})\.? \p{{Lu}}"))
+    some = some.withColumn("surnames", F.array_distinct(F.transform(people, _surname)))
+    pattern = F.when(F.size("surnames") > 0, _pattern_with(F.col("surnames"))).otherwise(F.lit(PATTERN))
+    some = some.withColumn("pattern", pattern)
+    again = F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
+    some = some.withColumn("found", F.when(F.size("surnames") > 0, again).otherwise(F.col("found")))
+    mentions = materialize(some.select("k", F.explode(F.array_distinct(F.filter("found", is_entity))).alias("m")), "mentions")
+    entities = materialize(with_units(mentions.groupBy("m").agg(F.count(F.lit(1)).alias("n"))), "entities")
     mapping = distinct_surrogates(entities.select(F.explode("units").alias("u")).select("u.kind", "u.canon"), key)
-    new = mentions.join(rendered(entities, mapping), "m")
-    by_doc = new.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("kind", "surrogate")))).alias("_map"))  # a document's entities at most
-    rows = some.join(by_doc, F.col(id_col).eqNullSafe(F.col("_doc")))
-    rows = rows.withColumn("entities", F.transform("_found", lambda m: F.element_at("_map", m)))
-    gaps = F.split(text, F.col("_pattern"), -1)
-    filled = F.array_join(F.zip_with(gaps, "entities", lambda gap, e: F.concat(gap, F.coalesce(e["surrogate"], F.lit("")))), "")
-    keep = lambda new_text: [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    none = F.array().cast("array<struct<kind:string,surrogate:string>>").alias("entities")
-    return rows.select(*keep(filled), "entities").unionByName(marked.where(F.size("_found") == 0).select(*keep(text), none))
+    new = materialize(rendered(entities, mapping).join(entities.select("m", "n"), "m"), "rendered")
+    by_row = join_hot(mentions, new, ["m"], "n", mentions.count())
+    by_row = by_row.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct("kind", "surrogate")))).alias("map"))  # a text's entities at most
+    rows = some.join(by_row, "k")
+    filling = F.transform("found", lambda m: F.coalesce(F.element_at("map", m)["surrogate"], m))
+    filled = F.array_join(F.zip_with(F.split("text", F.col("pattern"), -1), filling, lambda gap, e: F.concat(gap, F.coalesce(e, F.lit("")))), "")
+    listed = F.filter(F.transform("found", lambda m: F.element_at("map", m)), lambda e: e.isNotNull())
+    none = F.array().cast("array<struct<kind:string,surrogate:string>>")
+    changed = with_columns(rows, docs, {text_col: filled, "entities": listed})
+    return changed.unionByName(with_columns(marked.where(~any_entity), docs, {text_col: F.col("text"), "entities": none}))
