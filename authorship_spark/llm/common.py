@@ -84,14 +84,19 @@ FEW = 500_000
 def join_hot(rows: DataFrame, values: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``values``, which has one row per key and in ``n`` how many of the ``total`` rows hold it.
 
-    Keys of more than a share of 1 / (4 x partitions) of all rows, of which there can be
-    4 x partitions at most, are broadcast; only the others are shuffled, so no task
-    gets all rows of a hot key. Keys are not null. ``n`` isn't in the result.
+    Keys of more than a share of 1 / (4 x partitions) of all rows are hot; there can be
+    4 x partitions of them at most, so they are listed and their values broadcast. Only
+    the rows of other keys are shuffled, and no task gets all rows of a hot key. ``n``
+    isn't in the result.
     """
     limit = max(1000, total // (4 * partitions(rows.sparkSession)))
-    hot, cold = values.where(F.col(n) > limit).drop(n), values.where(F.col(n) <= limit).drop(n)
-    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
-    return rows.join(F.broadcast(hot), on).unionByName(others)
+    key = F.xxhash64(*on)
+    hot = [r["key"] for r in values.where(F.col(n) > limit).select(key.alias("key")).collect()]
+    values = values.drop(n)
+    if not hot:
+        return rows.join(values, on, how)
+    met = rows.where(key.isin(hot)).join(F.broadcast(values.where(key.isin(hot))), on, how)
+    return met.unionByName(rows.where(~key.isin(hot)).join(values.where(~key.isin(hot)), on, how))
 
 
 def partitions(spark: SparkSession) -> int:

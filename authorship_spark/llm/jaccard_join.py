@@ -268,7 +268,9 @@ def _buckets(units: DataFrame, runs: int) -> DataFrame:
         if full.isEmpty():
             return chosen
         parts = F.explode(F.array(*(F.xxhash64(F.col("key"), token(step, b)) for b in range(BRANCH))))
-        below = full.join(units.select("unit", "tokens"), "unit").select("unit", "run", F.col("key").alias("whole"), F.col("size").alias("held"), parts.alias("key"))
+        below = full.groupBy("unit").agg(F.collect_list(F.struct("run", "key", "size")).alias("all")).join(units.select("unit", "tokens"), "unit")
+        below = below.select("unit", "tokens", F.inline("all"))
+        below = below.select("unit", "run", F.col("key").alias("whole"), F.col("size").alias("held"), parts.alias("key"))
         below, _ = _sized(below)
         below = materialize(below, "parts")
         largest = below.groupBy("whole", "held").agg(F.max("size").alias("most"))
