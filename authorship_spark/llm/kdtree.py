@@ -24,6 +24,8 @@ from .common import materialize, ready
 SHARD_ROWS = 4096
 BLOCK_ROWS = 256
 LEAF_ROWS = 64
+#: Blocks of queries that go through a tree in one piece of work.
+BLOCKS = 8
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -143,10 +145,12 @@ def _block_rows(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _search_rows(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for tree, queries in zip(pdf["tree"], pdf["queries"], strict=True):
-            q = _unpacked(queries)
-            found = list(search(_unpacked(tree), q["ids"], q["vectors"], q["floor"], q["has_floor"], k))
-            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        for tree, blocks in zip(pdf["tree"], pdf["blocks"], strict=True):
+            held = _unpacked(tree)  # once for all its blocks
+            for queries in blocks:
+                q = _unpacked(queries)
+                found = list(search(held, q["ids"], q["vectors"], q["floor"], q["has_floor"], k))
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -173,12 +177,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     n_points, n_asked = points.count(), asked.count()
     shards, blocks = max(1, -(-n_points // SHARD_ROWS)), max(1, -(-n_asked // BLOCK_ROWS))
     points = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    trees = points.groupBy("dim", "shard").applyInPandas(_tree_rows, "dim int, shard int, tree binary")
+    trees = materialize(points.groupBy("dim", "shard").applyInPandas(_tree_rows, "dim int, shard int, tree binary"), "trees")
+    salts = -(-blocks // BLOCKS)  # a shard meets its blocks in so many pieces of work, each in a task of its own
+    salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
     def meet(asked: DataFrame, shard_list) -> DataFrame:
         packed = asked.groupBy("dim", "block").applyInPandas(_block_rows, "dim int, block int, queries binary")
-        pairs = packed.withColumn("shard", F.explode(shard_list)).join(trees, ["dim", "shard"]).select("tree", "queries")
+        met = packed.withColumn("shard", F.explode(shard_list)).withColumn("salt", F.pmod("block", F.lit(salts)).cast("int"))
+        met = met.groupBy("dim", "shard", "salt").agg(F.collect_list("queries").alias("blocks"))  # about BLOCKS
+        pairs = met.join(salted, ["dim", "shard", "salt"]).select("tree", "blocks")
         return pairs.mapInPandas(lambda it: _search_rows(it, k), "query_id long, vec_id long, score long")
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")

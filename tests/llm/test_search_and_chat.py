@@ -20,7 +20,8 @@ def brute(rows, queries, k):
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(kdtree, "SHARD_ROWS", 60)
-    monkeypatch.setattr(kdtree, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(kdtree, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(kdtree, "BLOCKS", 2)
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(300)]
     rows += [(i, [0.5, -0.25, 0.0, 0.0, 1.0, 0.125]) for i in range(300, 420)]  # many equal vectors
@@ -30,6 +31,10 @@ def test_top_k(spark, monkeypatch):
     got = kdtree.top_k(df, df.where(F.col("vec_id").isin(asked)), k=5).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute(rows, asked, 5)
     assert kdtree.top_k(df.where("false"), df.where("false")).count() == 0
+    # repeated rows of an id are candidates each; a repeated query asks once
+    twice = df.where("vec_id IN (1, 2, 3)").unionByName(df.where("vec_id = 2"))
+    got = sorted((r["rank"], r["vec_id"]) for r in kdtree.top_k(twice, twice.where("vec_id = 1").unionByName(twice.where("vec_id = 1")), k=5).collect())
+    assert len(got) == 3 and [v for _, v in got].count(2) == 2
 
 
 def test_fold(spark):
