@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, jaccard_join, kdtree, line_dedup, packing, pii, spotsigs, token_counts, toxicity
-from .common import table, text_of
+from .common import materialize, table, text_of
 
 #: Where the public vocabularies lie; files are named by each query.
 VOCABULARY: Callable[[str], str] = public_tokenizers.path
@@ -112,20 +112,24 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    # the search for near documents asks for every row whose id is divisible by 50
+    prints = materialize(spotsigs.with_signatures(docs, "text", "signatures").select("doc_id", "signatures"), "prints")
+    near = spotsigs.near_counts(prints.where("doc_id IS NOT NULL"), F.col("doc_id") % 50 == 0).groupBy("doc_id").agg(F.max("n_near").alias("n_near"))
     # each document is the next one of another: it sends that one the beginning it needs, and its signatures
     sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     after = spotsigs.following(docs).withColumnRenamed("id", "before").join(sizes.withColumnRenamed("doc_id", "before"), "before")
     after = after.select(F.col("next").alias("doc_id"), "before", F.floor(F.col("n") / 2).cast("int").alias("needed"))
     # both sides of the later join start alike, so that they share one shuffle of the texts
     placed = spotsigs.with_signatures(docs.where("doc_id IS NOT NULL").join(after, "doc_id"), "text", "a")
-    sent = placed.select(F.col("before").alias("doc_id"), F.left("text", F.col("needed")).alias("other"), F.col("a").alias("c")).dropDuplicates(["doc_id"])
-    alone = spotsigs.with_signatures(docs.where("doc_id IS NULL"), "text", "a").withColumn("other", F.lit("")).withColumn("c", F.lit(None).cast("array<int>"))
+    sent = placed.select(F.col("before").alias("doc_id"), F.left("text", F.col("needed")).alias("other"), F.col("a").alias("c"))
+    sent = sent.groupBy("doc_id").agg(F.min(F.struct("other", "c")).alias("x")).select("doc_id", "x.*")  # of several texts of one id the least
+    alone = spotsigs.with_signatures(docs.where("doc_id IS NULL"), "text", "a").withColumn("other", F.lit("")).withColumn("c", F.lit(None).cast("array<long>"))
     rows = placed.select("doc_id", "text", "a").join(sent, "doc_id").unionByName(alone)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left(F.coalesce("other", F.lit("")), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", F.coalesce("c", F.array().cast("array<int>")).alias("c"), edited.alias("edited"))
-    rows = spotsigs.with_signatures(rows, "edited", "b")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", F.coalesce("c", F.array().cast("array<long>")).alias("c"), edited.alias("edited"))
+    rows = spotsigs.with_signatures(rows, "edited", "b").join(near, "doc_id", "left")
     return rows.select(
         "doc_id",
         "n_chars",
@@ -134,6 +138,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.fingerprint(F.col("b")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("a"), F.col("b")).alias("near_edited"),
         spotsigs.likeness(F.col("a"), F.col("c")).alias("near_next"),
+        "n_near",
     )
 
 

@@ -2,10 +2,11 @@
 
 Wherever a content word follows a common word (an anchor), the anchor and the
 chain of content words from there on make one signature; a document's fingerprint
-is its set of signatures. Layout, markup and lists, which have few anchors, weigh
-little. Sets are partitioned by their length: those of too different lengths can't
-be alike, and the others are compared by their Jaccard similarity. Only SQL
-functions are used.
+is its set of signatures (64 bits each). Layout, markup and lists, which have few
+anchors, weigh little. A search for near documents partitions the sets by their
+length: those of too different lengths can't be alike. Inside a partition a set meets
+those that hold one of its rarest signatures, and is compared with them by Jaccard
+similarity, pruned by their lengths. Only SQL functions are used.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, text_of
+from .common import FEW, join_hot, materialize, partitions, text_of
 
 #: Anchors: common words of English, French, German and Spanish.
 ANCHORS = (
@@ -27,7 +28,7 @@ ANCHORS = (
 
 
 def with_signatures(rows: DataFrame, text: str, name: str, chain: int = 2) -> DataFrame:
-    """Adds ``name``: the sorted distinct signatures (32 bits each) of the column ``text``.
+    """Adds ``name``: the sorted distinct signatures (64 bits each) of the column ``text``.
 
     A text without any chain after an anchor has its single words as signatures;
     one without words has none. Each step is a column, so none is computed twice.
@@ -36,22 +37,22 @@ def with_signatures(rows: DataFrame, text: str, name: str, chain: int = 2) -> Da
     nothing = F.array(F.lit(""))
     rows = rows.withColumn("_words", F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", -1))
     # content words; those right after an anchor carry it before a bar
-    mark = lambda p, w: F.when(w.isNull() | anchor(w), F.lit("")).when(anchor(p), F.concat(p, F.lit("|"), w)).otherwise(w)
+    mark = lambda p, w: F.when(w.isNull() | (w == "") | anchor(w), F.lit("")).when(anchor(p), F.concat(p, F.lit("|"), w)).otherwise(w)
     rows = rows.withColumn("_marked", F.filter(F.zip_with(F.concat(nothing, "_words"), "_words", mark), lambda w: w != ""))
     chains = F.col("_marked")
     for k in range(1, chain):
         later = F.concat(F.slice("_marked", k + 1, 1 << 30), F.array_repeat(F.lit(""), k))
         # a chain whose head carries no anchor is given up at once
         chains = F.zip_with(chains, later, lambda a, b: F.when(F.contains(a, F.lit("|")), F.concat(a, F.lit(" "), F.substring_index(F.coalesce(b, F.lit("")), "|", -1))).otherwise(a))
-    hashed = lambda x: F.transform(x, lambda w: F.hash(w))
+    hashed = lambda x: F.transform(x, lambda w: F.xxhash64(w))
     rows = rows.withColumn("_chains", F.filter(chains, lambda w: F.contains(w, F.lit("|"))))
     found = F.when(F.size("_chains") > 0, hashed(F.col("_chains"))).otherwise(hashed(F.filter("_words", lambda w: w != "")))
     return rows.withColumn(name, F.array_sort(F.array_distinct(found))).drop("_words", "_marked", "_chains")
 
 
 def fingerprint(sigs: Column) -> Column:
-    """A set of signatures as a string: eight hex digits each, in order."""
-    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.right(F.lower(F.hex(s)), F.lit(8)), 8, "0")), "")
+    """A set of signatures as a string: 16 hex digits each, in order."""
+    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
@@ -71,29 +72,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(id_col, "signatures", fingerprint(F.col("signatures")).alias("fingerprint"))
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, likeness) of distinct fingerprints at ``threshold`` or above, and membership.
+def near_counts(prints: DataFrame, asked: Column, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, n_near) of every row of ``prints`` (``id_col``, signatures).
 
-    Membership maps each row's id to its fingerprint's id (the least id that has it),
-    so copies aren't listed as pairs. Sets go to partitions by length, a geometric step
-    apart, and meet their own and the next one; there they join on their rarest
-    signatures, of which two sets that are alike must share one.
+    n_near is the number of other rows whose likeness to this one is ``threshold`` or
+    more, exactly; it's null where ``asked`` (a column of ``prints``) isn't true and
+    for empty sets. Rows of one fingerprint are one unit, so copies are counted and
+    not met one by one. Every asked unit meets all units of its own and the adjoining
+    partitions by length (a geometric step apart) that hold one of its rarest
+    signatures, of which a set that is alike must hold one.
     """
-    prints = fingerprints(docs, id_col, text_col)
-    units = prints.where(F.size("signatures") > 0).groupBy("fingerprint").agg(F.min(id_col).alias("unit"), F.any_value("signatures").alias("signatures"))
-    members = prints.select(F.col(id_col), "fingerprint").join(units.select("fingerprint", "unit"), "fingerprint", "left").select(id_col, F.coalesce("unit", id_col).alias("unit"))
-    each = units.select("unit", "signatures", F.explode("signatures").alias("s"))
-    times = each.groupBy("s").agg(F.count(F.lit(1)).alias("times"))
-    ranked = each.join(times, "s").withColumn("nth", F.row_number().over(Window.partitionBy("unit").orderBy("times", "s")))
+    few = lambda df: F.broadcast(df) if df.count() <= FEW else df
+    rows = prints.select(F.col(id_col), "signatures", F.coalesce(asked, F.lit(False)).alias("asked"), F.unhex(F.md5(fingerprint(F.col("signatures")))).alias("unit"))
+    units = rows.where(F.size("signatures") > 0).groupBy("unit").agg(F.any_value("signatures").alias("signatures"), F.count(F.lit(1)).alias("copies"), F.max("asked").alias("asked"))
     size = F.size("signatures")
-    prefix = ranked.where(F.col("nth") <= size - F.ceil(threshold * size - 1e-9) + 1)
     part = F.floor(F.log(size.cast("double")) / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else size
-    prefix = prefix.select("unit", "s", "signatures", part.alias("part"))
-    a = prefix.select(F.col("unit").alias("a"), F.col("signatures").alias("x"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("at"), F.col("part").alias("p"))
-    b = prefix.select(F.col("unit").alias("b"), F.col("signatures").alias("y"), "s", F.col("part").alias("at"))
-    met = a.join(b, ["s", "at"]).where((F.col("at") > F.col("p")) | (F.col("a") < F.col("b"))).where("a <> b")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("x"), F.col("y"), threshold).alias("likeness"))
-    return met.where(F.col("likeness") >= threshold - 1e-9).distinct(), members
+    units = materialize(units.withColumn("part", part), "units")
+    ours = units.where("asked").select("unit", F.explode("signatures").alias("s"))
+    times = units.select(F.explode("signatures").alias("s")).join(few(materialize(ours.select("s").distinct(), "asked")), "s", "left_semi")
+    times = materialize(times.groupBy("s").agg(F.count(F.lit(1)).alias("times")), "times")
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("times", "s"))), lambda x: x["s"])  # one set's signatures
+    rare = ours.join(times, "s").groupBy("unit").agg(rarest.alias("rare"))
+    enough = (F.size("rare") - F.ceil(threshold * F.size("rare") - 1e-9) + 1).cast("int")
+    queries = units.where("asked").select("unit", F.col("signatures").alias("own"), F.col("part").alias("p")).join(rare, "unit").withColumn("rare", F.slice("rare", F.lit(1), enough))
+    queries = queries.select(F.col("unit").alias("query"), "own", "rare", F.explode("rare").alias("s"), "p")
+    queries = few(materialize(queries.withColumn("part", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1))).drop("p"), "queries"))
+    met = units.select("signatures", "copies", "part", F.explode("signatures").alias("s")).join(queries, ["part", "s"])
+    least, most = F.least(size, F.size("own")), F.greatest(size, F.size("own"))
+    # a pair is judged once: at the first of the rare signatures that both hold
+    met = met.where((least >= threshold * most) & (F.col("s") == F.get(F.array_intersect("rare", "signatures"), F.lit(0))))
+    near = met.where(likeness(F.col("own"), F.col("signatures"), threshold) >= threshold - 1e-9).groupBy("query").agg(F.sum("copies").alias("near"))
+    found = units.where("asked").select("unit", F.col("copies").alias("k")).join(near.withColumnRenamed("query", "unit"), "unit").select("unit", (F.col("near") - 1).alias("n_near"), "k")
+    wanted = rows.where("asked").select(id_col, "unit")
+    counted = join_hot(wanted, materialize(found, "near"), ["unit"], "k", wanted.count(), "left").select(id_col, "n_near")
+    return counted.unionByName(rows.where("NOT asked").select(id_col, F.lit(None).cast("long").alias("n_near")))
 
 
 def following(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Jaccard join, components, line dedup and fingerprints against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from authorship_spark.llm import components, jaccard_join, line_dedup, spotsigs
+from authorship_spark.llm import components, jaccard_join, line_dedup, registry, spotsigs
 
 
 def shingled(text):
@@ -155,11 +156,62 @@ def test_fingerprints(spark):
     got = {r["doc_id"]: r for r in spotsigs.fingerprints(df).collect()}
     assert got[1]["fingerprint"] == got[2]["fingerprint"] != got[6]["fingerprint"] and got[3]["fingerprint"]
     assert got[4]["fingerprint"] == got[5]["fingerprint"] == got[7]["fingerprint"] == ""
-    pairs, members = spotsigs.near_pairs(df, threshold=0.5)
-    sets = {i: set(r["signatures"]) for i, r in got.items()}
-    want = {(a, b) for a in (1, 3, 6) for b in (1, 3, 6) if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and (1, 6) in want
-    assert {r["doc_id"]: r["unit"] for r in members.collect()}[2] == 1
+    assert spotsigs.fingerprints(df.where("false")).count() == 0
+
+
+def test_near_counts(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(60):
+        base = [rng.randrange(2000) + (0 if g % 3 else 5000) for _ in range(rng.choice([1, 4, 20, 60]))]
+        base += list(range(10_000, 10_010)) if g % 2 else []  # what half of them share
+        for _ in range(rng.choice([1, 2, 9])):
+            s = set(base)
+            for _ in range(rng.randrange(3)):
+                s = s - {rng.choice(sorted(s))} | {rng.randrange(100_000)}
+            rows.append((len(rows), sorted(s)))
+    rows += [(len(rows) + k, []) for k in range(3)]
+    prints = spark.createDataFrame(rows, "doc_id long, signatures array<long>")
+    got = {r["doc_id"]: r["n_near"] for r in spotsigs.near_counts(prints, F.col("doc_id") % 2 == 0).collect()}
+    sets = {i: set(s) for i, s in rows}
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+    want = {i: (sum(alike(s, t) for t in sets.values()) - 1 if s and i % 2 == 0 else None) for i, s in sets.items()}
+    assert got == want and max(v or 0 for v in want.values()) > 5
+    assert spotsigs.near_counts(prints.where("false"), F.col("doc_id") % 2 == 0).count() == 0
+
+
+def signatures_of(text):
+    """The chains of a text, read word by word."""
+    words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    anchors = set(spotsigs.ANCHORS)
+    content = [(w, words[k - 1] if k and words[k - 1] in anchors else "") for k, w in enumerate(words) if w not in anchors]
+    chains = {(p, w, content[k + 1][0] if k + 1 < len(content) else "") for k, (w, p) in enumerate(content) if p}
+    return chains or set(words)
+
+
+def test_fingerprint_query(spark, tmp_path):
+    """The whole query, edited texts included, against a plain reading of its contract."""
+    rng = random.Random(11)
+    vocabulary = "the a of in and is house green river über stone walks naïve 😀 sings old 7 tree".split()
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    rows += [(100, rows[50][1]), (102, None), (150, rows[50][1]), (151, ""), (200, "the house " * 60_000), (210, "x" * 300_000)]
+    spark.createDataFrame([(i, t, "en", 1) for i, t in rows], "doc_id long, text string, n_near string, fingerprint int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.op8_fingerprints(spark, str(tmp_path)).collect()}
+    texts = {i: t or "" for i, t in rows}
+    order = sorted(texts, reverse=True)
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    sets = {i: signatures_of(t) for i, t in texts.items()}
+    for k, i in enumerate(order):
+        text, after = texts[i], order[(k + 1) % len(order)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + texts[after][:half]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(like(sets[i], signatures_of(edited))) and r["near_next"] == pytest.approx(like(sets[i], sets[after]))
+        near = sum(like(sets[i], s) >= 0.8 for s in sets.values()) - 1
+        assert r["n_near"] == (near if i % 50 == 0 and sets[i] else None)
+        assert len(r["fingerprint"]) == 16 * len(sets[i])
+    assert got[50]["fingerprint"] == got[100]["fingerprint"] == got[150]["fingerprint"] and len(got) == len(rows)
 
 
 def test_following(spark):
