@@ -19,10 +19,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ready, text_of
+from .common import materialize, ready, text_of, whole_row, with_columns
 
 #: Pieces of one length that are ranked together in one window.
 RANK_GROUP = 4096
@@ -162,44 +162,41 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int
     return out
 
 
-def _ranked(pieces: DataFrame, counts: dict[int, int], order: list[Column]) -> DataFrame:
-    """Adds rank: 0, 1, 2... among the pieces of a length, without a task for a whole length."""
+def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds rank: 0, 1, 2... among the pieces (row, k, length) of a length, without a task for a whole length."""
     groups = [-(-counts.get(n, 0) // RANK_GROUP) or 1 for n in range(max(counts, default=0) + 1)]
-    salt = F.pmod(F.xxhash64("*"), F.element_at(F.lit(groups), (F.col("length") + 1).cast("int")))
-    salted = pieces.withColumn("_salt", salt)
-    base = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("length", "_salt").orderBy(*order)
-    ranked = salted.withColumn("_own", F.row_number().over(own) - 1)
-    return ranked.join(base, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_own")).drop("_salt", "_base", "_own")
+    salt = F.pmod(F.xxhash64("k"), F.element_at(F.lit(groups), (F.col("length") + 1).cast("int")))
+    salted = pieces.withColumn("salt", salt)
+    base = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("length", "salt").orderBy("k")
+    ranked = salted.withColumn("own", F.row_number().over(own) - 1)
+    return ranked.join(base, ["length", "salt"]).select("row", "length", (F.col("base") + F.col("own")).alias("rank"))
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` column.
 
     The sequences are gapless from offset 0. Every row is placed, repeated rows
-    each for itself; an empty table stays empty. ``pieces`` is read twice, so it
-    should be stored (see pack_documents). Other columns pass through.
+    each for itself; an empty table stays empty. The pieces are numbered and stored
+    once in the shared folder. Other columns pass through, whatever their names and
+    kinds; the new ones take the place of those of their names.
     """
     spark = pieces.sparkSession
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    rows = materialize(pieces.select(whole_row(pieces).alias("row"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("k")), "pieces")
+    counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # capacity rows at most
     if len(counts) > capacity:
         raise ValueError("more lengths than a sequence has places")
     places = plan_sequences(counts, capacity)
-    plan = spark.createDataFrame(places, "length long, _first long, _count long, _sequence long, _per long, _offset long")
+    plan = spark.createDataFrame(places, "length long, first long, count long, sequence long, per long, place long")
     if len(places) <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    plain = [F.col(f"`{c}`") for c, kind in pieces.dtypes if not kind.startswith("map")]
-    ranked = _ranked(pieces, counts, plain).alias("p")
-    plan = plan.alias("q")
-    at = F.col("p._rank") - F.col("q._first")
-    placed = ranked.join(plan, (F.col("p.length") == F.col("q.length")) & (at >= 0) & (at < F.col("q._count")))
-    return placed.select(
-        *(F.col(f"p.`{c}`") for c in pieces.columns),
-        (F.col("q._sequence") + F.floor(at / F.col("q._per"))).cast("long").alias("sequence_id"),
-        (F.col("q._offset") + F.pmod(at, F.col("q._per")) * F.col("p.length")).cast("long").alias("offset"),
-    )
+    ranked = _ranked(rows, counts)
+    at = ranked["rank"] - plan["first"]
+    placed = ranked.join(plan, (ranked["length"] == plan["length"]) & (at >= 0) & (at < plan["count"]))
+    sequence = (plan["sequence"] + F.floor(at / plan["per"])).cast("long")
+    return with_columns(placed, pieces, {"sequence_id": sequence, "offset": (plan["place"] + F.pmod(at, plan["per"]) * ranked["length"]).cast("long")})
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, max_tokens: int = 1024, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,4 +205,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, max_tokens:
     The pieces are stored once in the shared folder, so a lost executor costs a
     read and not the encoding of its texts.
     """
-    return pack(materialize(token_pieces(docs, tokenizer, end_id, max_tokens, keep_ids, id_col, text_col), "pieces"), max_tokens)
+    return pack(token_pieces(docs, tokenizer, end_id, max_tokens, keep_ids, id_col, text_col), max_tokens)
