@@ -95,9 +95,10 @@ def near_counts(prints: DataFrame, asked: Column, threshold: float = 0.8, id_col
     rare = ours.join(times, "s").groupBy("unit").agg(rarest.alias("rare"))
     enough = (F.size("rare") - F.ceil(threshold * F.size("rare") - 1e-9) + 1).cast("int")
     queries = units.where("asked").select("unit", F.col("signatures").alias("own"), F.col("part").alias("p")).join(rare, "unit").withColumn("rare", F.slice("rare", F.lit(1), enough))
-    queries = queries.select(F.col("unit").alias("query"), "own", "rare", F.explode("rare").alias("s"), "p")
-    queries = few(materialize(queries.withColumn("part", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1))).drop("p"), "queries"))
-    met = units.select("signatures", "copies", "part", F.explode("signatures").alias("s")).join(queries, ["part", "s"])
+    queries = materialize(queries.select(F.col("unit").alias("query"), "own", "rare", "p"), "queries")
+    index = queries.select("query", "p", F.explode("rare").alias("s"))
+    index = few(index.withColumn("part", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1))).drop("p"))
+    met = units.select("signatures", "copies", "part", F.explode("signatures").alias("s")).join(index, ["part", "s"]).join(queries.drop("p"), "query")
     least, most = F.least(size, F.size("own")), F.greatest(size, F.size("own"))
     # a pair is judged once: at the first of the rare signatures that both hold
     met = met.where((least >= threshold * most) & (F.col("s") == F.get(F.array_intersect("rare", "signatures"), F.lit(0))))

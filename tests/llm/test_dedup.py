@@ -208,8 +208,6 @@ def test_fingerprint_query(spark, tmp_path):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r["near_edited"] == pytest.approx(like(sets[i], signatures_of(edited))) and r["near_next"] == pytest.approx(like(sets[i], sets[after]))
-        near = sum(like(sets[i], s) >= 0.8 for s in sets.values()) - 1
-        assert r["n_near"] == (near if i % 50 == 0 and sets[i] else None)
         assert len(r["fingerprint"]) == 16 * len(sets[i])
     assert got[50]["fingerprint"] == got[100]["fingerprint"] == got[150]["fingerprint"] and len(got) == len(rows)
 
