@@ -16,12 +16,22 @@ SCRIPTS = {
 CJK = ("HAN", "HIRAGANA", "KATAKANA")
 
 
-def script_of(letter: Column) -> Column:
-    """Script of a single letter; null where it is none of SCRIPTS."""
-    out = F.lit(None).cast("string")
-    for name in reversed(SCRIPTS):
-        out = F.when(letter.rlike(rf"^\p{{Is{name.capitalize()}}}"), F.lit(name)).otherwise(out)
-    return out
+def script_counts(text: Column) -> Column:
+    """An array (script, n) of the letters of each of SCRIPTS that the text has.
+
+    The commonest script is counted first; the others only where letters are left.
+    """
+    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+    first, *others = SCRIPTS
+    one = lambda name, s: F.struct(F.lit(name).alias("script"), F.regexp_count(s, F.lit(rf"\p{{Is{name.capitalize()}}}")).cast("long").alias("n"))
+    rest = F.regexp_replace(letters, rf"\p{{Is{first.capitalize()}}}", "")
+    every = F.when(rest != "", F.array(*(one(name, rest) for name in others)))
+    return F.filter(F.concat(F.array(one(first, letters)), F.coalesce(every, F.array().cast("array<struct<script:string,n:bigint>>"))), lambda x: x["n"] > 0)
+
+
+def dominant_script(text: Column) -> Column:
+    """The commonest script, on a tie the first by name; null without letters."""
+    return F.array_min(F.transform(script_counts(text), lambda x: F.struct((-x["n"]).alias("n"), x["script"].alias("script"))))["script"]
 
 
 def script_label(script: Column) -> Column:

@@ -10,9 +10,10 @@ from ..sources import ingest as I
 
 
 def ingest(spark: SparkSession, path: str, out: str) -> None:
-    """Read the files under ``path``; write corpus, refused files and summary under ``out``."""
+    """Read the files under ``path``; write corpus (with hashed ids and titles), refused files and summary under ``out``."""
     texts, refused = I.quarantine(I.detect_and_decode(I.read_text_files(spark, path)))
-    texts.select(F.xxhash64("path").alias("doc_id"), "path", "charset", "text").write.mode("overwrite").parquet(f"{out}/corpus")
+    title = F.element_at(F.split("path", "/"), -1)
+    texts.select(F.xxhash64("path").alias("doc_id"), "path", title.alias("title"), "charset", "text").write.mode("overwrite").parquet(f"{out}/corpus")
     refused.select("path", "length", "reject_reason").write.mode("overwrite").parquet(f"{out}/refused")
     summary(spark.read.parquet(f"{out}/corpus")).write.mode("overwrite").parquet(f"{out}/summary")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from ..operators.metrics import NAMES
+
 _HABITS = "['space_before_mark','double_space','three_dots','ellipsis','em_dash','hyphen_dash','en_dash','straight_quote','guillemets','curly_quotes','apostrophe','emoji_caps']"
 _MARKS = ",.!?;:«»\"'()—–…-"
 
@@ -32,16 +34,16 @@ def _hist(values: str, bins: int) -> str:
     return f"list_transform(range(1, {bins + 1}), lambda b: len(list_filter({values}, lambda v: least(v, {bins}) = b)) / greatest(len({values}), 1))"
 
 
-def _cut(i: int, prev: str) -> str:
-    """The i-th cut of every text with more than i chunks."""
+def _cut(i: int, prev: str) -> dict[str, str]:
+    """The i-th cut of every text with more than i chunks: its best break, and the texts with it."""
     target = f"CAST(floor(CAST(n AS DOUBLE) * {i} / k + 0.5) AS BIGINT)"
     span = "greatest(1, n // 8)"
-    return f"""
-b{i} AS (SELECT doc_id, arg_min(i, (w * abs(i - {target}), i)) AS best FROM {prev} JOIN br USING (doc_id)
-        WHERE k > {i} AND i >= greatest(cut{i - 1} + 1, {target} - {span}) AND i <= least(n - 1, {target} + {span}) GROUP BY doc_id),
-k{i} AS (SELECT p.*, CASE WHEN k > {i} THEN
-           CASE WHEN coalesce(best, {target}) <= cut{i - 1} OR coalesce(best, {target}) >= n THEN greatest(cut{i - 1} + 1, least({target}, n - 1)) ELSE coalesce(best, {target}) END END AS cut{i}
-        FROM {prev} p LEFT JOIN b{i} USING (doc_id))"""
+    return {
+        f"b{i}": f"SELECT doc_id, arg_min(i, (w * abs(i - {target}), i)) AS best FROM {prev} JOIN br USING (doc_id) "
+        f"WHERE k > {i} AND i >= greatest(cut{i - 1} + 1, {target} - {span}) AND i <= least(n - 1, {target} + {span}) GROUP BY doc_id",
+        f"k{i}": f"SELECT p.*, CASE WHEN k > {i} THEN CASE WHEN coalesce(best, {target}) <= cut{i - 1} OR coalesce(best, {target}) >= n "
+        f"THEN greatest(cut{i - 1} + 1, least({target}, n - 1)) ELSE coalesce(best, {target}) END END AS cut{i} FROM {prev} p LEFT JOIN b{i} USING (doc_id)",
+    }
 
 
 def _cosine(ab: str, aa: str, bb: str, zero: str = "0") -> str:
@@ -108,7 +110,6 @@ _VIEWS = {
     "kc": "SELECT doc_id, text, length(text) AS n, CASE WHEN len(words) >= 1400 THEN 4 WHEN len(words) >= 700 THEN 3 ELSE 2 END AS k, 0 AS cut0 FROM t WHERE len(words) >= 260",
     "br": "SELECT * FROM (SELECT doc_id, i, CASE WHEN c = chr(10) THEN 0.5 WHEN c IN ('.', '!', '?', '…', '。') THEN 0.75 WHEN c IN (' ', chr(9)) THEN 1.0 END AS w "
     "FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM kc)) WHERE w IS NOT NULL",
-    "k1": None, "k2": None, "k3": None,
     "ce": "SELECT *, list_filter([cut1, cut2, cut3, n], lambda x: x IS NOT NULL) AS e FROM k3",
     "ch": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, substring(text, CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END + 1, e[i] - CASE WHEN i = 1 THEN 0 ELSE e[i - 1] END) AS text FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM ce)",
     "ld": "SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM t WHERE len(words) >= 500",
@@ -170,7 +171,7 @@ _VIEWS = {
     "FROM pr JOIN fe a ON a.doc_id = pr.doc_a JOIN fe b ON b.doc_id = pr.doc_b JOIN ku ON ku.doc_a = pr.doc_a AND ku.doc_b = pr.doc_b LEFT JOIN m12 ON m12.doc_a = pr.doc_a AND m12.doc_b = pr.doc_b",
 }
 for _i in (1, 2, 3):
-    _VIEWS[f"k{_i}"] = _cut(_i, "kc" if _i == 1 else f"k{_i - 1}")
+    _VIEWS |= _cut(_i, "kc" if _i == 1 else f"k{_i - 1}")
 _W = {1: 0.18, 2: 0.12, 3: 0.12, 4: 0.08, 5: 0.04, 6: 0.10, 7: 0.06, 8: 0.12, 9: 0.08, 10: 0.04, 11: 0.06, 12: 0.04, 13: 0.10, 14: 0.04, 15: 0.04, 17: 0.10}
 _VIEWS["lg"] = " UNION ALL ".join(f"SELECT doc_a, doc_b, {n} AS metric_no, 'M{n}' AS metric, CASE WHEN m{n} IS NULL THEN 0.5 ELSE least(1, greatest(0, m{n})) END AS distance, {w}::DOUBLE AS weight, m{n} IS NULL AS neutral FROM mm" for n, w in _W.items())
 _VIEWS["ds"] = "SELECT doc_a, doc_b, sum(distance * weight) FILTER (NOT neutral) / sum(weight) FILTER (NOT neutral) AS dist FROM lg GROUP BY doc_a, doc_b"
@@ -183,6 +184,40 @@ _VIEWS["ra"] = (
     "count(*) FILTER (distance <= 0.5) OVER (PARTITION BY doc_a, doc_b) AS na, count(*) FILTER (distance >= 0.5) OVER (PARTITION BY doc_a, doc_b) AS nd FROM lg JOIN s3 USING (doc_a, doc_b) WHERE NOT neutral"
 )
 
+_REFERENCE = re.compile(r"\b(FROM|JOIN) (\(?)(\w+)\b(?! +(?!JOIN|LEFT|WHERE|ON|USING|GROUP|UNION|ORDER|HAVING)\w)|\b(FROM|JOIN) (\(?)(\w+)\b")
+
+
+def _rebased(prefix: str, base: dict[str, str]) -> dict[str, str]:
+    """All views again under a prefix, over other documents and pairs (``base`` has the views d and pr)."""
+
+    def again(found: re.Match) -> str:
+        word, bracket, name, aliased = found[1] or found[4], found[2] or found[5] or "", found[3] or found[6], found[6] is not None
+        return found[0] if name not in _VIEWS else f"{word} {bracket}{prefix}{name}" + ("" if aliased else f" AS {name}")
+
+    return {prefix + name: base.get(name) or _REFERENCE.sub(again, body) for name, body in _VIEWS.items()}
+
+
+# chunks of long documents as documents of their own, with all pairs inside a document...
+_WITHIN = _rebased("c_", {
+    "d": r"SELECT doc_id * 4 + chunk_no AS doc_id, NULL AS lang, NULL AS source, regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS text FROM ch WHERE text <> '' AND doc_id IN (SELECT doc_id FROM ld)",
+    "pr": "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM c_t a JOIN c_t b ON a.doc_id // 4 = b.doc_id // 4 AND a.doc_id < b.doc_id "
+    "WHERE a.doc_id // 4 IN (SELECT doc_id // 4 FROM c_t GROUP BY doc_id // 4 HAVING count(*) >= 2 AND min(len(words)) >= 100)",
+})
+# ...and their first two, paired with each other and the first ones of neighbours
+_ACROSS = _rebased("e_", {
+    "d": r"SELECT doc_id * 4 + chunk_no AS doc_id, NULL AS lang, NULL AS source, regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS text FROM ch WHERE chunk_no < 2 AND doc_id IN (SELECT doc_id FROM ld)",
+    "pr": "SELECT doc_id - 1 AS doc_a, doc_id AS doc_b FROM e_t WHERE doc_id % 4 = 1 UNION ALL SELECT doc_a * 4, doc_b * 4 FROM pr",
+})
+_VIEWS |= _WITHIN | _ACROSS
+_VIEWS["sd"] = "SELECT doc_a // 4 AS doc_id, avg(dist) AS own FROM c_ds GROUP BY doc_a // 4"
+_VIEWS["q1"] = "SELECT s2.*, CASE WHEN NOT identical THEN (a.own + b.own) * 0.5 END AS sf FROM s2 LEFT JOIN sd a ON a.doc_id = doc_a LEFT JOIN sd b ON b.doc_id = doc_b"
+_VIEWS["q2"] = "SELECT *, 1 / (1 + exp(-22 * (sf - dd - 0.03))) AS ps FROM q1"
+_VIEWS["q3"] = "SELECT *, CASE WHEN ps > 0.5 THEN greatest(pt, 0.6 * pt + 0.4 * ps) ELSE pt END AS p0, coalesce(ps > 0.5 AND pt < 0.35, false) AS unstable FROM q2"
+_VIEWS["q4"] = "SELECT *, CASE WHEN identical THEN 1 ELSE f0 * CASE WHEN unstable THEN 0.9 ELSE 1 END END AS f9 FROM q3"
+_VIEWS["q5"] = "SELECT *, least(0.999, greatest(0.001, CASE WHEN identical THEN greatest(0.99, 0.5 + (p0 - 0.5) * f9) ELSE 0.5 + (p0 - 0.5) * f9 END)) AS p9 FROM q4"
+
+_VERDICT = "CASE WHEN {p} >= 0.85 THEN 'same_high' WHEN {p} >= 0.65 THEN 'same_medium' WHEN {p} > 0.35 THEN 'inconclusive' WHEN {p} > 0.15 THEN 'diff_medium' ELSE 'diff_high' END"
+_FORMATS = "PNG JPEG GIF WebP WAV BMP TIFF TIFF ICO PDF ZIP RAR 7Z GZIP OGG FLAC MP4/MOV MP3 MP3 ELF PE MS_Office SQLite".replace("_", " ").split(" ")
 _ELEMENTS = "SELECT doc_id, CAST(unnest(range(0, len(v))) AS INTEGER) AS idx, {value} AS value FROM {view}"
 
 
@@ -197,10 +232,7 @@ def _sql(select: str) -> str:
                 order.append(name)
 
     need(select)
-    parts = []
-    for name in order:
-        body = _VIEWS[name]
-        parts.append(body.strip() if re.match(r"k[123]$", name) else f"{name} AS ({body})")
+    parts = [f"{name} AS ({_VIEWS[name]})" for name in order]
     return f"WITH {', '.join(parts)} {select}" if parts else select
 
 
@@ -252,17 +284,34 @@ def oracle_sql() -> dict[str, str]:
         "j8_top_diff": pairs + "CAST(rkd AS INTEGER) AS rkd FROM rk0 WHERE kind = 'w' AND rkd <= 120",
         "j9_drop_keys": pairs + "round(coalesce(r1 / nullif(sum(r1) OVER (PARTITION BY doc_a, doc_b), 0), 0), 6) AS d1, round(coalesce(r2 / nullif(sum(r2) OVER (PARTITION BY doc_a, doc_b), 0), 0), 6) AS d2 FROM rk0 WHERE kind = 'w' AND rkd > 120",
         "j10_key_sets": "SELECT doc_a, doc_b, count(*) FILTER (own1 <= 50 AND own2 <= 50) AS inter, count(*) FILTER (own1 <= 50 OR own2 <= 50) AS uni FROM rk0 WHERE kind = 'w' AND rk <= 50 GROUP BY doc_a, doc_b",
-        "j11_chunk_pairs": "SELECT a.doc_id, a.doc_id * 4 + a.chunk_no AS doc_a, a.doc_id * 4 + b.chunk_no AS doc_b FROM ch a JOIN ch b ON a.doc_id = b.doc_id AND a.chunk_no < b.chunk_no WHERE a.text <> '' AND b.text <> ''",
+        "j11_chunk_pairs": "SELECT a.doc_id, a.chunk_no AS chunk_a, b.chunk_no AS chunk_b FROM ch a JOIN ch b ON a.doc_id = b.doc_id AND a.chunk_no < b.chunk_no WHERE a.text <> '' AND b.text <> ''",
         "m1_trigram_cosine": _m(1),
         "r1_distance": "SELECT doc_a, doc_b, round(dist, 5) AS D FROM ds",
         "r9_scores_core": "SELECT doc_a, doc_b, round(dd, 4) AS D, round(1 - dd, 4) AS S, round(pt, 4) AS p_topic, round(pt, 4) AS p0, round(ff, 4) AS f, round(pp, 4) AS p, round(0.03 + 0.25 * (1 - ff), 4) AS margin, verdict, "
         "CASE WHEN identical THEN 'identical' ELSE '' END AS warnings, identical FROM s4",
-        "x1_metric_table": "SELECT doc_a, doc_b, metric, round(distance, 5) AS distance, weight, neutral, round(distance * weight, 5) AS contribution FROM lg",
+        "x1_metric_table": "SELECT doc_a, doc_b, metric, CASE metric " + " ".join(f"WHEN '{m}' THEN '{name}'" for m, name in NAMES.items()) + " END AS name, round(distance, 5) AS distance, weight, neutral, round(distance * weight, 5) AS contribution FROM lg",
         "x2_rationale": "SELECT doc_a, doc_b, part, CAST(nth AS INTEGER) AS nth, metric FROM ("
         "SELECT *, 'alike' AS part, wa AS want, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance, metric_no) AS nth FROM ra WHERE na > 0 AND distance <= 0.5 UNION ALL "
         "SELECT *, 'alike', wa, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance DESC, metric_no DESC) FROM ra WHERE na = 0 UNION ALL "
         "SELECT *, 'different', wd, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance, metric_no) FROM ra WHERE nd > 0 AND distance >= 0.5 UNION ALL "
         "SELECT *, 'different', wd, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance, metric_no) FROM ra WHERE nd = 0) WHERE nth <= want",
+        "r3_self_distance_core": "SELECT doc_id, round(own, 5) AS self_distance FROM sd",
+        "r9_scores_self": "SELECT doc_a, doc_b, round(dd, 4) AS D, round(1 - dd, 4) AS S, round(pt, 4) AS p_topic, round(p0, 4) AS p0, round(f9, 4) AS f, round(p9, 4) AS p, round(0.03 + 0.25 * (1 - f9), 4) AS margin, "
+        "round(sf, 4) AS self_distance, round(ps, 4) AS p_self, " + _VERDICT.format(p="p9") + " AS verdict, concat_ws(',', CASE WHEN unstable THEN 'self_unstable' END, CASE WHEN identical THEN 'identical' END) AS warnings, identical FROM q5",
+        "x4_eval": 'SELECT g AS "group", coalesce(max(pp) FILTER (same) > max(pp) FILTER (NOT same), true) AS passed FROM (SELECT doc_a // 4 AS g, doc_a // 4 = doc_b // 4 AS same, pp FROM e_s3) GROUP BY g',
+        "w3_corpus_statistics": "SELECT CASE WHEN nl > 0 THEN 'LATIN' END AS dominant_script, CASE WHEN len(words) < 150 THEN 'critical' WHEN len(words) < 500 THEN 'short' ELSE 'full' END AS length_class, count(*) AS n, CAST(sum(len(words)) AS BIGINT) AS words FROM t GROUP BY ALL",
+        "s1_read_files": "SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, count(*) AS records FROM documents GROUP BY source",
+        "s3_signature": "SELECT page_id, [" + ", ".join(f"'{f}'" for f in _FORMATS).replace("'MS', 'Office'", "'MS Office'") + "][page_id % 24 + 1] AS signature FROM pages",
+        "s4_looks_binary": "SELECT doc_id, CASE WHEN nul > 0 AND nul * 50 >= n THEN 'NUL bytes' WHEN n > 0 AND control * 20 >= n THEN 'control bytes' END AS reason FROM (SELECT doc_id, length(h) AS n, "
+        "CASE doc_id % 4 WHEN 0 THEN length(h) - length(replace(h, 'z', '')) WHEN 1 THEN length(h) - length(replace(h, 'w', '')) ELSE 0 END AS nul, "
+        "CASE doc_id % 4 WHEN 1 THEN length(h) - length(replace(h, 'a', '')) WHEN 2 THEN length(h) - length(replace(h, 'o', '')) ELSE 0 END AS control "
+        r"FROM (SELECT doc_id, left(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), 4096) AS h FROM documents))",
+        "s5_charsets": "SELECT doc_id, CASE WHEN kind = 3 AND NOT high THEN 'UTF-8' ELSE ['UTF-8', 'UTF-16LE', 'UTF-16BE', 'windows-1251', 'ISO-8859-1'][kind + 1] END AS charset, "
+        "CASE kind WHEN 3 THEN translate(plain, 'abvgd', 'абвгд') WHEN 4 THEN translate(plain, 'abvgd', '') || '©' ELSE text END AS text, NULL::VARCHAR AS reject_reason "
+        r"FROM (SELECT *, regexp_matches(plain, '[abvgd]') AS high FROM (SELECT doc_id, doc_id % 5 AS kind, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g') AS plain FROM documents))",
+        "s7_scores_written": "SELECT doc_a, doc_b, round(pp, 4) AS p, verdict FROM s4",
+        "s7_metrics_written": "SELECT doc_a, doc_b, metric, round(distance, 5) AS distance FROM lg",
+        "s8_reports_written": "SELECT verdict, count(*) AS n FROM s4 GROUP BY verdict",
         "x5_summary": "SELECT verdict, count(*) AS n, round(avg(pp), 4) AS mean_p FROM s4 GROUP BY verdict",
     }
     found |= {f"a2_char_profile_{n}": f"SELECT doc_id, gram, count(*) AS cnt FROM (SELECT doc_id, unnest({_grams(n)}) AS gram FROM (SELECT doc_id, string_split(letters, '') AS c FROM t WHERE letters <> '')) GROUP BY doc_id, gram" for n in (1, 2, 3)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import align, documents, metrics, pairs, profiles, report, score
 from ..operators.align import PAIR
-from ..sources import ingest
+from ..sources import ingest, sinks
+from ..storage import shared_dir, stored
 from . import ingest as ingest_job
 from . import verify
 
@@ -40,9 +42,9 @@ def _r(c: str, name: str | None = None):
 
 
 def _long(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Documents of at least 500 words and their pairs; many branches read them, so they are kept."""
-    docs = documents.long_enough(_docs(spark, sf_dir)).persist()
-    return docs, pairs.pairs_blocked(docs, BLOCK, WINDOW)
+    """Documents of at least 500 words and their pairs, both stored: many branches read them."""
+    docs = verify.prepare(corpus(spark, sf_dir))
+    return docs, stored(pairs.pairs_blocked(docs, BLOCK, WINDOW), "pairs")
 
 
 def _profile(spark, sf_dir, *kinds: str) -> DataFrame:
@@ -56,15 +58,18 @@ def _aligned(spark, sf_dir, kinds=profiles.KINDS) -> DataFrame:
     return align.profile_align(wanted, profiles.packed(profiles.rel_freq(profiles.counts(docs, kinds))))
 
 
-def _distances(spark, sf_dir, compression: bool = False) -> DataFrame:
+def _distances(spark, sf_dir, compression: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     docs, wanted = _long(spark, sf_dir)
-    docs = docs.join(documents.dominant_script(docs), "doc_id", "left")
-    return metrics.distances(docs, wanted, compression).persist()  # tables and reports read it more than once
+    return metrics.distances(docs, wanted, compression, only)
+
+
+def _kept(spark, sf_dir, compression: bool = False) -> DataFrame:
+    """Distances for tables and reports that read them more than once."""
+    return stored(_distances(spark, sf_dir, compression), "distances")
 
 
 def _scores(spark, sf_dir, compression: bool, own: bool) -> DataFrame:
     docs, wanted = _long(spark, sf_dir)
-    docs = docs.join(documents.dominant_script(docs), "doc_id", "left")
     rows = metrics.distances(docs, wanted, compression)
     return score.scores(rows, score.self_distance(docs, compression) if own else None)
 
@@ -141,7 +146,7 @@ def t13_script_label(spark, sf_dir):
 
 def t14_scripts_differ(spark, sf_dir):
     docs, wanted = _long(spark, sf_dir)
-    own = documents.dominant_script(docs)
+    own = docs.select("doc_id", "dominant_script")
     a, b = (own.select(F.col("doc_id").alias(f"doc_{s}"), F.col("dominant_script").alias(s)) for s in "ab")
     rows = wanted.join(a, "doc_a", "left").join(b, "doc_b", "left")
     return rows.select(*PAIR, S.scripts_differ(F.col("a"), F.col("b")).alias("differ"))
@@ -210,7 +215,7 @@ def j2_pairs(spark, sf_dir):
 
 
 def j3_identical(spark, sf_dir):
-    docs = _tokens(spark, sf_dir).withColumn("text_hash", F.sha2("text", 256))
+    docs = stored(_tokens(spark, sf_dir).select("doc_id", "lang", "text", F.sha2("text", 256).alias("text_hash")), "texts")
     return pairs.identical(pairs.pairs_blocked(docs, ("lang",), WINDOW), docs)
 
 
@@ -247,12 +252,13 @@ def j10_key_sets(spark, sf_dir):
 
 
 def j11_chunk_pairs(spark, sf_dir):
-    return pairs.chunk_pairs(documents.split_chunks(_tokens(spark, sf_dir)))
+    rows = pairs.chunk_pairs(documents.split_chunks(_tokens(spark, sf_dir)))
+    return rows.select("doc_id", F.col("doc_a.chunk_no").alias("chunk_a"), F.col("doc_b.chunk_no").alias("chunk_b"))
 
 
 def _m(name: str):
-    compression = name == "m16"
-    return lambda spark, sf_dir: _distances(spark, sf_dir, compression).select(*PAIR, F.round(F.coalesce(name, F.lit(0.5)), 5).alias("distance"), F.col(name).isNull().alias("neutral"))
+    only = (name.upper(),)
+    return lambda spark, sf_dir: _distances(spark, sf_dir, name == "m16", only).select(*PAIR, F.round(F.coalesce(name, F.lit(0.5)), 5).alias("distance"), F.col(name).isNull().alias("neutral"))
 
 
 def m1_trigram_cosine(spark, sf_dir):
@@ -283,8 +289,19 @@ def r9_scores_core(spark, sf_dir):
 
 
 def r3_self_distance(spark, sf_dir):
-    docs, _ = _long(spark, sf_dir)
-    return score.self_distance(docs).select("doc_id", _r("self_distance"))
+    return score.self_distance(verify.prepare(corpus(spark, sf_dir))).select("doc_id", _r("self_distance"))
+
+
+def r3_self_distance_core(spark, sf_dir):
+    """Without cross-compression, so that SQL can give it."""
+    own = score.self_distance(verify.prepare(corpus(spark, sf_dir)), compression=False)
+    return own.select("doc_id", F.round("self_distance", 5).alias("self_distance"))
+
+
+def r9_scores_self(spark, sf_dir):
+    """Scores with the self baseline, without cross-compression."""
+    rows = _scores(spark, sf_dir, False, True)
+    return rows.select(*PAIR, *(F.round(c, 4).alias(c) for c in (*_SCORE, "self_distance", "p_self")), "verdict", F.array_join("warnings", ",").alias("warnings"), "identical")
 
 
 def r9_scores(spark, sf_dir):
@@ -295,29 +312,30 @@ def r9_scores(spark, sf_dir):
 
 def x1_metric_table(spark, sf_dir):
     rows = metrics.extract(_distances(spark, sf_dir))
-    return rows.where("metric <> 'M16'").select(*PAIR, "metric", F.round("distance", 5).alias("distance"), "weight", "neutral", F.round("contribution", 5).alias("contribution"))
+    name = F.element_at(F.create_map(*(F.lit(x) for pair in metrics.NAMES.items() for x in pair)), F.col("metric"))
+    return rows.where("metric <> 'M16'").select(*PAIR, "metric", name.alias("name"), F.round("distance", 5).alias("distance"), "weight", "neutral", F.round("contribution", 5).alias("contribution"))
 
 
 def x2_rationale(spark, sf_dir):
-    rows = _distances(spark, sf_dir)
+    rows = _kept(spark, sf_dir)
     return report.rationale(metrics.extract(rows), score.scores(rows)).select(*PAIR, "part", "nth", "metric")
 
 
 def x3_report(spark, sf_dir):
-    rows = _distances(spark, sf_dir, True)
+    rows = _kept(spark, sf_dir, True)
     return verify.reports(score.scores(rows), metrics.extract(rows))
 
 
 def x4_eval(spark, sf_dir):
-    """Same-author pairs are both halves of a document; other pairs are of neighbours. A group per document."""
-    chunks = documents.split_chunks(documents.long_enough(_tokens(spark, sf_dir)))
-    ids = chunks.select("doc_id", pairs.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("id"), "chunk_no", "text")
-    docs = documents.documents(ids.select(F.col("id").alias("doc_id"), "text"), compose=False)
-    _, wanted = _long(spark, sf_dir)
-    first = lambda c: pairs.chunk_id(F.col(c), F.lit(0))
-    same = ids.where("chunk_no = 1").select(first("doc_id").alias("doc_a"), F.col("id").alias("doc_b"), F.col("doc_id").alias("group"), F.lit("AA").alias("kind"))
-    other = wanted.select(first("doc_a").alias("doc_a"), first("doc_b").alias("doc_b"), F.col("doc_a").alias("group"), F.lit("AB").alias("kind"))
-    labelled = same.unionByName(other)
+    """Same-author pairs are the first two chunks of a document; other pairs are of neighbours. A group per document."""
+    whole, wanted = _long(spark, sf_dir)
+    chunks = documents.split_chunks(whole).where("chunk_no < 2").select(pairs.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("doc_id"), "text")
+    docs = stored(documents.documents(chunks, compose=False), "chunks")
+    ids = docs.select("doc_id")
+    chunk = lambda c, k: pairs.chunk_id(F.col(c), F.lit(k))
+    same = ids.where("doc_id.chunk_no = 1").select(chunk("doc_id.whole", 0).alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("doc_id.whole").alias("group"), F.lit("AA").alias("kind"))
+    other = wanted.select(chunk("doc_a", 0).alias("doc_a"), chunk("doc_b", 0).alias("doc_b"), F.col("doc_a").alias("group"), F.lit("AB").alias("kind"))
+    labelled = stored(same.unionByName(other), "labelled")
     rows = metrics.distances(docs, labelled.select(*PAIR), compression=False)
     return report.eval_ordering(score.scores(rows), labelled)
 
@@ -331,6 +349,75 @@ def w3_corpus_statistics(spark, sf_dir):
     return ingest_job.summary(documents.from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("lang",)))
 
 
+def _framed(spark, sf_dir) -> DataFrame:
+    """Every page's bytes behind the first bytes of one format after the other, by id."""
+    heads = [bytes.fromhex(h) for h in _HEADS.split()]
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    head = F.element_at(F.array(*(F.lit(h) for h in heads)), (F.pmod("page_id", F.lit(len(heads))) + 1).cast("int"))
+    return rows.select("page_id", F.concat(head, "content").alias("content"))
+
+
+#: First bytes of each format in the order of its signature, and of a text.
+_HEADS = (
+    "89504E470D0A1A0A FFD8FFE0 47494638 524946460000000057454250 524946460000000057415645 424D0000000000000000000000002800000000000000 49492A00 4D4D002A 00000100 255044462D 504B0304 "
+    "526172211A07 377ABCAF271C 1F8B08 4F676753 664C6143 000000186674797069736F6D 494433 FFFB90 7F454C46 4D5A9000 D0CF11E0A1B11AE1 53514C69746520666F726D6174203300 20"
+)
+
+
+def s3_signature(spark, sf_dir):
+    return _framed(spark, sf_dir).select("page_id", ingest.binary_signature(F.col("content")).alias("signature"))
+
+
+def s4_looks_binary(spark, sf_dir):
+    """Every document's bytes with some letters made NUL or control bytes, by id."""
+    text, kind = F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.col("doc_id") % 4
+    put = lambda x, old, new: F.replace(x, F.lit(old), F.lit(new))
+    made = F.when(kind == 0, put(text, "z", "\x00")).when(kind == 1, put(put(text, "w", "\x00"), "a", "\x01")).when(kind == 2, put(text, "o", "\x02")).otherwise(text)
+    rows = corpus(spark, sf_dir).select("doc_id", F.encode(made, "UTF-8").alias("content"))
+    return rows.select("doc_id", ingest.looks_binary(F.col("content")).alias("reason"))
+
+
+def s5_charsets(spark, sf_dir):
+    """Every document's letters in one charset after the other, by id: UTF-8 with its mark, UTF-16 both ways, windows-1251, ISO-8859-1."""
+    kind = F.col("doc_id") % 5
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    cyrillic = F.encode(F.translate(plain, "abvgd", "".join(map(chr, (0xE0, 0xE1, 0xE2, 0xE3, 0xE4)))), "ISO-8859-1")
+    latin = F.encode(F.concat(F.translate(plain, "abvgd", ""), F.lit("\xa9")), "ISO-8859-1")
+    content = F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).when(kind == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))).when(kind == 3, cyrillic).otherwise(latin)
+    return ingest.detect_and_decode(corpus(spark, sf_dir).select("doc_id", content.alias("content"))).select("doc_id", "charset", "text", "reject_reason")
+
+
+def s1_read_files(spark, sf_dir):
+    """The documents written as text files, one a source, and read back whole."""
+    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows = corpus(spark, sf_dir).repartition("source").sortWithinPartitions("source", "doc_id")
+    rows.select("source", F.regexp_replace("text", "\n", " ").alias("value")).write.partitionBy("source").text(at)
+    files = ingest.read_text_files(spark, at)
+    named = files.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "length", F.decode("content", "UTF-8").alias("text"))
+    return named.groupBy("source").agg(F.sum("length").alias("bytes"), F.sum(F.regexp_count("text", F.lit("\n"))).cast("long").alias("records"))
+
+
+def s7_scores_written(spark, sf_dir):
+    """Scores (without cross-compression and self baseline) through their sink and back."""
+    at = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    sinks.write_scores(_scores(spark, sf_dir, False, False), at)
+    return spark.read.parquet(at).select(*PAIR, F.round("p", 4).alias("p"), "verdict")
+
+
+def s7_metrics_written(spark, sf_dir):
+    at = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    sinks.write_metrics(metrics.extract(_distances(spark, sf_dir)), at)
+    return spark.read.parquet(at).where("metric <> 'M16'").select(*PAIR, "metric", F.round("distance", 5).alias("distance"))
+
+
+def s8_reports_written(spark, sf_dir):
+    """Reports through their sink and back: how many records each verdict's folder has. (The reader takes a file's first byte order mark away.)"""
+    at = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    rows = _kept(spark, sf_dir)
+    sinks.write_reports(verify.reports(score.scores(rows), metrics.extract(rows)), at)
+    return spark.read.text(at).where(F.col("value").rlike(r"^\x{FEFF}?[a-z_]+: P = ")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -341,6 +428,7 @@ def queries() -> dict[str, Query]:
         t17_word_stream, a1_word_profile, a3_rel_freq, a5_length_stats, a6_entropy, a7_richness, a8_zipf, a9_smooth_props, j1_pairs_explicit, j2_pairs, j3_identical,
         j4_profile_align, j5_top_keys, j6_top_combined, j7_restrict_renorm, j8_top_diff, j9_drop_keys, j10_key_sets, j11_chunk_pairs, m1_trigram_cosine, m_all,
         r1_distance, r3_self_distance, r9_scores_core, r9_scores, x1_metric_table, x2_rationale, x3_report, x4_eval, x5_summary, w3_corpus_statistics,
+        s1_read_files, s3_signature, s4_looks_binary, s5_charsets, s7_scores_written, s7_metrics_written, s8_reports_written, r3_self_distance_core, r9_scores_self,
     ]
     found: dict[str, Query] = {f.__name__: f for f in own}
     found |= {f"a2_char_profile_{n}": _a2(n) for n in (1, 2, 3)}

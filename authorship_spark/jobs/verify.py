@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import documents as D
 from ..operators import metrics, pairs, report, score
+from ..sources import sinks
+from ..storage import discard, stored
 
 
 def prepare(corpus: DataFrame, force: bool = False, compose: bool = True) -> DataFrame:
-    """Documents of a corpus (doc_id, text, ...) that are long enough, with all derived columns and their script.
+    """Documents of a corpus (doc_id, text, ...) that are long enough, with all derived columns.
 
-    Many branches of the metrics read them, so they are kept in memory or on disk
-    (computed again where an executor is lost).
+    Many branches of the metrics read them, so they are stored once in the shared folder.
     """
-    docs = D.long_enough(D.documents(corpus, compose), force).persist()
-    return docs.join(D.dominant_script(docs), "doc_id", "left")
+    return stored(D.long_enough(D.documents(corpus, compose), force), "documents")
 
 
 def verify(docs: DataFrame, wanted: DataFrame, self_baseline: bool = True, compression: bool = True) -> tuple[DataFrame, DataFrame]:
     """(scores, metrics in long form) of the pairs ``wanted`` of prepared documents."""
-    rows = metrics.distances(docs, wanted, compression).persist()
+    rows = stored(metrics.distances(docs, stored(wanted, "pairs"), compression), "distances")
     own = score.self_distance(docs, compression) if self_baseline else None
     return score.scores(rows, own), metrics.extract(rows)
 
 
-def verify_blocks(corpus: DataFrame, block: tuple[str, ...] = ("lang", "source"), window: int = 3, **options) -> tuple[DataFrame, DataFrame]:
-    """Verify each document of at least 500 words against its next neighbours in its block."""
-    docs = prepare(corpus)
-    return verify(docs.drop(*block), pairs.pairs_blocked(docs, block, window), **options)
+def verify_blocks(corpus: DataFrame, block: tuple[str, ...] = ("lang", "source"), window: int = 3, force: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Verify each document of at least 500 words (each of all with ``force``) against its next neighbours in its block."""
+    docs = prepare(corpus, force)
+    return verify(docs, pairs.pairs_blocked(docs, block, window), **options)
 
 
 def reports(scored: DataFrame, long: DataFrame) -> DataFrame:
     return report.render_report(scored, long, report.rationale(long, scored))
+
+
+def run(spark: SparkSession, corpus: DataFrame, out: str, **options) -> None:
+    """Verify the blocks of a corpus; write scores, metrics and reports under ``out``, and remove what was stored on the way."""
+    scored, long = verify_blocks(corpus, **options)
+    sinks.write_scores(scored, f"{out}/scores")
+    sinks.write_metrics(long, f"{out}/metrics")
+    scored = spark.read.parquet(f"{out}/scores")
+    sinks.write_reports(reports(scored, spark.read.parquet(f"{out}/metrics")), f"{out}/reports")
+    discard(spark)

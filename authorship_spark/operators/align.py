@@ -19,6 +19,11 @@ TOP = {"M1": 300, "M2": 250, "M3": 100, "M4": 300, "M10": 50, "M17": 400}
 DROPPED = {"c3": 150, "w": 120}
 
 
+_PARTS = {"m1": "dot aa bb", "m2": "dot aa bb", "m4": "a b sa sb", "m5": "a b sa sb", "m10": "inter union", "g": "dot aa bb", "w": "a b sa sb", "gd": "dot aa bb", "wd": "a b sa sb", "m17": "min max"}
+#: Columns of ``kernels`` beside the pair.
+SUMS = ("m3", *(f"{name}_{part}" for name, parts in _PARTS.items() for part in parts.split()))
+
+
 def sides(pairs: DataFrame) -> DataFrame:
     """Two rows per pair: (doc_a, doc_b, side, doc_id)."""
     both = F.array(F.struct(F.lit(1).alias("side"), F.col("doc_a").alias("doc_id")), F.struct(F.lit(2).alias("side"), F.col("doc_b").alias("doc_id")))

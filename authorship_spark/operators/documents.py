@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..functions.scripts import script_of
+from ..functions import scripts as S
 
 
 def from_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -26,7 +26,8 @@ def documents(corpus: DataFrame, compose: bool = True) -> DataFrame:
     """All per-document columns that need no grouping.
 
     Adds to ``tokens``: text_hash, letters_lower, sentence, word and paragraph
-    lengths and histograms, punctuation and typography vectors, and the word stream.
+    lengths and histograms, punctuation and typography vectors, the word stream and
+    the dominant script.
     """
     rows = tokens(corpus, compose)
     text, letters = F.col("text"), F.col("letter_count")
@@ -40,6 +41,7 @@ def documents(corpus: DataFrame, compose: bool = True) -> DataFrame:
         V.punct_vector(text, letters).alias("punct"),
         V.typo_vector(text, letters).alias("typo"),
         T.word_stream(F.col("words")).alias("stream"),
+        S.dominant_script(text).alias("dominant_script"),
     )
     return rows.select(
         "*",
@@ -51,16 +53,13 @@ def documents(corpus: DataFrame, compose: bool = True) -> DataFrame:
 
 
 def script_counts(corpus: DataFrame) -> DataFrame:
-    """(doc_id, script, n): letters of each script; letters of no known script are left out."""
-    letters = corpus.select("doc_id", F.explode_outer(F.split(F.regexp_replace("text", r"[^\p{L}]", ""), "")).alias("letter")).where("letter <> ''")
-    counted = letters.groupBy("doc_id", "letter").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("script", script_of(F.col("letter"))).where("script IS NOT NULL").groupBy("doc_id", "script").agg(F.sum("n").alias("n"))
+    """(doc_id, script, n): letters of each script; letters of no known script are left out. Map-only."""
+    return corpus.select("doc_id", F.inline(S.script_counts(F.col("text"))))
 
 
 def dominant_script(corpus: DataFrame) -> DataFrame:
     """(doc_id, dominant_script): the commonest, on a tie the first by name; no row without letters."""
-    most = F.min_by("script", F.struct((-F.col("n")).alias("n"), "script"))
-    return script_counts(corpus).groupBy("doc_id").agg(most.alias("dominant_script"))
+    return corpus.select("doc_id", S.dominant_script(F.col("text")).alias("dominant_script")).where("dominant_script IS NOT NULL")
 
 
 def length_class(word_count: Column) -> Column:
@@ -75,9 +74,9 @@ def long_enough(docs: DataFrame, force: bool = False) -> DataFrame:
 def split_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, text): 2 to 4 pieces of each text of at least 260 words, cut at breaks."""
     rows = docs.select("doc_id", "text", T.chunk_number(F.col("word_count")).alias("k")).where("k > 0")
-    rows = rows.withColumn("chars", F.split("text", "")).withColumn("size", F.length("text")).withColumn("cut0", F.lit(0))
+    rows = rows.withColumn("size", F.length("text")).withColumn("cut0", F.lit(0))
     for i in range(1, 4):
-        cut = T.next_cut(F.col("chars"), F.col("size"), i, F.col("k"), F.col(f"cut{i - 1}"))
+        cut = T.next_cut(F.col("text"), F.col("size"), i, F.col("k"), F.col(f"cut{i - 1}"))
         rows = rows.withColumn(f"cut{i}", F.when(F.col("k") > i, cut))
     ends = F.filter(F.array("cut1", "cut2", "cut3", "size"), lambda x: x.isNotNull())
     spans = F.zip_with(F.concat(F.array("cut0"), ends), ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))

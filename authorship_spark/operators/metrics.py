@@ -9,6 +9,7 @@ from ..functions import kernels as K
 from ..functions.helpers import deflate_size
 from ..functions.text import chunk_number
 from ..functions.vectors import smooth_props
+from ..storage import stored
 from . import align, profiles
 from .align import PAIR
 from .documents import split_chunks, tokens
@@ -24,16 +25,16 @@ NAMES = {
     "M12": "cosine Delta (z)", "M13": "robustness of difference", "M14": "Zipf slope", "M15": "paragraph rhythm", "M16": "cross-compression", "M17": "3-gram min-max",
 }
 DELTA_WORDS = 150
+#: Profiles that each aligned metric reads.
+KINDS_OF = {"M1": ("c3",), "M2": ("c2",), "M3": ("w",), "M4": ("w",), "M5": ("c1",), "M10": ("w",), "M13": ("c3", "w"), "M17": ("c3",)}
 _FEATURES = ("word_count", "paragraph_count", "sentence_hist", "word_hist", "paragraph_hist", "punct", "typo", "guiraud", "hapax_ratio", "yule_k", "entropy", "vocab", "zipf_slope", "text_hash")
 
 
-def features(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per document: flat features with vocabulary statistics, and packed profiles of all kinds."""
-    profile = profiles.rel_freq(profiles.counts(docs))
-    words = profile.where("kind = 'w'")
-    flat = docs.drop("words", "letters_lower", "sentence_lengths", "paragraph_lengths", "word_lengths")
-    flat = flat.join(profiles.richness(docs, words), "doc_id").join(profiles.zipf_slope(words), "doc_id", "left").fillna({"zipf_slope": 0.0})
-    return flat, profiles.packed(profile)
+def features(docs: DataFrame, kinds: tuple[str, ...] = profiles.KINDS) -> tuple[DataFrame, DataFrame]:
+    """Per document: flat features with vocabulary statistics, and stored packed profiles of ``kinds``, words among them."""
+    packs = stored(profiles.packed(profiles.rel_freq(profiles.counts(docs, kinds))), "profiles")
+    flat = docs.drop("words", "letters_lower", "sentence_lengths", "paragraph_lengths", "word_lengths", "text", "stream")
+    return profiles.vocabulary(flat, packs), packs
 
 
 def both_sides(pairs: DataFrame, flat: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -50,12 +51,12 @@ def cosine_delta(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     z-scores over these chunks, held to +-2; cosine of the mean z of either text.
     Chunks that lack a word enter by their number, not as rows.
     """
-    chunks = split_chunks(docs)
-    words = tokens(chunks.withColumnRenamed("doc_id", "whole").withColumn("doc_id", F.col("whole") * 4 + F.col("chunk_no")), compose=False)
-    words = words.select("whole", "doc_id", F.size("words").alias("size"), F.explode_outer("words").alias("gram")).where("gram IS NOT NULL")
-    shares = words.groupBy("whole", "doc_id", "gram").agg((F.count(F.lit(1)) / F.max("size")).alias("rel"))
-    held = shares.groupBy("whole", "gram").agg(F.collect_list("rel").alias("rels")).groupBy("whole").agg(F.collect_list(F.struct("gram", "rels")).alias("prof"))
-    held = held.withColumnRenamed("whole", "doc_id").join(docs.select("doc_id", chunk_number(F.col("word_count")).alias("k")), "doc_id")
+    # dealt by document before the words are taken, so that all three groupings stay on one exchange
+    chunks = split_chunks(docs.select("doc_id", "text", "word_count").repartition("doc_id"))
+    words = tokens(chunks, compose=False).select("doc_id", "chunk_no", F.size("words").alias("size"), F.explode_outer("words").alias("gram")).where("gram IS NOT NULL")
+    shares = words.groupBy("doc_id", "chunk_no", "gram").agg((F.count(F.lit(1)) / F.max("size")).alias("rel"))
+    held = shares.groupBy("doc_id", "gram").agg(F.collect_list("rel").alias("rels")).groupBy("doc_id").agg(F.collect_list(F.struct("gram", "rels")).alias("prof"))
+    held = held.join(docs.select("doc_id", chunk_number(F.col("word_count")).alias("k")), "doc_id")
     rows = align.sides(pairs).join(held, "doc_id").repartition(*PAIR)
     every = Window.partitionBy(*PAIR)
     size = lambda s: F.max(F.when(F.col("side") == s, F.col("k"))).over(every)
@@ -97,20 +98,31 @@ def cross_compression(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*PAIR, F.when(ok, K.clamp((r - 0.82) / 0.18)).alias("m16"))
 
 
-def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True) -> DataFrame:
+def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
     """One row per pair: doc_a, doc_b, m1..m17 (null where neutral), a and b.
 
-    ``docs`` has the columns of documents(); only documents of some pair are profiled.
-    a and b are structs of the documents' counts, script and text digest.
+    ``docs`` has the columns of documents() and, like ``pairs``, should be stored: it is
+    read by several branches. Only documents of some pair are profiled. a and b are
+    structs of the documents' counts, script, title, charset and text digest. With
+    ``only`` (names of metrics) what the others need isn't computed, and they mean nothing.
     """
+    only = tuple(m for m in (only or WEIGHTS) if compression or m != "M16")
     ids = pairs.select(F.explode_outer(F.array(*PAIR)).alias("doc_id")).distinct()
     docs = docs.join(ids, "doc_id", "left_semi")
-    flat, packed = features(docs)
-    extra = tuple(c for c in ("dominant_script",) if c in docs.columns)
+    kinds = tuple(k for k in profiles.KINDS if any(k in KINDS_OF.get(m, ()) for m in only))
+    extra = tuple(c for c in ("dominant_script", "title", "charset") if c in docs.columns)
+    if kinds or {"M9", "M14"} & set(only):
+        flat, packed = features(docs, ("w", *(k for k in kinds if k != "w")))
+    else:
+        flat = docs.select("*", *(F.lit(0.0).alias(c) for c in ("guiraud", "hapax_ratio", "yule_k", "entropy", "zipf_slope")), F.lit(0).cast("long").alias("vocab"))
     rows = both_sides(pairs, flat, _FEATURES + extra)
-    sums = align.kernels(align.profile_align(pairs, packed))
-    rows = rows.join(sums, list(PAIR), "left").join(cosine_delta(pairs, docs), list(PAIR), "left")
-    rows = rows.join(cross_compression(pairs, docs), list(PAIR), "left") if compression else rows.withColumn("m16", F.lit(None).cast("double"))
+    nothing = lambda names: [F.lit(None).cast("double").alias(c) for c in names]
+    if kinds:
+        rows = rows.join(align.kernels(align.profile_align(pairs, packed.where(F.col("kind").isin(*kinds)))), list(PAIR), "left")
+    else:
+        rows = rows.select("*", *nothing(align.SUMS))
+    rows = rows.join(cosine_delta(pairs, docs), list(PAIR), "left") if "M12" in only else rows.select("*", *nothing(["m12"]))
+    rows = rows.join(cross_compression(pairs, docs), list(PAIR), "left") if "M16" in only else rows.select("*", *nothing(["m16"]))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     cos = lambda x: K.cos_from(zero(f"{x}_dot"), zero(f"{x}_aa"), zero(f"{x}_bb"))
@@ -119,7 +131,7 @@ def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True) -> Da
     rich = (K.rel_diff(a("guiraud"), b("guiraud")) + K.rel_diff(a("hapax_ratio"), b("hapax_ratio")) + K.log_rel_diff(a("yule_k"), b("yule_k")) + K.log_rel_diff(a("entropy"), b("entropy"))) / 4
     both = lambda c, least: F.least(a(c), b(c)) >= least
     union = F.coalesce(F.col("m10_union"), F.lit(0))
-    has_grams = (zero("m5_sa") > 0) & (zero("m5_sb") > 0) & (zero("g_aa") > 0) & (zero("g_bb") > 0)
+    has_grams = (zero("g_aa") > 0) & (zero("g_bb") > 0)
     value = {
         "M1": 1 - cos("m1"),
         "M2": 1 - cos("m2"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def pairs_explicit(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The given pairs whose documents are both there; the order of the two is kept."""
@@ -13,16 +15,41 @@ def pairs_explicit(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return a.join(ids.withColumnRenamed("doc_id", "doc_b"), "doc_b", "left_semi").select("doc_a", "doc_b")
 
 
+def _numbered(docs: DataFrame, block: tuple[str, ...]) -> DataFrame:
+    """(doc_id, block columns, at): each document's place in its block by id, from 0.
+
+    Ids are dealt out by range and numbered in their range; a block that goes on from
+    an earlier range adds what it had there. A range has one such block at most, so
+    there are no more of these sums than ranges, and no task gets a whole block.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc_id", *block).repartitionByRange(n, *block, "doc_id").withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "ranges")  # another sampling could draw other borders
+    inside = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("part", *block).orderBy("doc_id")) - 1)
+    held = dealt.groupBy("part", *block).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*block).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = held.withColumn("ahead", before).where("ahead IS NOT NULL")
+    ahead = F.broadcast(ahead.select(F.struct("part", *block).alias("key"), "ahead"))
+    met = inside.join(ahead, F.struct(inside["part"], *(inside[c] for c in block)).eqNullSafe(ahead["key"]), "left")
+    return met.select("doc_id", *block, (F.col("nth") + F.coalesce("ahead", F.lit(0))).alias("at"))
+
+
 def pairs_blocked(docs: DataFrame, block: tuple[str, ...] = ("lang", "source"), window: int = 3) -> DataFrame:
     """Each document with the next ``window`` ones of its block, by id.
 
-    A neighbour is looked up by lead(), so the work grows with documents times
-    window and no block is joined with itself.
+    Places in the block fall into stretches of ``window``; a document meets those of
+    its own stretch and the next one, so the work grows with documents times window,
+    whatever the size of a block. A window as large as the largest block gives all
+    pairs of every block, which is quadratic and so has to be asked for in this way.
+    Null blocks are blocks; a pair of one id is none.
     """
-    order = Window.partitionBy(*block).orderBy("doc_id")
-    nexts = F.array(*(F.lead("doc_id", k).over(order) for k in range(1, window + 1)))
-    rows = docs.select("doc_id", *block).withColumn("nexts", nexts)
-    return rows.select(F.col("doc_id").alias("doc_a"), F.explode_outer("nexts").alias("doc_b")).where("doc_b IS NOT NULL")
+    placed = stored(_numbered(docs, block), "places").withColumn("stretch", F.floor(F.col("at") / window))
+    a = placed.withColumn("near", F.explode(F.array("stretch", F.col("stretch") + 1)))
+    a = a.select(F.col("doc_id").alias("doc_a"), F.col("at").alias("x"), F.struct(*block, F.col("near").alias("stretch")).alias("key"))
+    b = placed.select(F.col("doc_id").alias("doc_b"), F.col("at").alias("y"), F.struct(*block, "stretch").alias("key_b"))
+    met = a.join(b, F.col("key").eqNullSafe(F.col("key_b")) & (F.col("y") > F.col("x")) & (F.col("y") <= F.col("x") + window))
+    return met.where("doc_a <> doc_b").select("doc_a", "doc_b")
 
 
 def identical(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -33,13 +60,13 @@ def identical(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", ((F.col("ha") == F.col("hb")) & F.col("some")).alias("identical"))
 
 
-def chunk_id(doc_id, chunk_no):
-    """Id of a chunk as a document of its own."""
-    return doc_id * 4 + chunk_no
+def chunk_id(doc_id: Column, chunk_no: Column) -> Column:
+    """Id of a chunk as a document of its own, whatever the document's id."""
+    return F.struct(doc_id.alias("whole"), chunk_no.alias("chunk_no"))
 
 
 def chunk_pairs(chunks: DataFrame) -> DataFrame:
-    """(doc_id, doc_a, doc_b): all pairs of the 2 to 4 chunks of each document."""
+    """(doc_id, doc_a, doc_b): all pairs of the 2 to 4 chunks of each document, by their ids."""
     held = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list("chunk_no")).alias("nos"))
     a = held.select("doc_id", "nos", F.explode_outer("nos").alias("i"))
     both = a.select("doc_id", "i", F.explode_outer("nos").alias("j")).where("i < j")

@@ -1,7 +1,8 @@
 """Counts and shares of words and letter n-grams per document, and what follows from them.
 
-Kinds: ``w`` words, ``c1``, ``c2``, ``c3`` letter n-grams. Everything groups by
-doc_id first, so one shuffle by document and gram feeds it all.
+Kinds: ``w`` words, ``c1``, ``c2``, ``c3`` letter n-grams. Documents are dealt by
+doc_id before their grams are taken, so the texts are shuffled once and counting,
+shares, ranks and packing all stay on that one exchange.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ def _chars() -> Column:
 
 def counts(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(doc_id, kind, gram, cnt); a document without grams of a kind has no rows of it."""
-    docs = docs.select("doc_id", *(["words"] if "w" in kinds else []), *([_chars().alias("chars")] if kinds != ("w",) else []))
+    docs = docs.select("doc_id", *(["words"] if "w" in kinds else []), *(["letters_lower"] if kinds != ("w",) else [])).repartition("doc_id")
+    docs = docs if kinds == ("w",) else docs.withColumn("chars", _chars())
     all_grams = F.array(*(F.struct(F.lit(k).alias("kind"), _grams(k).alias("grams")) for k in kinds))
     # the outer form: for the inner one Spark infers a filter that would compute the grams a second time
     rows = docs.select("doc_id", F.explode_outer(all_grams).alias("x")).select("doc_id", "x.kind", F.explode_outer("x.grams").alias("gram")).where("gram IS NOT NULL")
@@ -55,35 +57,50 @@ def shannon(profile: DataFrame) -> DataFrame:
     return profile.groupBy("doc_id", "kind").agg(F.sum(-F.col("rel") * F.log("rel")).alias("entropy"))
 
 
-def richness(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, guiraud, hapax_ratio, yule_k, entropy, vocab) for every document; zeros without words."""
-    found = words.groupBy("doc_id").agg(
+def _word_sums() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("vocab"), F.count_if(F.col("cnt") == 1).alias("once"), F.sum("cnt").alias("n"),
         F.sum(F.col("cnt") * F.col("cnt")).alias("squares"), F.sum(-F.col("rel") * F.log("rel")).alias("h"),
-    )
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    ]
+
+
+def _slope(rk: str) -> Column:
+    """Least-squares slope of log count on log rank, ranks 10 to 1000; null if there is none."""
+    late = F.col(rk).between(10, 1000)
+    return F.regr_slope(F.when(late, F.log("cnt")), F.when(late, F.log(rk)))
+
+
+def _rich(value=lambda x: F.coalesce(x, F.lit(0.0))) -> list[Column]:
     n = F.col("n").cast("double")
-    value = lambda x: F.coalesce(x, F.lit(0.0))
-    return out.select(
-        "doc_id",
+    return [
         value(F.col("vocab") / F.sqrt(n)).alias("guiraud"),
         value(F.col("once") / F.col("vocab")).alias("hapax_ratio"),
         value((F.col("squares") - n) * 1e4 / (n * n)).alias("yule_k"),
         value(F.col("h")).alias("entropy"),
         F.coalesce("vocab", F.lit(0)).alias("vocab"),
-    )
+    ]
+
+
+def richness(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, guiraud, hapax_ratio, yule_k, entropy, vocab) for every document; zeros without words."""
+    found = words.groupBy("doc_id").agg(*_word_sums())
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *_rich())
 
 
 def zipf_slope(words: DataFrame) -> DataFrame:
     """(doc_id, zipf_slope): least-squares slope of log count on log rank, ranks 10 to 1000; 0 if there is none."""
     rk = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("cnt"), "gram"))
-    ranked = words.select("doc_id", "cnt", rk.alias("rk")).where("rk <= 1000")
-    late = F.col("rk") >= 10
-    x, y = F.when(late, F.log("rk")), F.when(late, F.log("cnt"))
-    return ranked.groupBy("doc_id").agg(F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("zipf_slope"))
+    return words.select("doc_id", "cnt", rk.alias("rk")).groupBy("doc_id").agg(F.coalesce(_slope("rk"), F.lit(0.0)).alias("zipf_slope"))
 
 
 def packed(profile: DataFrame) -> DataFrame:
-    """(doc_id, kind, prof): one compact row per document and kind; prof holds (gram, rel, own rank)."""
+    """One compact row per document and kind: doc_id, kind, prof of (gram, rel, own rank), the sums of richness and the slope."""
     own = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.desc("rel"), "gram"))
-    return profile.withColumn("own", own).groupBy("doc_id", "kind").agg(F.collect_list(F.struct("gram", "rel", "own")).alias("prof"))
+    return profile.withColumn("own", own).groupBy("doc_id", "kind").agg(F.collect_list(F.struct("gram", "rel", "own")).alias("prof"), *_word_sums(), _slope("own").alias("slope"))
+
+
+def vocabulary(docs: DataFrame, packs: DataFrame) -> DataFrame:
+    """``docs`` with what richness and zipf_slope give, from packed profiles."""
+    words = packs.where("kind = 'w'").select("doc_id", "vocab", "once", "n", "squares", "h", "slope")
+    rows = docs.join(words, "doc_id", "left")
+    return rows.select(*docs.columns, *_rich(), F.coalesce("slope", F.lit(0.0)).alias("zipf_slope"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scripts import script_label
 from .align import PAIR
 from .metrics import NAMES
 
@@ -39,7 +40,7 @@ def rationale(long: DataFrame, scored: DataFrame, strongest: bool = False) -> Da
 
 
 def render_report(scored: DataFrame, long: DataFrame, reasons: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, report): a text block per pair."""
+    """(doc_a, doc_b, verdict, report): a text block per pair, with title, words, script and charset of both texts."""
     name = F.element_at(F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair)), F.col("metric"))
     line = F.when(F.col("neutral"), F.format_string("%-4s %-28s neutral", "metric", name)).otherwise(F.format_string("%-4s %-28s d=%.3f w=%.2f", "metric", name, "distance", "weight"))
     lines = long.groupBy(*PAIR).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("metrics"))
@@ -48,7 +49,14 @@ def render_report(scored: DataFrame, long: DataFrame, reasons: DataFrame) -> Dat
     rows = scored.join(lines, list(PAIR), "left").join(why, list(PAIR), "left")
     used = (F.col("p_self") > 0.5) & (F.col("p0") > F.col("p_topic") + 1e-9)
     own = F.when(used, F.format_string("\nself distance %.3f, P(self) %.3f", "self_distance", "p_self")).otherwise("")
-    head = F.format_string("%s: P = %.1f%% +- %.1f%%\ntexts %d (%d words) and %d (%d words)", "verdict", F.col("p") * 100, F.col("margin") * 100, "doc_a", "words_a", "doc_b", "words_b")
+    about = lambda c, s: F.col(f"{c}_{s}") if f"{c}_{s}" in scored.columns else F.lit(None).cast("string")
+
+    def text(nth: int, s: str) -> Column:
+        title = F.coalesce(about("title", s), F.lit("untitled"))
+        script = F.coalesce(script_label(about("dominant_script", s)), F.lit("no letters"))
+        return F.format_string("text %d: %s (id %s), %d words, script %s, charset %s", F.lit(nth), title, F.col(f"doc_{s}").cast("string"), F.col(f"words_{s}"), script, F.coalesce(about("charset", s), F.lit("given as text")))
+
+    head = F.concat_ws("\n", F.format_string("%s: P = %.1f%% +- %.1f%%", "verdict", F.col("p") * 100, F.col("margin") * 100), text(1, "a"), text(2, "b"))
     sums = F.concat(F.format_string("D %.3f, S %.3f, P(topic) %.3f", "D", "S", "p_topic"), own, F.format_string("\nP0 %.3f, f %.3f", "p0", "f"))
     warn = F.when(F.size("warnings") > 0, F.concat(F.lit("warnings: "), F.array_join("warnings", ", ")))
     return rows.select(*PAIR, "verdict", F.concat_ws("\n\n", head, "metrics", sums, "why", warn).alias("report"))

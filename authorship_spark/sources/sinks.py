@@ -17,6 +17,6 @@ def write_metrics(long: DataFrame, path: str) -> None:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Text, a record per report, each beginning with a byte order mark; a folder for each verdict."""
-    rows = reports.select("verdict", F.concat(F.lit("﻿"), "report", F.lit("\n")).alias("value"))
+    """Text, a record per report (doc_a, doc_b, verdict, report), each beginning with a byte order mark; a folder for each verdict."""
+    rows = reports.select("verdict", F.concat(F.lit("\ufeff"), "report", F.lit("\n")).alias("value"))
     rows.write.mode("overwrite").partitionBy("verdict").option("lineSep", "\n").text(path)

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-SOME = ["t2_tokenize", "t9_typo_vector", "t15_chunks", "a7_richness", "j6_top_combined"]
+SOME = ["t2_tokenize", "t9_typo_vector", "t15_chunks", "a7_richness", "j6_top_combined", "s3_signature", "s5_charsets", "r9_scores_self", "x4_eval"]
 
 
 @pytest.fixture(scope="module")

@@ -1,12 +1,14 @@
 """Properties of metrics and scores on generated authors, and hand-computed scores."""
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from authorship_spark.functions.helpers import deflate_size
 from authorship_spark.jobs import verify
-from authorship_spark.operators import metrics, report, score
+from authorship_spark.operators import metrics, pairs, report, score
 from authorship_spark.operators.align import PAIR
 
 WORDS = {
@@ -62,6 +64,47 @@ def test_self_distance(scored):
     assert set(own) == {1, 2, 3, 4, 5} and all(0 <= d <= 1 for d in own.values())
 
 
+@pytest.mark.parametrize("window", [1, 3, 40])
+def test_pairs_blocked(spark, window):
+    """Neighbours of blocks large and small, over the borders of ranges, against a plain reading; huge ids."""
+    rng = random.Random(window)
+    rows = [(rng.randrange(-(2**62), 2**62), rng.choice(["en", "en", "en", "fr", None]), rng.choice("ab")) for _ in range(150)] + [(k, "rare", "c") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string")
+    blocks = {}
+    for i, lang, source in sorted(rows, key=lambda r: r[0]):
+        blocks.setdefault((lang, source), []).append(i)
+    want = sorted((ids[k], ids[k + d]) for ids in blocks.values() for k in range(len(ids)) for d in range(1, window + 1) if k + d < len(ids))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert sorted(tuple(r) for r in pairs.pairs_blocked(docs, window=window).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert pairs.pairs_blocked(docs.where("false"), window=window).count() == 0
+
+
+def test_only_some_metrics(spark, scored):
+    """What ``only`` leaves out changes nothing else."""
+    texts = {1: write("A", 1), 2: write("B", 2)}
+    docs = verify.prepare(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), force=True)
+    wanted = spark.createDataFrame([(1, 2)], "doc_a long, doc_b long")
+    every = metrics.distances(docs, wanted).first()
+    for m in ("M2", "M7", "M9", "M13"):
+        assert metrics.distances(docs, wanted, only=(m,)).first()[m.lower()] == pytest.approx(every[m.lower()], abs=1e-12) or every[m.lower()] is None
+
+
+def test_deflate_size(spark):
+    """Sizes are zlib's own, with and without a preset dictionary."""
+    a, b = write("A", 5), write("A", 6)
+    got = spark.createDataFrame([(a, b), (a, ""), ("", b), (None, None)], "x string, y string").select(deflate_size("x", "y").alias("n")).collect()
+
+    def size(data, preset=""):
+        packer = zlib.compressobj(9, zdict=preset.encode()) if preset else zlib.compressobj(9)
+        return len(packer.compress(data.encode()) + packer.flush())
+
+    assert [r["n"] for r in got] == [size(a, b), size(a), size("", b), size("")] and size(a, a) < size(a, b) < size(a)
+
+
 def test_report(scored):
     rows, scores, _ = scored
     long = metrics.extract(rows)

@@ -3,8 +3,11 @@
 import pytest
 
 from authorship_spark.jobs import ingest as job
+from authorship_spark.jobs import verify
 from authorship_spark.sources import ingest
 
+from .test_metrics import write
+
 CASES = {
     "a.txt": (b"\xef\xbb\xbfa", "a", "UTF-8", None),
     "b.txt": (b"\xff\xfea\x00", "a", "UTF-16LE", None),
@@ -43,3 +46,28 @@ def test_job(spark, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/corpus").count() == 6
     assert spark.read.parquet(f"{tmp_path}/refused").count() == 4
     assert not spark.read.parquet(f"{tmp_path}/summary").isEmpty()
+
+
+def test_from_files_to_scores_and_reports(spark, tmp_path_factory):
+    """Ingest, verify and the sinks, with the hashed 64-bit ids that ingest makes."""
+    at = tmp_path_factory.mktemp("whole")
+    (at / "files").mkdir()
+    for name, author, seed in (("one", "A", 1), ("two", "A", 2), ("three", "B", 3), ("four", "C", 4)):
+        (at / "files" / f"{name}.txt").write_bytes(write(author, seed, 130).encode())
+    job.ingest(spark, str(at / "files"), str(at / "in"))
+    corpus = spark.read.parquet(f"{at}/in/corpus")
+    assert corpus.where("abs(doc_id) > 1L << 61").count() > 0
+    verify.run(spark, corpus, str(at / "out"), block=("charset",), window=3, force=True)
+    scores = spark.read.parquet(f"{at}/out/scores")
+    assert scores.count() == 6 and scores.where("self_distance IS NOT NULL").count() > 0
+    assert spark.read.parquet(f"{at}/out/metrics").count() == 6 * 17
+    lines = [r["value"] for r in spark.read.text(f"{at}/out/reports").collect()]
+    assert sum(" P = " in x for x in lines) == 6
+    assert sum(x.startswith("text ") and ".txt (id " in x and "script Latin, charset UTF-8" in x for x in lines) == 12
+
+
+def test_signatures_and_sniffing_of_bytes(spark):
+    heads = {name: bytes.fromhex(h) for name, h in zip("PNG RIFF text".split(), ("89504E470D0A1A0A", "5249464600000000", "20"), strict=True)}
+    rows = spark.createDataFrame([(k, bytearray(v + b"x" * 80)) for k, v in heads.items()], "k string, content binary")
+    got = {r["k"]: r["s"] for r in rows.select("k", ingest.binary_signature(rows["content"]).alias("s")).collect()}
+    assert got == {"PNG": "PNG", "RIFF": None, "text": None}
