@@ -74,25 +74,3 @@ def chunk_number(word_count: Column) -> Column:
     for least, k in reversed(CHUNKS):
         out = F.when(word_count >= least, F.lit(k)).otherwise(out)
     return out
-
-
-def next_cut(text: Column, size: Column, i: int, k: Column, prev: Column) -> Column:
-    """Where the i-th cut of k goes: after the best break near its even place.
-
-    A break's score is its distance times the weight of its sign, so only the nearest
-    ones of each weight on either side can be the best.
-    """
-    target = F.floor(size * F.lit(float(i)) / k + 0.5).cast("int")
-    span = F.greatest(F.lit(1), F.floor(size / 8)).cast("int")
-    low, high = F.greatest(prev + 1, target - span), F.least(size - 1, target + span)
-    last, first = F.least(target, high), F.greatest(target + 1, low)
-    weights = {"\n": 0.5, ".": 0.75, " ": 1.0}
-    alike = lambda s: F.translate(s, "!?…。\t", ".... ")
-    before = F.reverse(alike(F.substring(text, low, F.greatest(last - low + 1, F.lit(0)))))
-    after = alike(F.substring(text, first, F.greatest(high - first + 1, F.lit(0))))
-    found = []
-    for sign, weight in weights.items():
-        for there, at in ((F.instr(before, sign), lambda n: last - n + 1), (F.instr(after, sign), lambda n: first + n - 1)):
-            found.append(F.when(there > 0, F.struct((weight * F.abs(at(there) - target)).alias("score"), at(there).alias("at"))))
-    cut = F.coalesce(F.array_min(F.array_compact(F.array(*found)))["at"], target)
-    return F.when((cut <= prev) | (cut >= size), F.greatest(prev + 1, F.least(target, size - 1))).otherwise(cut)

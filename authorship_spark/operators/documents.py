@@ -71,13 +71,42 @@ def long_enough(docs: DataFrame, force: bool = False) -> DataFrame:
     return docs if force else docs.where(F.col("word_count") >= T.SHORT_WORDS)
 
 
+#: Signs after which a text may be cut, and how much their distance from the even place weighs.
+BREAKS = {"\n": 0.5, ".": 0.75, " ": 1.0}
+
+
+def _with_cut(rows: DataFrame, i: int) -> DataFrame:
+    """Adds cut{i}: where the i-th cut of k goes, after the best break near its even place; null if k isn't over i.
+
+    A break's score is its distance times the weight of its sign, so only the nearest
+    ones of each weight on either side can be the best. Steps are columns, so that
+    none is computed twice.
+    """
+    prev, size = F.col(f"cut{i - 1}"), F.col("size")
+    alike = lambda s: F.translate(s, "!?…。\t", ".... ")
+    many = F.col("k") > i
+    rows = rows.withColumn("target", F.floor(size * F.lit(float(i)) / F.col("k") + 0.5).cast("int")).withColumn("span", F.greatest(F.lit(1), F.floor(size / 8)).cast("int"))
+    rows = rows.withColumn("low", F.greatest(prev + 1, F.col("target") - F.col("span"))).withColumn("high", F.least(size - 1, F.col("target") + F.col("span")))
+    rows = rows.withColumn("last", F.least("target", "high")).withColumn("first", F.greatest(F.col("target") + 1, F.col("low")))
+    rows = rows.withColumn("before", F.when(many, F.reverse(alike(F.substring("text", F.col("low"), F.greatest(F.col("last") - F.col("low") + 1, F.lit(0)))))))
+    rows = rows.withColumn("after", F.when(many, alike(F.substring("text", F.col("first"), F.greatest(F.col("high") - F.col("first") + 1, F.lit(0))))))
+    near = []
+    for n, (sign, weight) in enumerate(BREAKS.items()):
+        rows = rows.withColumn(f"l{n}", F.nullif(F.instr("before", sign), F.lit(0))).withColumn(f"r{n}", F.nullif(F.instr("after", sign), F.lit(0)))
+        near += [(F.col("last") - F.col(f"l{n}") + 1, weight), (F.col("first") + F.col(f"r{n}") - 1, weight)]
+    scored = F.array_compact(F.array(*(F.when(at.isNotNull(), F.struct((F.abs(at - F.col("target")) * weight).alias("score"), at.alias("at"))) for at, weight in near)))
+    rows = rows.withColumn("best", F.coalesce(F.array_min(scored)["at"], F.col("target")))
+    bad = (F.col("best") <= prev) | (F.col("best") >= size)
+    cut = F.when(bad, F.greatest(prev + 1, F.least(F.col("target"), size - 1))).otherwise(F.col("best"))
+    return rows.withColumn(f"cut{i}", F.when(many, cut)).drop("target", "span", "low", "high", "last", "first", "before", "after", "best", *(f"{s}{n}" for s in "lr" for n in range(len(BREAKS))))
+
+
 def split_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, text): 2 to 4 pieces of each text of at least 260 words, cut at breaks."""
     rows = docs.select("doc_id", "text", T.chunk_number(F.col("word_count")).alias("k")).where("k > 0")
     rows = rows.withColumn("size", F.length("text")).withColumn("cut0", F.lit(0))
     for i in range(1, 4):
-        cut = T.next_cut(F.col("text"), F.col("size"), i, F.col("k"), F.col(f"cut{i - 1}"))
-        rows = rows.withColumn(f"cut{i}", F.when(F.col("k") > i, cut))
+        rows = _with_cut(rows, i)
     ends = F.filter(F.array("cut1", "cut2", "cut3", "size"), lambda x: x.isNotNull())
     spans = F.zip_with(F.concat(F.array("cut0"), ends), ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     rows = rows.select("doc_id", "text", F.posexplode_outer(F.filter(spans, lambda s: s["end"] > s["start"])).alias("chunk_no", "span"))
