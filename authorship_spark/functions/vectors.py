@@ -18,8 +18,8 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _one(text: Column, mark: str) -> Column:
-    """How often a single character stands in a text."""
-    return F.length(text) - F.length(F.translate(text, mark, ""))
+    """How often a string that can't overlap itself stands in a text."""
+    return (F.length(text) - F.length(F.replace(text, F.lit(mark)))) / F.lit(len(mark))
 
 
 def _per_1000(counts: list[Column], letters: Column) -> Column:
@@ -39,11 +39,11 @@ def typo_vector(text: Column, letters: Column) -> Column:
         _count(text, r"\.{3,}"),
         _one(text, "…"),
         _one(text, "—"),
-        _count(text, "(?<=-) "),
+        _one(text, "- "),
         _one(text, "–"),
         _one(text, '"'),
-        _count(text, "[«»]"),
-        _count(text, "[“”„]"),
+        _one(text, "«") + _one(text, "»"),
+        _one(text, "“") + _one(text, "”") + _one(text, "„"),
         _count(text, r"(?<=\p{L})'(?=\p{L})"),
         _count(text, r"[\x{1F000}-\x{10FFFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}]") + 3 * caps,
     ]

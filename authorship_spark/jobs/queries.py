@@ -54,7 +54,9 @@ def _profile(spark, sf_dir, *kinds: str) -> DataFrame:
 
 
 def _aligned(spark, sf_dir, kinds=profiles.KINDS) -> DataFrame:
-    docs, wanted = _long(spark, sf_dir)
+    docs = documents.long_enough(_tokens(spark, sf_dir))
+    docs = stored(docs.select("doc_id", *BLOCK, "words", T.letters_lower(F.col("text")).alias("letters_lower")), "documents")
+    wanted = stored(pairs.pairs_blocked(docs, BLOCK, WINDOW), "pairs")
     return align.profile_align(wanted, profiles.packed(profiles.rel_freq(profiles.counts(docs, kinds))))
 
 
@@ -211,7 +213,7 @@ def j1_pairs_explicit(spark, sf_dir):
 
 
 def j2_pairs(spark, sf_dir):
-    return _long(spark, sf_dir)[1]
+    return pairs.pairs_blocked(documents.long_enough(_tokens(spark, sf_dir)), BLOCK, WINDOW)
 
 
 def j3_identical(spark, sf_dir):
