@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, kdtree, line_dedup, packing, pii, spotsigs, token_counts, toxicity
-from .common import table, text_of
+from . import byte_bpe, chat_format, fim, jaccard_join, kdtree, line_dedup, mixing, packing, pii, spotsigs, token_counts, toxicity, whitening
+from .common import materialize, table, text_of
 
 #: Where the public vocabularies lie; files are named by each query.
 VOCABULARY: Callable[[str], str] = public_tokenizers.path
@@ -186,6 +186,66 @@ near AS (SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r
 OP10_SQL = "WITH RECURSIVE " + NEAR_SQL.replace("{source}", "documents") + "SELECT doc_id, class_id, n_links FROM near"
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed="1")
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+h AS (SELECT *, CAST(length(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+#: Weights of the registered mix in turn, and what it takes of all words.
+MIX_WEIGHTS, MIX_SHARE = (3.0, 1.0, 2.0), 1.5
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sources = mixing.with_targets(mixing.cycled_weights(mixing.source_sizes(docs), MIX_WEIGHTS), share=MIX_SHARE, most=2)
+    rows = mixing.with_copies(docs, sources, seed="1")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# a level of water: sources are capped in the order of the level at which they are full
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2 * z / w, source NULLS LAST) AS k FROM w),
+c AS (SELECT *, coalesce(sum(2 * z) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before, sum(w) OVER (ORDER BY k DESC) AS free, sum(z) OVER () AS total FROM o),
+v AS (SELECT arg_min((1.5::DOUBLE * total - full_before) / free, k) AS level FROM c WHERE (1.5::DOUBLE * total - full_before) / free <= 2 * z / w),
+t AS (SELECT source, z, least(CAST(2 * z AS DOUBLE), w * level) AS target FROM c, v),
+r AS (SELECT d.doc_id, size, z, target, CASE WHEN z > 0 THEN target / z ELSE 0 END AS rate,
+      CAST('0x' || sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, z AS source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    models = whitening.fit(vectors)
+    rows = materialize(whitening.whiten(vectors, models, components=32), "whitened")
+    error = whitening.identity_error(rows)
+    each = rows.select("vec_id", "n", "deviation", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "x"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "x.whitened", "x.explained", F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
@@ -198,6 +258,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_line_dedup": op9_line_dedup,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_mixing": op12_mixing,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -207,4 +270,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": OP6_SQL,
         "op9_line_dedup": OP9_SQL,
         "op10_jaccard_join": OP10_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_mixing": OP12_SQL,
     }
