@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
+from pathlib import Path
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package, and bound the Arrow batches that they get."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normalisation form C; null stays null."""

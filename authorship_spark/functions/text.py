@@ -17,6 +17,8 @@ SHORT_WORDS, CRITICAL_WORDS = 500, 150
 #: Words from which a text is cut into so many chunks.
 CHUNKS = ((1400, 4), (700, 3), (260, 2))
 STREAM_WORDS = 4000
+#: What is trimmed from a text's ends: all up to U+0020.
+_BLANKS = "".join(map(chr, range(0x21)))
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:
@@ -27,7 +29,9 @@ def normalize_text(text: Column, compose: bool = True) -> Column:
     """
     if compose:
         text = F.coalesce(nfc(F.when(text.rlike(r"[^\x{0000}-\x{02FF}]"), text)), text)
-    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    lines = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    # no pattern: one for the end of a text would start anew at every blank of every run
+    return F.btrim(lines, F.lit(_BLANKS))
 
 
 def tokenize(text: Column) -> Column:
@@ -35,6 +39,11 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def word_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(TOKEN))
+
+
 def letters_lower(text: Column) -> Column:
     """The letters alone, each in lower case for itself (so a final sigma stays a sigma)."""
     return F.regexp_replace(F.lower(F.translate(text, "Σ", "σ")), r"[^\p{L}]", "")

@@ -208,7 +208,22 @@ _ACROSS = _rebased("e_", {
     "d": r"SELECT doc_id * 4 + chunk_no AS doc_id, NULL AS lang, NULL AS source, regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS text FROM ch WHERE chunk_no < 2 AND doc_id IN (SELECT doc_id FROM ld)",
     "pr": "SELECT doc_id - 1 AS doc_a, doc_id AS doc_b FROM e_t WHERE doc_id % 4 = 1 UNION ALL SELECT doc_a * 4, doc_b * 4 FROM pr",
 })
-_VIEWS |= _WITHIN | _ACROSS
+# each labelled document with its predecessor, of whatever length
+_LISTED = _rebased("l_", {
+    "d": _VIEWS["d"],
+    "pr": "SELECT doc_id AS doc_a, doc_id - 1 AS doc_b FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id - 1 IN (SELECT doc_id FROM documents)",
+})
+_VIEWS |= _WITHIN | _ACROSS | _LISTED
+# letters a to z, or a to m, in another script; a table of these scripts' letters
+_FIRST = {"TIFINAGH": 0x2D30, "YI": 0xA000, "CANADIAN_ABORIGINAL": 0x1401, "NKO": 0x07CA, "CYRILLIC": 0x0430, "HAN": 0x4E00}
+_CASES = " ".join(
+    f"WHEN {2 * k + half} THEN translate(text, 'abcdefghijklmnopqrstuvwxyz'[1:{26 // (half + 1)}], '{''.join(map(chr, range(first, first + 26 // (half + 1))))}')"
+    for k, first in enumerate(_FIRST.values()) for half in (0, 1)
+)
+_VIEWS["sx"] = f"SELECT doc_id, CASE doc_id % {2 * len(_FIRST)} {_CASES} ELSE text END AS text FROM d"
+_VIEWS["sr"] = "SELECT * FROM (VALUES (65, 90, 'LATIN'), (97, 122, 'LATIN'), (170, 170, 'LATIN'), (186, 186, 'LATIN'), (192, 214, 'LATIN'), (216, 246, 'LATIN'), (248, 591, 'LATIN'), " + ", ".join(f"({first}, {first + 25}, '{s}')" for s, first in _FIRST.items()) + ") AS r(lo, hi, script)"
+_VIEWS["sy"] = r"SELECT doc_id, script, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\p{L}]', '', 'g'), '')) AS c FROM sx) JOIN sr ON unicode(c) BETWEEN lo AND hi GROUP BY doc_id, script"
+_VIEWS["sz"] = "SELECT doc_id, arg_min(script, (-n, script)) AS dominant_script FROM sy GROUP BY doc_id"
 _VIEWS["sd"] = "SELECT doc_a // 4 AS doc_id, avg(dist) AS own FROM c_ds GROUP BY doc_a // 4"
 _VIEWS["q1"] = "SELECT s2.*, CASE WHEN NOT identical THEN (a.own + b.own) * 0.5 END AS sf FROM s2 LEFT JOIN sd a ON a.doc_id = doc_a LEFT JOIN sd b ON b.doc_id = doc_b"
 _VIEWS["q2"] = "SELECT *, 1 / (1 + exp(-22 * (sf - dd - 0.03))) AS ps FROM q1"
@@ -260,6 +275,10 @@ def oracle_sql() -> dict[str, str]:
         "t12_dominant_script": "SELECT doc_id, 'LATIN' AS dominant_script FROM sc WHERE n > 0",
         "t13_script_label": "SELECT doc_id, 'Latin' AS label, false AS cjk FROM sc WHERE n > 0",
         "t14_scripts_differ": "SELECT doc_a, doc_b, false AS differ FROM pr",
+        "t11_script_counts_mixed": "SELECT doc_id, script, CAST(n AS BIGINT) AS n FROM sy",
+        "t12_dominant_script_mixed": "SELECT doc_id, dominant_script FROM sz",
+        "t14_scripts_differ_mixed": "SELECT doc_a, doc_b, coalesce(a.dominant_script <> b.dominant_script, false) AS differ FROM pr LEFT JOIN sz a ON a.doc_id = doc_a LEFT JOIN sz b ON b.doc_id = doc_b",
+        "j1_pairs_listed": "SELECT doc_a * 2 + nth AS pair_id, doc_a, doc_b, round(m3, 5) AS m3, round(m5, 5) AS m5, round(least(1, greatest(0, m9)), 5) AS m9 FROM l_mm CROSS JOIN (VALUES (0), (1)) AS k(nth)",
         "t15_chunks": "SELECT doc_id, chunk_no, text FROM ch WHERE text <> ''",
         "t16_length_class": "SELECT doc_id, len(words) < 500 AS is_short, len(words) < 150 AS is_critical, CASE WHEN len(words) < 150 THEN 'critical' WHEN len(words) < 500 THEN 'short' ELSE 'full' END AS length_class FROM t",
         "t17_word_stream": "SELECT doc_id, coalesce(list_aggregate(list_transform(words[1:4000], lambda w: w || ' '), 'string_agg', ''), '') AS stream FROM t",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from ..functions import vectors as V
 from ..operators import align, documents, metrics, pairs, profiles, report, score
 from ..operators.align import PAIR
 from ..sources import ingest, sinks
-from ..storage import shared_dir, stored
+from ..storage import scratch, stored
 from . import ingest as ingest_job
 from . import verify
 
@@ -22,7 +21,7 @@ BLOCK, WINDOW = ("lang", "source"), 3
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=BLOCK)
+    return documents.dealt(documents.from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=BLOCK))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +153,39 @@ def t14_scripts_differ(spark, sf_dir):
     return rows.select(*PAIR, S.scripts_differ(F.col("a"), F.col("b")).alias("differ"))
 
 
+#: First letters of scripts that take the place of a to z, by id.
+FIRST_LETTERS = {"TIFINAGH": 0x2D30, "YI": 0xA000, "CANADIAN_ABORIGINAL": 0x1401, "NKO": 0x07CA, "CYRILLIC": 0x0430, "HAN": 0x4E00}
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _in_scripts(docs: DataFrame) -> DataFrame:
+    """``docs`` with all or half of their small letters in another script, by id."""
+    text, kind = F.col("text"), F.pmod("doc_id", F.lit(2 * len(FIRST_LETTERS)))
+    for k, first in enumerate(FIRST_LETTERS.values()):
+        for many, at in ((26, 2 * k), (13, 2 * k + 1)):
+            text = F.when(kind == at, F.translate("text", _LETTERS[:many], "".join(map(chr, range(first, first + many))))).otherwise(text)
+    return docs.withColumn("text", text)
+
+
+def t11_script_counts_mixed(spark, sf_dir):
+    return documents.script_counts(_in_scripts(documents.counted(corpus(spark, sf_dir))))
+
+
+def t12_dominant_script_mixed(spark, sf_dir):
+    return documents.dominant_script(_in_scripts(documents.counted(corpus(spark, sf_dir))))
+
+
+def t14_scripts_differ_mixed(spark, sf_dir):
+    """Neighbours of a block whose letters are of one script or of two."""
+    docs, wanted = _long(spark, sf_dir)
+    own = stored(documents.dominant_script(_in_scripts(docs)), "scripts")
+    a, b = (own.select(F.col("doc_id").alias(f"doc_{s}"), F.col("dominant_script").alias(s)) for s in "ab")
+    rows = wanted.join(a, "doc_a", "left").join(b, "doc_b", "left")
+    return rows.select(*PAIR, S.scripts_differ(F.col("a"), F.col("b")).alias("differ"))
+
+
 def t15_chunks(spark, sf_dir):
-    return documents.split_chunks(_tokens(spark, sf_dir))
+    return documents.split_chunks(documents.counted(corpus(spark, sf_dir)))
 
 
 def t16_length_class(spark, sf_dir):
@@ -209,7 +239,16 @@ def a9_smooth_props(spark, sf_dir):
 def j1_pairs_explicit(spark, sf_dir):
     """Pairs that the labels table gives: each labelled document with its predecessor by id."""
     wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("doc_a"), (F.col("doc_id") - 1).alias("doc_b"))
-    return pairs.pairs_explicit(wanted, corpus(spark, sf_dir))
+    return pairs.pairs_explicit(wanted, corpus(spark, sf_dir)).select(*PAIR)
+
+
+def j1_pairs_listed(spark, sf_dir):
+    """A list that gives each of these pairs twice: a row for each of its rows, with the distances of the pair."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("doc_a"), (F.col("doc_id") - 1).alias("doc_b"), F.explode(F.array(F.lit(0), F.lit(1))).alias("nth"))
+    docs = verify.prepare(corpus(spark, sf_dir), force=True)
+    listed = stored(pairs.pairs_explicit(labels.select((F.col("doc_a") * 2 + F.col("nth")).alias("pair_id"), *PAIR), docs), "listed")
+    rows = metrics.distances(docs, listed, compression=False, only=("M3", "M5", "M9"))
+    return rows.select("pair_id", *PAIR, *(F.round(c, 5).alias(c) for c in ("m3", "m5", "m9")))
 
 
 def j2_pairs(spark, sf_dir):
@@ -254,7 +293,7 @@ def j10_key_sets(spark, sf_dir):
 
 
 def j11_chunk_pairs(spark, sf_dir):
-    rows = pairs.chunk_pairs(documents.split_chunks(_tokens(spark, sf_dir)))
+    rows = pairs.chunk_pairs(documents.split_chunks(documents.counted(corpus(spark, sf_dir))))
     return rows.select("doc_id", F.col("doc_a.chunk_no").alias("chunk_a"), F.col("doc_b.chunk_no").alias("chunk_b"))
 
 
@@ -265,10 +304,7 @@ def _m(name: str):
 
 def m1_trigram_cosine(spark, sf_dir):
     """The smallest slice from end to end: letter 3-grams of blocked pairs to their cosine distance."""
-    rows = align.top_combined(_aligned(spark, sf_dir, ("c3",))).where("rk <= 300")
-    sums = rows.groupBy(*PAIR).agg(F.sum(F.col("r1") * F.col("r2")).alias("ab"), F.sum(F.col("r1") * F.col("r1")).alias("aa"), F.sum(F.col("r2") * F.col("r2")).alias("bb"))
-    cosine = metrics.K.cos_from(F.col("ab"), F.col("aa"), F.col("bb"))
-    return sums.select(*PAIR, F.round(metrics.K.clamp(1 - cosine), 5).alias("distance"), F.lit(False).alias("neutral"))
+    return _m("m1")(spark, sf_dir)
 
 
 def m_all(spark, sf_dir):
@@ -391,7 +427,7 @@ def s5_charsets(spark, sf_dir):
 
 def s1_read_files(spark, sf_dir):
     """The documents written as text files, one a source, and read back whole."""
-    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    at = scratch(spark, "files")
     rows = corpus(spark, sf_dir).repartition("source").sortWithinPartitions("source", "doc_id")
     rows.select("source", F.regexp_replace("text", "\n", " ").alias("value")).write.partitionBy("source").text(at)
     files = ingest.read_text_files(spark, at)
@@ -401,20 +437,20 @@ def s1_read_files(spark, sf_dir):
 
 def s7_scores_written(spark, sf_dir):
     """Scores (without cross-compression and self baseline) through their sink and back."""
-    at = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    at = scratch(spark, "scores")
     sinks.write_scores(_scores(spark, sf_dir, False, False), at)
     return spark.read.parquet(at).select(*PAIR, F.round("p", 4).alias("p"), "verdict")
 
 
 def s7_metrics_written(spark, sf_dir):
-    at = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    at = scratch(spark, "metrics")
     sinks.write_metrics(metrics.extract(_distances(spark, sf_dir)), at)
     return spark.read.parquet(at).where("metric <> 'M16'").select(*PAIR, "metric", F.round("distance", 5).alias("distance"))
 
 
 def s8_reports_written(spark, sf_dir):
     """Reports through their sink and back: how many records each verdict's folder has. (The reader takes a file's first byte order mark away.)"""
-    at = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    at = scratch(spark, "reports")
     rows = _kept(spark, sf_dir)
     sinks.write_reports(verify.reports(score.scores(rows), metrics.extract(rows)), at)
     return spark.read.text(at).where(F.col("value").rlike(r"^\x{FEFF}?[a-z_]+: P = ")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
@@ -431,6 +467,7 @@ def queries() -> dict[str, Query]:
         j4_profile_align, j5_top_keys, j6_top_combined, j7_restrict_renorm, j8_top_diff, j9_drop_keys, j10_key_sets, j11_chunk_pairs, m1_trigram_cosine, m_all,
         r1_distance, r3_self_distance, r9_scores_core, r9_scores, x1_metric_table, x2_rationale, x3_report, x4_eval, x5_summary, w3_corpus_statistics,
         s1_read_files, s3_signature, s4_looks_binary, s5_charsets, s7_scores_written, s7_metrics_written, s8_reports_written, r3_self_distance_core, r9_scores_self,
+        t11_script_counts_mixed, t12_dominant_script_mixed, t14_scripts_differ_mixed, j1_pairs_listed,
     ]
     found: dict[str, Query] = {f.__name__: f for f in own}
     found |= {f"a2_char_profile_{n}": _a2(n) for n in (1, 2, 3)}

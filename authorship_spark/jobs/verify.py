@@ -7,19 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import documents as D
 from ..operators import metrics, pairs, report, score
 from ..sources import sinks
-from ..storage import discard, stored
+from ..storage import job, stored
 
 
 def prepare(corpus: DataFrame, force: bool = False, compose: bool = True) -> DataFrame:
-    """Documents of a corpus (doc_id, text, ...) that are long enough, with all derived columns.
+    """Documents of a corpus (doc_id, text, ...) that are long enough, with their flat derived columns.
 
-    Many branches of the metrics read them, so they are stored once in the shared folder.
+    Several branches read them, so they are stored once in the shared folder; what is as
+    large as the text itself is taken from it again where it is needed.
     """
-    return stored(D.long_enough(D.documents(corpus, compose), force), "documents")
+    return stored(D.long_enough(D.documents(corpus, compose), force).drop(*D.BULKY), "documents")
 
 
 def verify(docs: DataFrame, wanted: DataFrame, self_baseline: bool = True, compression: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(scores, metrics in long form) of the pairs ``wanted`` of prepared documents."""
+    """(scores, metrics in long form) of the pairs ``wanted`` of prepared documents; a list of pairs with pair_id gets a row for each of its rows."""
     rows = stored(metrics.distances(docs, stored(wanted, "pairs"), compression), "distances")
     own = score.self_distance(docs, compression) if self_baseline else None
     return score.scores(rows, own), metrics.extract(rows)
@@ -36,10 +37,21 @@ def reports(scored: DataFrame, long: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, corpus: DataFrame, out: str, **options) -> None:
-    """Verify the blocks of a corpus; write scores, metrics and reports under ``out``, and remove what was stored on the way."""
-    scored, long = verify_blocks(corpus, **options)
+    """Verify the blocks of a corpus; write scores, metrics and reports under ``out``. What was stored on the way goes, and nothing else."""
+    with job(spark):
+        scored, long = verify_blocks(corpus, **options)
+        write(spark, scored, long, out)
+
+
+def run_pairs(spark: SparkSession, corpus: DataFrame, listed: DataFrame, out: str, force: bool = False, **options) -> None:
+    """Verify a list of pairs (doc_a, doc_b, and pair_id if it has one); write a score, metrics and a report for each of its rows."""
+    with job(spark):
+        docs = prepare(corpus, force)
+        scored, long = verify(docs, pairs.pairs_explicit(listed, docs), **options)
+        write(spark, scored, long, out)
+
+
+def write(spark: SparkSession, scored: DataFrame, long: DataFrame, out: str) -> None:
     sinks.write_scores(scored, f"{out}/scores")
     sinks.write_metrics(long, f"{out}/metrics")
-    scored = spark.read.parquet(f"{out}/scores")
-    sinks.write_reports(reports(scored, spark.read.parquet(f"{out}/metrics")), f"{out}/reports")
-    discard(spark)
+    sinks.write_reports(reports(spark.read.parquet(f"{out}/scores"), spark.read.parquet(f"{out}/metrics")), f"{out}/reports")

@@ -1,8 +1,8 @@
-"""The pair kernel: profiles of both documents of a pair, aligned gram by gram.
+"""Profiles of both documents of a pair, aligned gram by gram, as rows.
 
-Packed profiles travel to their pairs, one row per side and kind; everything after
-that - alignment, both rankings, renormalising, sums - works on one partitioning
-by (doc_a, doc_b).
+This is for who wants to see the grams: a row for each of them, ranked and rescaled on
+one partitioning by (doc_a, doc_b). The metrics don't go this way: they merge sorted
+arrays (see arrays.py).
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import canberra_term, kl_term
-
 PAIR = ("doc_a", "doc_b")
 #: Grams of the combined ranking that each metric takes.
 TOP = {"M1": 300, "M2": 250, "M3": 100, "M4": 300, "M10": 50, "M17": 400}
@@ -19,9 +17,10 @@ TOP = {"M1": 300, "M2": 250, "M3": 100, "M4": 300, "M10": 50, "M17": 400}
 DROPPED = {"c3": 150, "w": 120}
 
 
-_PARTS = {"m1": "dot aa bb", "m2": "dot aa bb", "m4": "a b sa sb", "m5": "a b sa sb", "m10": "inter union", "g": "dot aa bb", "w": "a b sa sb", "gd": "dot aa bb", "wd": "a b sa sb", "m17": "min max"}
-#: Columns of ``kernels`` beside the pair.
-SUMS = ("m3", *(f"{name}_{part}" for name, parts in _PARTS.items() for part in parts.split()))
+
+def keys(rows: DataFrame) -> list[str]:
+    """What names a row's pair: the two documents, and the number of a listed pair where it has one."""
+    return [c for c in ("pair_id", *PAIR) if c in rows.columns]
 
 
 def sides(pairs: DataFrame) -> DataFrame:
@@ -60,44 +59,3 @@ def restrict_renorm(ranked: DataFrame, kept: Column, name: str) -> DataFrame:
         total = F.sum(F.when(kept, F.col(f"r{side}")).otherwise(0.0)).over(every)
         ranked = ranked.withColumn(f"{name}{side}", F.when(kept & (total > 0), F.col(f"r{side}") / total).when(kept, 0.0))
     return ranked
-
-
-def kernels(aligned: DataFrame) -> DataFrame:
-    """One row per pair with the sums that the profile metrics are made of."""
-    every = Window.partitionBy(*PAIR, "kind")
-    rows = top_diff(top_combined(aligned))
-    rows = rows.withColumn("v1", F.count_if(F.col("r1") > 0).over(every)).withColumn("v2", F.count_if(F.col("r2") > 0).over(every))
-    sixth = F.greatest(F.lit(1), F.floor((F.col("v1") + F.col("v2")) / 6))
-    drop = F.least(F.when(F.col("kind") == "c3", DROPPED["c3"]).otherwise(DROPPED["w"]), sixth)
-    left = F.col("rkd") > drop
-    rows = restrict_renorm(rows, F.col("rk") <= TOP["M4"], "t")
-    rows = restrict_renorm(rows, left, "d")
-    a, b, kind, rk = F.col("r1"), F.col("r2"), F.col("kind"), F.col("rk")
-
-    def total(k: str, value: Column, keep: Column | None = None) -> Column:
-        here = kind == k if keep is None else (kind == k) & keep
-        return F.coalesce(F.sum(F.when(here, value)), F.lit(0.0))
-
-    def products(name: str, k: str, x: Column, y: Column, keep: Column | None = None) -> list[Column]:
-        return [total(k, x * y, keep).alias(f"{name}_dot"), total(k, x * x, keep).alias(f"{name}_aa"), total(k, y * y, keep).alias(f"{name}_bb")]
-
-    def divergence(name: str, k: str, x: Column, y: Column, keep: Column | None = None) -> list[Column]:
-        return [total(k, kl_term(x, y), keep).alias(f"{name}_a"), total(k, kl_term(y, x), keep).alias(f"{name}_b"), total(k, x, keep).alias(f"{name}_sa"), total(k, y, keep).alias(f"{name}_sb")]
-
-    common = (kind == "w") & (rk <= TOP["M10"])
-    mine, yours = F.coalesce(F.col("own1") <= TOP["M10"], F.lit(False)), F.coalesce(F.col("own2") <= TOP["M10"], F.lit(False))
-    return rows.groupBy(*PAIR).agg(
-        *products("m1", "c3", a, b, rk <= TOP["M1"]),
-        *products("m2", "c2", a, b, rk <= TOP["M2"]),
-        F.coalesce(F.avg(F.when((kind == "w") & (rk <= TOP["M3"]), canberra_term(a * 1000.0, b * 1000.0))), F.lit(0.0)).alias("m3"),
-        *divergence("m4", "w", F.col("t1"), F.col("t2"), rk <= TOP["M4"]),
-        *divergence("m5", "c1", a, b),
-        F.count_if(common & mine & yours).alias("m10_inter"),
-        F.count_if(common & (mine | yours)).alias("m10_union"),
-        *products("g", "c3", a, b),
-        *divergence("w", "w", a, b),
-        *products("gd", "c3", F.col("d1"), F.col("d2"), left),
-        *divergence("wd", "w", F.col("d1"), F.col("d2"), left),
-        total("c3", F.least(a, b), rk <= TOP["M17"]).alias("m17_min"),
-        total("c3", F.greatest(a, b), rk <= TOP["M17"]).alias("m17_max"),
-    )

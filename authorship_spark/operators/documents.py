@@ -15,6 +15,15 @@ def from_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
 
 
+def dealt(table: DataFrame, by: str = "doc_id") -> DataFrame:
+    """A table as it was read, dealt over all cores where it has fewer parts than there are cores.
+
+    A file of one row group is read by one task, and all that is map-only would stay in it.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, by)
+
+
 def tokens(corpus: DataFrame, compose: bool = True) -> DataFrame:
     """Adds words, word_count and letter_count to a corpus of normalised texts."""
     rows = corpus.withColumn("text", T.normalize_text(F.col("text"), compose))
@@ -22,6 +31,16 @@ def tokens(corpus: DataFrame, compose: bool = True) -> DataFrame:
     return rows.withColumn("word_count", F.size("words")).withColumn("letter_count", T.letter_count(F.col("text")))
 
 
+def counted(corpus: DataFrame, compose: bool = True) -> DataFrame:
+    """A corpus of normalised texts with word_count alone: for what needs no words."""
+    rows = corpus.withColumn("text", T.normalize_text(F.col("text"), compose))
+    return rows.withColumn("word_count", T.word_count(F.col("text")))
+
+
+#: Columns of documents() that follow from the text at once and are larger than it: not worth storing.
+BULKY = ("words", "letters_lower", "sentence_lengths", "paragraph_lengths", "word_lengths", "stream")
+
+
 def documents(corpus: DataFrame, compose: bool = True) -> DataFrame:
     """All per-document columns that need no grouping.
 
@@ -85,7 +104,7 @@ def _with_cut(rows: DataFrame, i: int) -> DataFrame:
     prev, size = F.col(f"cut{i - 1}"), F.col("size")
     alike = lambda s: F.translate(s, "!?…。\t", ".... ")
     many = F.col("k") > i
-    rows = rows.withColumn("target", F.floor(size * F.lit(float(i)) / F.col("k") + 0.5).cast("int")).withColumn("span", F.greatest(F.lit(1), F.floor(size / 8)).cast("int"))
+    rows = rows.withColumn("target", F.floor(size * F.lit(float(i)) / F.nullif(F.col("k"), F.lit(0)) + 0.5).cast("int")).withColumn("span", F.greatest(F.lit(1), F.floor(size / 8)).cast("int"))
     rows = rows.withColumn("low", F.greatest(prev + 1, F.col("target") - F.col("span"))).withColumn("high", F.least(size - 1, F.col("target") + F.col("span")))
     rows = rows.withColumn("last", F.least("target", "high")).withColumn("first", F.greatest(F.col("target") + 1, F.col("low")))
     rows = rows.withColumn("before", F.when(many, F.reverse(alike(F.substring("text", F.col("low"), F.greatest(F.col("last") - F.col("low") + 1, F.lit(0)))))))
@@ -101,13 +120,24 @@ def _with_cut(rows: DataFrame, i: int) -> DataFrame:
     return rows.withColumn(f"cut{i}", F.when(many, cut)).drop("target", "span", "low", "high", "last", "first", "before", "after", "best", *(f"{s}{n}" for s in "lr" for n in range(len(BREAKS))))
 
 
-def split_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk_no, text): 2 to 4 pieces of each text of at least 260 words, cut at breaks."""
-    rows = docs.select("doc_id", "text", T.chunk_number(F.col("word_count")).alias("k")).where("k > 0")
-    rows = rows.withColumn("size", F.length("text")).withColumn("cut0", F.lit(0))
+def with_spans(docs: DataFrame) -> DataFrame:
+    """Adds ``spans`` to documents (text, word_count): start and end of 2 to 4 pieces, cut at breaks; none below 260 words."""
+    rows = docs.withColumn("k", T.chunk_number(F.col("word_count"))).withColumn("size", F.length("text")).withColumn("cut0", F.lit(0))
     for i in range(1, 4):
         rows = _with_cut(rows, i)
     ends = F.filter(F.array("cut1", "cut2", "cut3", "size"), lambda x: x.isNotNull())
     spans = F.zip_with(F.concat(F.array("cut0"), ends), ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    rows = rows.select("doc_id", "text", F.posexplode_outer(F.filter(spans, lambda s: s["end"] > s["start"])).alias("chunk_no", "span"))
-    return rows.select("doc_id", "chunk_no", F.substring("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("text"))
+    held = F.when(F.col("k") > 0, F.filter(spans, lambda s: s["end"] > s["start"]))
+    return rows.select(*docs.columns, F.coalesce(held, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+
+
+def piece(text: Column, span: Column) -> Column:
+    return F.substring(text, span["start"] + 1, span["end"] - span["start"])
+
+
+def split_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_no, text): the pieces of each text of at least 260 words."""
+    rows = with_spans(docs.select("doc_id", "text", "word_count"))
+    # the outer form and a filter behind it: before it, Spark would compute every cut a second time
+    rows = rows.select("doc_id", "text", F.posexplode_outer("spans").alias("chunk_no", "span")).where("chunk_no IS NOT NULL")
+    return rows.select("doc_id", "chunk_no", piece(F.col("text"), F.col("span")).alias("text"))

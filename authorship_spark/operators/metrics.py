@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import text as T
 from ..functions.helpers import deflate_size
-from ..functions.text import chunk_number
 from ..functions.vectors import smooth_props
 from ..storage import stored
-from . import align, profiles
+from . import align, arrays, profiles
 from .align import PAIR
-from .documents import split_chunks, tokens
 
 #: Fixed weights, in the order of evaluation.
 WEIGHTS = {
@@ -24,142 +23,126 @@ NAMES = {
     "M6": "sentence lengths", "M7": "word lengths", "M8": "punctuation", "M9": "vocabulary richness", "M10": "frequent-word overlap", "M11": "typography",
     "M12": "cosine Delta (z)", "M13": "robustness of difference", "M14": "Zipf slope", "M15": "paragraph rhythm", "M16": "cross-compression", "M17": "3-gram min-max",
 }
-DELTA_WORDS = 150
-#: Profiles that each aligned metric reads.
-KINDS_OF = {"M1": ("c3",), "M2": ("c2",), "M3": ("w",), "M4": ("w",), "M5": ("c1",), "M10": ("w",), "M13": ("c3", "w"), "M17": ("c3",)}
-_FEATURES = ("word_count", "paragraph_count", "sentence_hist", "word_hist", "paragraph_hist", "punct", "typo", "guiraud", "hapax_ratio", "yule_k", "entropy", "vocab", "zipf_slope", "text_hash")
+#: Profiles that each metric reads.
+KINDS_OF = {"M1": ("c3",), "M2": ("c2",), "M3": ("w",), "M4": ("w",), "M5": ("c1",), "M9": ("w",), "M10": ("w",), "M13": ("c3", "w"), "M14": ("w",), "M17": ("c3",)}
+_FLAT = ("word_count", "paragraph_count", "sentence_hist", "word_hist", "paragraph_hist", "punct", "typo", "text_hash")
+_ABOUT = ("dominant_script", "title", "charset")
+#: Rows up to which a table of ids, whose rows were counted, is broadcast.
+FEW = 500_000
+#: Pairs of one document, at least, before they are dealt over several tasks.
+HOT_PAIRS = 1000
 
 
-def features(docs: DataFrame, kinds: tuple[str, ...] = profiles.KINDS) -> tuple[DataFrame, DataFrame]:
-    """Per document: flat features with vocabulary statistics, and stored packed profiles of ``kinds``, words among them."""
-    packs = stored(profiles.packed(profiles.rel_freq(profiles.counts(docs, kinds))), "profiles")
-    flat = docs.drop("words", "letters_lower", "sentence_lengths", "paragraph_lengths", "word_lengths", "text", "stream")
-    return profiles.vocabulary(flat, packs), packs
+def _needs(only: tuple[str, ...]) -> tuple[tuple[str, ...], bool, bool]:
+    """What metrics need of a document: kinds of profiles, its chunks, its words for compression."""
+    return tuple(k for k in profiles.KINDS if any(k in KINDS_OF.get(m, ()) for m in only)), "M12" in only, "M16" in only
 
 
-def both_sides(pairs: DataFrame, flat: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """One row per pair with the structs a and b of its documents' ``columns``."""
-    rows = align.sides(pairs).join(flat.select("doc_id", F.struct(*columns).alias("x")), "doc_id")
-    side = lambda s: F.max_by("x", F.when(F.col("side") == s, 1))
-    return rows.groupBy(*PAIR).agg(side(1).alias("a"), side(2).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+def features(docs: DataFrame, only: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """One row per document with all that the metrics ``only`` read of it: flat columns and packed profiles. Stored; map-only.
 
-
-def cosine_delta(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, m12) for pairs whose texts both have chunks; no row for the others.
-
-    Word shares per chunk; the words of the highest mean over all chunks of the pair;
-    z-scores over these chunks, held to +-2; cosine of the mean z of either text.
-    Chunks that lack a word enter by their number, not as rows.
-    """
-    # dealt by document before the words are taken, so that all three groupings stay on one exchange
-    chunks = split_chunks(docs.select("doc_id", "text", "word_count").repartition("doc_id"))
-    words = tokens(chunks, compose=False).select("doc_id", "chunk_no", F.size("words").alias("size"), F.explode_outer("words").alias("gram")).where("gram IS NOT NULL")
-    shares = words.groupBy("doc_id", "chunk_no", "gram").agg((F.count(F.lit(1)) / F.max("size")).alias("rel"))
-    held = shares.groupBy("doc_id", "gram").agg(F.collect_list("rel").alias("rels")).groupBy("doc_id").agg(F.collect_list(F.struct("gram", "rels")).alias("prof"))
-    held = held.join(docs.select("doc_id", chunk_number(F.col("word_count")).alias("k")), "doc_id")
-    rows = align.sides(pairs).join(held, "doc_id").repartition(*PAIR)
-    every = Window.partitionBy(*PAIR)
-    size = lambda s: F.max(F.when(F.col("side") == s, F.col("k"))).over(every)
-    rows = rows.withColumn("n1", size(1)).withColumn("n2", size(2)).where("n1 IS NOT NULL AND n2 IS NOT NULL")
-    rows = rows.select(*PAIR, "side", "n1", "n2", F.explode_outer("prof").alias("p"))
-    of = lambda s: F.flatten(F.collect_list(F.when(F.col("side") == s, F.array_sort("p.rels"))))
-    rows = rows.groupBy(*PAIR, "n1", "n2", "p.gram").agg(of(1).alias("x"), of(2).alias("y"))
-    n = F.col("n1") + F.col("n2")
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("mean", (total(F.col("x")) + total(F.col("y"))) / n)
-    rk = F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.desc("mean"), "gram"))
-    rows = rows.withColumn("rk", rk).where(F.col("rk") <= DELTA_WORDS)
-    mean, there = F.col("mean"), F.concat("x", "y")
-    spread = total(F.transform(there, lambda v: (v - mean) * (v - mean))) + (n - F.size(there)) * mean * mean
-    rows = rows.withColumn("sd", F.sqrt(spread / (n - 1)))
-    z = lambda v: F.when(F.col("sd") > 0, K.clamp((v - mean) / F.col("sd"), -2.0, 2.0)).otherwise(0.0)
-
-    def centre(side: str, size: str) -> Column:
-        value = (total(F.transform(side, z)) + (F.col(size) - F.size(side)) * z(F.lit(0.0))) / F.col(size)
-        return F.when(F.abs(value) < 1e-12, 0.0).otherwise(value)
-
-    rows = rows.withColumn("p", centre("x", "n1")).withColumn("q", centre("y", "n2"))
-    cosine = K.cos_from(F.sum(F.col("p") * F.col("q")), F.sum(F.col("p") * F.col("p")), F.sum(F.col("q") * F.col("q")), both_zero=1.0)
-    return rows.groupBy(*PAIR).agg(K.clamp(1 - cosine).alias("m12"))
-
-
-def cross_compression(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, m16); null (neutral) below 200 words or after a compressor error.
-
-    Sizes without a dictionary are taken once per document.
+    Rows that repeat a document's id and text count once. One id with two different
+    texts is an error: no result could say which of them it means.
     """
-    solo = docs.select("doc_id", "word_count", "stream", deflate_size(F.col("stream"), F.lit("")).alias("size"))
-    rows = both_sides(pairs, solo, ("word_count", "stream", "size"))
-    fit = (F.col("a.word_count") >= 200) & (F.col("b.word_count") >= 200)
-    rows = rows.select(*PAIR, fit.alias("fit"), F.col("a.size").alias("c1"), F.col("b.size").alias("c2"), F.when(fit, F.col("a.stream")).alias("s1"), F.when(fit, F.col("b.stream")).alias("s2"))
-    rows = rows.withColumn("c12", deflate_size("s1", "s2")).withColumn("c21", deflate_size("s2", "s1"))
-    ok = F.col("fit") & (F.least("c1", "c2", "c12", "c21") > 0)
-    r = (F.col("c12") / F.col("c1") + F.col("c21") / F.col("c2")) * 0.5
-    return rows.select(*PAIR, F.when(ok, K.clamp((r - 0.82) / 0.18)).alias("m16"))
-
-
-def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per pair: doc_a, doc_b, m1..m17 (null where neutral), a and b.
-
-    ``docs`` has the columns of documents() and, like ``pairs``, should be stored: it is
-    read by several branches. Only documents of some pair are profiled. a and b are
-    structs of the documents' counts, script, title, charset and text digest. With
-    ``only`` (names of metrics) what the others need isn't computed, and they mean nothing.
+    kinds, chunked, compression = _needs(only)
+    text = F.col("text")
+    streams = {}
+    if compression:
+        docs = docs if "stream" in docs.columns else docs.withColumn("stream", T.word_stream(T.tokenize(text)))
+        streams = {"stream": F.col("stream"), "size": deflate_size(F.col("stream"), F.lit(""))}
+    keep = [F.col(c) for c in ("doc_id", *_FLAT, *(c for c in _ABOUT if c in docs.columns))] + [v.alias(c) for c, v in streams.items()]
+    rows = arrays.packed(docs, kinds, chunked, keep) if kinds or chunked else docs.select(*keep)
+    if "w" in kinds:
+        rows = rows.select(*(c for c in rows.columns if c not in arrays.STATS), *profiles.rich(), F.col("slope").alias("zipf_slope"))
+    rows = stored(rows, "features")
+    held = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("n > 1")
+    twice = held.agg(F.count(F.lit(1)).alias("ids"), F.count_if(F.col("x") != F.col("y")).alias("unlike")).first()
+    if twice["unlike"]:
+        raise ValueError(f"{twice['unlike']} ids stand for several texts each")
+    return stored(rows.dropDuplicates(["doc_id"]), "features") if twice["ids"] else rows
+
+
+def attached(pairs: DataFrame, feats: DataFrame, side: str, total: int) -> DataFrame:
+    """``pairs`` with the struct ``side`` (a or b): the features of their doc_a or doc_b; pairs without them are left out.
+
+    A document with more than its share of the ``total`` pairs is hot. Its pairs are
+    dealt over several tasks, each of which gets a copy of its features. There are no more
+    hot documents than 4 x partitions.
     """
-    only = tuple(m for m in (only or WEIGHTS) if compression or m != "M16")
-    ids = pairs.select(F.explode_outer(F.array(*PAIR)).alias("doc_id")).distinct()
-    docs = docs.join(ids, "doc_id", "left_semi")
-    kinds = tuple(k for k in profiles.KINDS if any(k in KINDS_OF.get(m, ()) for m in only))
-    extra = tuple(c for c in ("dominant_script", "title", "charset") if c in docs.columns)
-    if kinds or {"M9", "M14"} & set(only):
-        flat, packed = features(docs, ("w", *(k for k in kinds if k != "w")))
-    else:
-        flat = docs.select("*", *(F.lit(0.0).alias(c) for c in ("guiraud", "hapax_ratio", "yule_k", "entropy", "zipf_slope")), F.lit(0).cast("long").alias("vocab"))
-    rows = both_sides(pairs, flat, _FEATURES + extra)
-    nothing = lambda names: [F.lit(None).cast("double").alias(c) for c in names]
-    if kinds:
-        rows = rows.join(align.kernels(align.profile_align(pairs, packed.where(F.col("kind").isin(*kinds)))), list(PAIR), "left")
-    else:
-        rows = rows.select("*", *nothing(align.SUMS))
-    rows = rows.join(cosine_delta(pairs, docs), list(PAIR), "left") if "M12" in only else rows.select("*", *nothing(["m12"]))
-    rows = rows.join(cross_compression(pairs, docs), list(PAIR), "left") if "M16" in only else rows.select("*", *nothing(["m16"]))
+    limit = max(HOT_PAIRS, total // (4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    name = f"doc_{side}"
+    counts = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    hot = counts.select(F.col(name).alias("hot"), F.ceil(F.col("n") / limit).cast("int").alias("tasks")).collect()
+    held = feats.select(F.col("doc_id").alias(name), F.struct(*feats.columns).alias(side))
+    if not hot:
+        return pairs.join(held, name)
+    listed = F.broadcast(pairs.sparkSession.createDataFrame(hot, f"hot {feats.schema['doc_id'].dataType.simpleString()}, tasks int"))
+    tasks = F.coalesce("tasks", F.lit(1))
+    spread = pairs.join(listed, F.col(name) == F.col("hot"), "left").withColumn("task", F.pmod(F.xxhash64(*PAIR), tasks).cast("int")).drop("hot", "tasks")
+    copies = held.join(listed, F.col(name) == F.col("hot"), "left").withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("hot", "tasks")
+    return spread.join(copies, [name, "task"]).drop("task")
+
+
+def compare(feats: DataFrame, pairs: DataFrame, only: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """``distances`` of documents whose ``features`` for these metrics are there."""
+    kinds, chunked, compression = _needs(only)
+    # a listed pair is computed once, however often it is listed; the listed rows get it back
+    distinct = stored(pairs.select(*PAIR).distinct(), "pairs")
+    total = distinct.count()
+    rows = attached(attached(distinct, feats, "a", total), feats, "b", total)
+    if kinds or chunked or compression:
+        rows = arrays.compared(rows, kinds, chunked, compression)
+    missing = [c for c in arrays.RESULTS if c not in rows.columns]
+    rows = rows.select("*", *(F.lit(None).cast("double").alias(c) for c in missing))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    cos = lambda x: K.cos_from(zero(f"{x}_dot"), zero(f"{x}_aa"), zero(f"{x}_bb"))
-    jsd = lambda x: K.jsd_from(zero(f"{x}_a"), zero(f"{x}_b"), zero(f"{x}_sa") <= 0, zero(f"{x}_sb") <= 0)
-    before, after = 0.5 * (1 - cos("g")) + 0.5 * jsd("w"), 0.5 * (1 - cos("gd")) + 0.5 * jsd("wd")
-    rich = (K.rel_diff(a("guiraud"), b("guiraud")) + K.rel_diff(a("hapax_ratio"), b("hapax_ratio")) + K.log_rel_diff(a("yule_k"), b("yule_k")) + K.log_rel_diff(a("entropy"), b("entropy"))) / 4
     both = lambda c, least: F.least(a(c), b(c)) >= least
-    union = F.coalesce(F.col("m10_union"), F.lit(0))
-    has_grams = (zero("g_aa") > 0) & (zero("g_bb") > 0)
     value = {
-        "M1": 1 - cos("m1"),
-        "M2": 1 - cos("m2"),
-        "M3": zero("m3"),
-        "M4": jsd("m4"),
-        "M5": jsd("m5"),
         "M6": K.ks_statistic(a("sentence_hist"), b("sentence_hist")),
         "M7": K.jsd_hist(a("word_hist"), b("word_hist")),
         "M8": K.jsd_hist(smooth_props(a("punct")), smooth_props(b("punct"))),
-        "M9": rich,
-        "M10": F.when(union > 0, 1 - F.col("m10_inter") / union).otherwise(0.0),
         "M11": 1 - K.cos_arr(a("typo"), b("typo")),
-        "M12": F.col("m12"),
-        "M13": F.when(before < 0.02, 0.0).when(both("word_count", 800), after / before),
-        "M14": F.when(both("vocab", 30), F.abs(a("zipf_slope") - b("zipf_slope")) / 0.30),
+        "M13": F.when(F.col("before") < 0.02, 0.0).when(both("word_count", 800), F.col("after") / F.col("before")),
         "M15": F.when(both("paragraph_count", 4), K.ks_statistic(a("paragraph_hist"), b("paragraph_hist"))),
-        "M16": F.col("m16"),
-        "M17": F.when(has_grams, 1 - F.when(F.col("m17_max") > 0, F.col("m17_min") / F.col("m17_max")).otherwise(0.0)),
     }
-    out = [F.when(v.isNotNull(), K.clamp(v)).alias(m.lower()) for m, v in value.items()]
-    return rows.select(*PAIR, *out, F.struct("a.word_count", "a.text_hash", *(f"a.{c}" for c in extra)).alias("a"), F.struct("b.word_count", "b.text_hash", *(f"b.{c}" for c in extra)).alias("b"))
+    if "w" in kinds:
+        value["M9"] = (K.rel_diff(a("guiraud"), b("guiraud")) + K.rel_diff(a("hapax_ratio"), b("hapax_ratio")) + K.log_rel_diff(a("yule_k"), b("yule_k")) + K.log_rel_diff(a("entropy"), b("entropy"))) / 4
+        value["M14"] = F.when(both("vocab", 30), F.abs(a("zipf_slope") - b("zipf_slope")) / 0.30)
+    if compression:
+        ok = F.least(a("size"), b("size"), F.col("c12"), F.col("c21")) > 0
+        value["M16"] = F.when(ok, ((F.col("c12") / a("size") + F.col("c21") / b("size")) * 0.5 - 0.82) / 0.18)
+    nothing = F.lit(None).cast("double")
+    found = {m: value.get(m, F.col(m.lower()) if m.lower() in arrays.RESULTS else nothing) for m in WEIGHTS}
+    out = [F.when(v.isNotNull(), K.clamp(v)).alias(m.lower()) for m, v in found.items()]
+    about = [c for c in ("word_count", "text_hash", *_ABOUT) if c in feats.columns]
+    rows = rows.select(*PAIR, *out, *(F.struct(*(F.col(f"{s}.{c}").alias(c) for c in about)).alias(s) for s in "ab"))
+    return pairs.join(rows, list(PAIR)).select("pair_id", *rows.columns) if "pair_id" in pairs.columns else rows
+
+
+def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per pair: doc_a, doc_b, m1..m17 (null where neutral), a and b.
+
+    ``docs`` has the columns of documents(), but for the BULKY ones; ``pairs`` has doc_a
+    and doc_b, and is a set, or, with pair_id, a list: then each of its rows comes back,
+    with its pair_id. Pairs of a document that isn't there are left out. a and b are structs
+    of the documents' counts, script, title, charset and text digest. With ``only``
+    (names of metrics) what the others need isn't computed, and they mean nothing.
+
+    Texts aren't shuffled: features are made where a text lies. They travel to their pairs
+    twice, once for each side, and all else is done there.
+    """
+    only = tuple(m for m in (only or WEIGHTS) if compression or m != "M16")
+    ids = pairs.select(F.explode_outer(F.array(*PAIR)).alias("doc_id")).distinct()
+    if pairs.count() <= FEW:  # otherwise nearly all documents are in some pair
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return compare(features(docs, only), pairs, only)
 
 
 def extract(rows: DataFrame) -> DataFrame:
     """Long form of ``distances``: doc_a, doc_b, metric_no, metric, distance, weight, neutral, contribution."""
     each = F.array(*(F.struct(F.lit(i).alias("metric_no"), F.lit(m).alias("metric"), F.col(m.lower()).alias("d"), F.lit(w).alias("weight")) for i, (m, w) in enumerate(WEIGHTS.items(), 1)))
-    long = rows.select(*PAIR, F.explode_outer(each).alias("x")).select(*PAIR, "x.*")
-    long = long.select(*PAIR, "metric_no", "metric", F.coalesce("d", F.lit(0.5)).alias("distance"), "weight", F.col("d").isNull().alias("neutral"))
+    key = align.keys(rows)
+    long = rows.select(*key, F.explode_outer(each).alias("x")).select(*key, "x.*")
+    long = long.select(*key, "metric_no", "metric", F.coalesce("d", F.lit(0.5)).alias("distance"), "weight", F.col("d").isNull().alias("neutral"))
     return long.withColumn("contribution", F.col("distance") * F.col("weight"))
 
 

@@ -9,10 +9,16 @@ from ..storage import stored
 
 
 def pairs_explicit(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The given pairs whose documents are both there; the order of the two is kept."""
+    """(pair_id, doc_a, doc_b): the given pairs whose documents are both there, as often as they are given; the order of the two is kept.
+
+    A pair_id that is given stays; otherwise rows are numbered, and the list is stored so
+    that the numbers don't change.
+    """
+    if "pair_id" not in pairs.columns:
+        pairs = stored(pairs.select("doc_a", "doc_b").withColumn("pair_id", F.monotonically_increasing_id()), "listed")
     ids = docs.select("doc_id").distinct()
-    a = pairs.select("doc_a", "doc_b").join(ids.withColumnRenamed("doc_id", "doc_a"), "doc_a", "left_semi")
-    return a.join(ids.withColumnRenamed("doc_id", "doc_b"), "doc_b", "left_semi").select("doc_a", "doc_b")
+    a = pairs.select("pair_id", "doc_a", "doc_b").join(ids.withColumnRenamed("doc_id", "doc_a"), "doc_a", "left_semi")
+    return a.join(ids.withColumnRenamed("doc_id", "doc_b"), "doc_b", "left_semi").select("pair_id", "doc_a", "doc_b")
 
 
 def _numbered(docs: DataFrame, block: tuple[str, ...]) -> DataFrame:

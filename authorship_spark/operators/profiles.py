@@ -70,11 +70,11 @@ def _slope(rk: str) -> Column:
     return F.regr_slope(F.when(late, F.log("cnt")), F.when(late, F.log(rk)))
 
 
-def _rich(value=lambda x: F.coalesce(x, F.lit(0.0))) -> list[Column]:
-    n = F.col("n").cast("double")
+def rich(value=lambda x: F.coalesce(x, F.lit(0.0))) -> list[Column]:
+    n, vocab = F.nullif("n", F.lit(0)).cast("double"), F.nullif("vocab", F.lit(0))
     return [
-        value(F.col("vocab") / F.sqrt(n)).alias("guiraud"),
-        value(F.col("once") / F.col("vocab")).alias("hapax_ratio"),
+        value(vocab / F.sqrt(n)).alias("guiraud"),
+        value(F.col("once") / vocab).alias("hapax_ratio"),
         value((F.col("squares") - n) * 1e4 / (n * n)).alias("yule_k"),
         value(F.col("h")).alias("entropy"),
         F.coalesce("vocab", F.lit(0)).alias("vocab"),
@@ -84,7 +84,7 @@ def _rich(value=lambda x: F.coalesce(x, F.lit(0.0))) -> list[Column]:
 def richness(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, guiraud, hapax_ratio, yule_k, entropy, vocab) for every document; zeros without words."""
     found = words.groupBy("doc_id").agg(*_word_sums())
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *_rich())
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *rich())
 
 
 def zipf_slope(words: DataFrame) -> DataFrame:
@@ -97,10 +97,3 @@ def packed(profile: DataFrame) -> DataFrame:
     """One compact row per document and kind: doc_id, kind, prof of (gram, rel, own rank), the sums of richness and the slope."""
     own = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.desc("rel"), "gram"))
     return profile.withColumn("own", own).groupBy("doc_id", "kind").agg(F.collect_list(F.struct("gram", "rel", "own")).alias("prof"), *_word_sums(), _slope("own").alias("slope"))
-
-
-def vocabulary(docs: DataFrame, packs: DataFrame) -> DataFrame:
-    """``docs`` with what richness and zipf_slope give, from packed profiles."""
-    words = packs.where("kind = 'w'").select("doc_id", "vocab", "once", "n", "squares", "h", "slope")
-    rows = docs.join(words, "doc_id", "left")
-    return rows.select(*docs.columns, *_rich(), F.coalesce("slope", F.lit(0.0)).alias("zipf_slope"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scripts import script_label
-from .align import PAIR
+from .align import PAIR, keys
 from .metrics import NAMES
 
 #: Middle of the scale: what is nearer counts as alike, what is farther as different.
@@ -22,18 +22,18 @@ def rationale(long: DataFrame, scored: DataFrame, strongest: bool = False) -> Da
     from the largest down, different from the smallest up. Neutral metrics don't count;
     ties keep the metrics' order.
     """
-    p = F.col("p")
-    want = scored.select(*PAIR, F.when(p >= 0.65, 3).when(p <= 0.35, 0).otherwise(2).alias("alike"), F.when(p >= 0.65, 0).when(p <= 0.35, 3).otherwise(2).alias("different"))
-    rows = long.where(~F.col("neutral")).join(want, list(PAIR))
+    p, key = F.col("p"), keys(scored)
+    want = scored.select(*key, F.when(p >= 0.65, 3).when(p <= 0.35, 0).otherwise(2).alias("alike"), F.when(p >= 0.65, 0).when(p <= 0.35, 3).otherwise(2).alias("different"))
+    rows = long.where(~F.col("neutral")).join(want, key)
     near, far = F.col("distance") <= MIDDLE, F.col("distance") >= MIDDLE
-    every = Window.partitionBy(*PAIR)
+    every = Window.partitionBy(*key)
     rows = rows.withColumn("nears", F.count_if(near).over(every)).withColumn("fars", F.count_if(far).over(every))
 
     def part(name: str, fits: Column, fitting: str, up: list[Column], down: list[Column]) -> DataFrame:
         some, none = F.col(fitting) > 0, F.col(fitting) == 0
         first = rows.where(some & fits).withColumn("nth", F.row_number().over(every.orderBy(*up)))
         other = rows.where(none).withColumn("nth", F.row_number().over(every.orderBy(*down)))
-        return first.unionByName(other).where(F.col("nth") <= F.col(name)).select(*PAIR, F.lit(name).alias("part"), "nth", "metric", "distance")
+        return first.unionByName(other).where(F.col("nth") <= F.col(name)).select(*key, F.lit(name).alias("part"), "nth", "metric", "distance")
 
     ascending, falling = [F.asc("distance"), F.asc("metric_no")], [F.desc("distance"), F.desc("metric_no")]
     return part("alike", near, "nears", ascending, falling).unionByName(part("different", far, "fars", falling if strongest else ascending, ascending))
@@ -43,10 +43,11 @@ def render_report(scored: DataFrame, long: DataFrame, reasons: DataFrame) -> Dat
     """(doc_a, doc_b, verdict, report): a text block per pair, with title, words, script and charset of both texts."""
     name = F.element_at(F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair)), F.col("metric"))
     line = F.when(F.col("neutral"), F.format_string("%-4s %-28s neutral", "metric", name)).otherwise(F.format_string("%-4s %-28s d=%.3f w=%.2f", "metric", name, "distance", "weight"))
-    lines = long.groupBy(*PAIR).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("metrics"))
+    key = keys(scored)
+    lines = long.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("metrics"))
     reason = F.format_string("%s: %s (%.3f)", "part", name, "distance")
-    why = reasons.groupBy(*PAIR).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "nth", reason.alias("line")))), lambda x: x["line"]), "\n").alias("why"))
-    rows = scored.join(lines, list(PAIR), "left").join(why, list(PAIR), "left")
+    why = reasons.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "nth", reason.alias("line")))), lambda x: x["line"]), "\n").alias("why"))
+    rows = scored.join(lines, key, "left").join(why, key, "left")
     used = (F.col("p_self") > 0.5) & (F.col("p0") > F.col("p_topic") + 1e-9)
     own = F.when(used, F.format_string("\nself distance %.3f, P(self) %.3f", "self_distance", "p_self")).otherwise("")
     about = lambda c, s: F.col(f"{c}_{s}") if f"{c}_{s}" in scored.columns else F.lit(None).cast("string")
@@ -59,7 +60,7 @@ def render_report(scored: DataFrame, long: DataFrame, reasons: DataFrame) -> Dat
     head = F.concat_ws("\n", F.format_string("%s: P = %.1f%% +- %.1f%%", "verdict", F.col("p") * 100, F.col("margin") * 100), text(1, "a"), text(2, "b"))
     sums = F.concat(F.format_string("D %.3f, S %.3f, P(topic) %.3f", "D", "S", "p_topic"), own, F.format_string("\nP0 %.3f, f %.3f", "p0", "f"))
     warn = F.when(F.size("warnings") > 0, F.concat(F.lit("warnings: "), F.array_join("warnings", ", ")))
-    return rows.select(*PAIR, "verdict", F.concat_ws("\n\n", head, "metrics", sums, "why", warn).alias("report"))
+    return rows.select(*key, "verdict", F.concat_ws("\n\n", head, "metrics", sums, "why", warn).alias("report"))
 
 
 def eval_ordering(scored: DataFrame, labelled: DataFrame) -> DataFrame:

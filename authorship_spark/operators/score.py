@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.kernels import clamp, logistic
 from ..functions.scripts import scripts_differ
 from ..functions.text import CRITICAL_WORDS, SHORT_WORDS
-from ..storage import stored
 from . import metrics
-from .align import PAIR
+from .align import PAIR, keys
 from .documents import documents, split_chunks
 from .pairs import chunk_id, chunk_pairs
 
@@ -29,13 +28,14 @@ def self_distance(docs: DataFrame, compression: bool = True) -> DataFrame:
     Once per document, whatever number of pairs it's in. Documents with fewer than
     two chunks, or a chunk of under 100 words, have no row.
     """
-    own = split_chunks(docs).select(chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("doc_id"), "text")
-    # many branches of the metrics read the chunks: they are cut and tokenised once
-    ready = stored(documents(own, compose=False), "chunks")
-    ids = ready.select("doc_id.whole", "doc_id.chunk_no", "word_count")
+    only = tuple(m for m in metrics.WEIGHTS if compression or m != "M16")
+    chunks = split_chunks(docs).select(chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("doc_id"), "text")
+    # from texts to features in one pass: what is stored of a chunk is its features
+    feats = metrics.features(documents(chunks, compose=False), only)
+    ids = feats.select("doc_id.whole", "doc_id.chunk_no", "word_count")
     fit = ids.groupBy("whole").agg(F.min("word_count").alias("least"), F.count(F.lit(1)).alias("n")).where((F.col("least") >= CHUNK_WORDS) & (F.col("n") >= 2))
     pairs = chunk_pairs(ids.join(fit, "whole", "left_semi").withColumnRenamed("whole", "doc_id"))
-    rows = metrics.distances(ready, stored(pairs.select(*PAIR), "chunk-pairs"), compression).select(*PAIR, metrics.weighted_distance().alias("d"))
+    rows = metrics.compare(feats, pairs.select(*PAIR), only).select(*PAIR, metrics.weighted_distance().alias("d"))
     return rows.groupBy(F.col("doc_a.whole").alias("doc_id")).agg(F.avg("d").alias("self_distance"))
 
 
@@ -46,7 +46,7 @@ def verdict(p: Column) -> Column:
 def scores(rows: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """One row per pair of ``metrics.distances``, scored; ``own`` holds self distances per document.
 
-    Columns: doc_a, doc_b, D, S, p_topic, self_distance, p_self, p0, f, p, margin,
+    Columns: pair_id where the rows have it, doc_a, doc_b, D, S, p_topic, self_distance, p_self, p0, f, p, margin,
     verdict, warnings, identical, words_a, words_b, and title, dominant_script and
     charset of both where the documents have them.
     """
@@ -77,7 +77,7 @@ def scores(rows: DataFrame, own: DataFrame | None = None) -> DataFrame:
     codes = [(n1 < SHORT_WORDS, "short_1"), (n2 < SHORT_WORDS, "short_2"), (critical, "critical"), (cross, "cross_script"), (unstable, "self_unstable"), (F.col("identical"), "identical")]
     about = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("title", "dominant_script", "charset") for s in "ab" if c in rows.select("a.*").columns]
     return rows.select(
-        *PAIR, "D", "S", "p_topic", "self_distance", "p_self", "p0", "f", "p",
+        *keys(rows), "D", "S", "p_topic", "self_distance", "p_self", "p0", "f", "p",
         (0.03 + 0.25 * (1 - F.col("f"))).alias("margin"),
         verdict(F.col("p")).alias("verdict"),
         F.filter(F.array(*(F.when(c, F.lit(name)) for c, name in codes)), lambda w: w.isNotNull()).alias("warnings"),
