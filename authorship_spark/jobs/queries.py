@@ -40,9 +40,9 @@ def _r(c: str, name: str | None = None):
     return F.round(F.col(c), 6).alias(name or c)
 
 
-def _long(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _long(spark, sf_dir, only: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents of at least 500 words and their pairs, both stored: many branches read them."""
-    docs = verify.prepare(corpus(spark, sf_dir))
+    docs = verify.prepare(corpus(spark, sf_dir), only=only)
     return docs, stored(pairs.pairs_blocked(docs, BLOCK, WINDOW), "pairs")
 
 
@@ -60,7 +60,7 @@ def _aligned(spark, sf_dir, kinds=profiles.KINDS) -> DataFrame:
 
 
 def _distances(spark, sf_dir, compression: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
-    docs, wanted = _long(spark, sf_dir)
+    docs, wanted = _long(spark, sf_dir, only)
     return metrics.distances(docs, wanted, compression, only)
 
 
@@ -245,7 +245,7 @@ def j1_pairs_explicit(spark, sf_dir):
 def j1_pairs_listed(spark, sf_dir):
     """A list that gives each of these pairs twice: a row for each of its rows, with the distances of the pair."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("doc_a"), (F.col("doc_id") - 1).alias("doc_b"), F.explode(F.array(F.lit(0), F.lit(1))).alias("nth"))
-    docs = verify.prepare(corpus(spark, sf_dir), force=True)
+    docs = verify.prepare(corpus(spark, sf_dir), force=True, only=("M3", "M5", "M9"))
     listed = stored(pairs.pairs_explicit(labels.select((F.col("doc_a") * 2 + F.col("nth")).alias("pair_id"), *PAIR), docs), "listed")
     rows = metrics.distances(docs, listed, compression=False, only=("M3", "M5", "M9"))
     return rows.select("pair_id", *PAIR, *(F.round(c, 5).alias(c) for c in ("m3", "m5", "m9")))

@@ -10,13 +10,15 @@ from ..sources import sinks
 from ..storage import job, stored
 
 
-def prepare(corpus: DataFrame, force: bool = False, compose: bool = True) -> DataFrame:
+def prepare(corpus: DataFrame, force: bool = False, compose: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
     """Documents of a corpus (doc_id, text, ...) that are long enough, with their flat derived columns.
 
     Several branches read them, so they are stored once in the shared folder; what is as
-    large as the text itself is taken from it again where it is needed.
+    large as the text itself is taken from it again where it is needed. With ``only``
+    (names of metrics) columns that these don't read are left out.
     """
-    return stored(D.long_enough(D.documents(corpus, compose), force).drop(*D.BULKY), "documents")
+    docs = D.long_enough(D.documents(corpus, compose, script=only is None), force).drop(*D.BULKY)
+    return stored(docs if only is None else docs.select(*corpus.columns, *metrics.flat_columns(only)), "documents")
 
 
 def verify(docs: DataFrame, wanted: DataFrame, self_baseline: bool = True, compression: bool = True) -> tuple[DataFrame, DataFrame]:

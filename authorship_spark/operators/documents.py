@@ -21,7 +21,10 @@ def dealt(table: DataFrame, by: str = "doc_id") -> DataFrame:
     A file of one row group is read by one task, and all that is map-only would stay in it.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, by)
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    # rows come out of a generator, so that no later filter is worked out in the one task before the exchange
+    return table.repartition(cores, by).select(F.inline(F.array(F.struct(*table.columns))))
 
 
 def tokens(corpus: DataFrame, compose: bool = True) -> DataFrame:
@@ -41,8 +44,8 @@ def counted(corpus: DataFrame, compose: bool = True) -> DataFrame:
 BULKY = ("words", "letters_lower", "sentence_lengths", "paragraph_lengths", "word_lengths", "stream")
 
 
-def documents(corpus: DataFrame, compose: bool = True) -> DataFrame:
-    """All per-document columns that need no grouping.
+def documents(corpus: DataFrame, compose: bool = True, script: bool = True) -> DataFrame:
+    """All per-document columns that need no grouping; the dominant script only with ``script``.
 
     Adds to ``tokens``: text_hash, letters_lower, sentence, word and paragraph
     lengths and histograms, punctuation and typography vectors, the word stream and
@@ -60,7 +63,7 @@ def documents(corpus: DataFrame, compose: bool = True) -> DataFrame:
         V.punct_vector(text, letters).alias("punct"),
         V.typo_vector(text, letters).alias("typo"),
         T.word_stream(F.col("words")).alias("stream"),
-        S.dominant_script(text).alias("dominant_script"),
+        *([S.dominant_script(text).alias("dominant_script")] if script else []),
     )
     return rows.select(
         "*",

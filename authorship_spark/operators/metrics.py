@@ -25,7 +25,8 @@ NAMES = {
 }
 #: Profiles that each metric reads.
 KINDS_OF = {"M1": ("c3",), "M2": ("c2",), "M3": ("w",), "M4": ("w",), "M5": ("c1",), "M9": ("w",), "M10": ("w",), "M13": ("c3", "w"), "M14": ("w",), "M17": ("c3",)}
-_FLAT = ("word_count", "paragraph_count", "sentence_hist", "word_hist", "paragraph_hist", "punct", "typo", "text_hash")
+#: Flat columns of a document that each metric reads, beside those that all do.
+FLAT_OF = {"M6": ("sentence_hist",), "M7": ("word_hist",), "M8": ("punct",), "M11": ("typo",), "M15": ("paragraph_hist", "paragraph_count")}
 _ABOUT = ("dominant_script", "title", "charset")
 #: Rows up to which a table of ids, whose rows were counted, is broadcast.
 FEW = 500_000
@@ -38,6 +39,10 @@ def _needs(only: tuple[str, ...]) -> tuple[tuple[str, ...], bool, bool]:
     return tuple(k for k in profiles.KINDS if any(k in KINDS_OF.get(m, ()) for m in only)), "M12" in only, "M16" in only
 
 
+def flat_columns(only: tuple[str, ...]) -> list[str]:
+    return ["word_count", "text_hash", *(c for m in only for c in FLAT_OF.get(m, ()))]
+
+
 def features(docs: DataFrame, only: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
     """One row per document with all that the metrics ``only`` read of it: flat columns and packed profiles. Stored; map-only.
 
@@ -50,7 +55,7 @@ def features(docs: DataFrame, only: tuple[str, ...] = tuple(WEIGHTS)) -> DataFra
     if compression:
         docs = docs if "stream" in docs.columns else docs.withColumn("stream", T.word_stream(T.tokenize(text)))
         streams = {"stream": F.col("stream"), "size": deflate_size(F.col("stream"), F.lit(""))}
-    keep = [F.col(c) for c in ("doc_id", *_FLAT, *(c for c in _ABOUT if c in docs.columns))] + [v.alias(c) for c, v in streams.items()]
+    keep = [F.col(c) for c in ("doc_id", *flat_columns(only), *(c for c in _ABOUT if c in docs.columns))] + [v.alias(c) for c, v in streams.items()]
     rows = arrays.packed(docs, kinds, chunked, keep) if kinds or chunked else docs.select(*keep)
     if "w" in kinds:
         rows = rows.select(*(c for c in rows.columns if c not in arrays.STATS), *profiles.rich(), F.col("slope").alias("zipf_slope"))
@@ -96,22 +101,28 @@ def compare(feats: DataFrame, pairs: DataFrame, only: tuple[str, ...] = tuple(WE
     rows = rows.select("*", *(F.lit(None).cast("double").alias(c) for c in missing))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     both = lambda c, least: F.least(a(c), b(c)) >= least
-    value = {
-        "M6": K.ks_statistic(a("sentence_hist"), b("sentence_hist")),
-        "M7": K.jsd_hist(a("word_hist"), b("word_hist")),
-        "M8": K.jsd_hist(smooth_props(a("punct")), smooth_props(b("punct"))),
-        "M11": 1 - K.cos_arr(a("typo"), b("typo")),
-        "M13": F.when(F.col("before") < 0.02, 0.0).when(both("word_count", 800), F.col("after") / F.col("before")),
-        "M15": F.when(both("paragraph_count", 4), K.ks_statistic(a("paragraph_hist"), b("paragraph_hist"))),
-    }
-    if "w" in kinds:
+    value = {}
+    if "M6" in only:
+        value["M6"] = K.ks_statistic(a("sentence_hist"), b("sentence_hist"))
+    if "M7" in only:
+        value["M7"] = K.jsd_hist(a("word_hist"), b("word_hist"))
+    if "M8" in only:
+        value["M8"] = K.jsd_hist(smooth_props(a("punct")), smooth_props(b("punct")))
+    if "M9" in only:
         value["M9"] = (K.rel_diff(a("guiraud"), b("guiraud")) + K.rel_diff(a("hapax_ratio"), b("hapax_ratio")) + K.log_rel_diff(a("yule_k"), b("yule_k")) + K.log_rel_diff(a("entropy"), b("entropy"))) / 4
+    if "M11" in only:
+        value["M11"] = 1 - K.cos_arr(a("typo"), b("typo"))
+    if "M13" in only:
+        value["M13"] = F.when(F.col("before") < 0.02, 0.0).when(both("word_count", 800), F.col("after") / F.col("before"))
+    if "M14" in only:
         value["M14"] = F.when(both("vocab", 30), F.abs(a("zipf_slope") - b("zipf_slope")) / 0.30)
-    if compression:
+    if "M15" in only:
+        value["M15"] = F.when(both("paragraph_count", 4), K.ks_statistic(a("paragraph_hist"), b("paragraph_hist")))
+    if "M16" in only:
         ok = F.least(a("size"), b("size"), F.col("c12"), F.col("c21")) > 0
         value["M16"] = F.when(ok, ((F.col("c12") / a("size") + F.col("c21") / b("size")) * 0.5 - 0.82) / 0.18)
     nothing = F.lit(None).cast("double")
-    found = {m: value.get(m, F.col(m.lower()) if m.lower() in arrays.RESULTS else nothing) for m in WEIGHTS}
+    found = {m: value.get(m, F.col(m.lower()) if m in only and m.lower() in arrays.RESULTS else nothing) for m in WEIGHTS}
     out = [F.when(v.isNotNull(), K.clamp(v)).alias(m.lower()) for m, v in found.items()]
     about = [c for c in ("word_count", "text_hash", *_ABOUT) if c in feats.columns]
     rows = rows.select(*PAIR, *out, *(F.struct(*(F.col(f"{s}.{c}").alias(c) for c in about)).alias(s) for s in "ab"))
@@ -125,7 +136,7 @@ def distances(docs: DataFrame, pairs: DataFrame, compression: bool = True, only:
     and doc_b, and is a set, or, with pair_id, a list: then each of its rows comes back,
     with its pair_id. Pairs of a document that isn't there are left out. a and b are structs
     of the documents' counts, script, title, charset and text digest. With ``only``
-    (names of metrics) what the others need isn't computed, and they mean nothing.
+    (names of metrics) what the others need isn't computed, and they are null.
 
     Texts aren't shuffled: features are made where a text lies. They travel to their pairs
     twice, once for each side, and all else is done there.
