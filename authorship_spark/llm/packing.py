@@ -37,7 +37,8 @@ def _encoder(path: str):
     """Text to a uint32 array of ids, as the tokenizers library gives them for this file.
 
     A plain byte-level BPE whose merges stand in the order of their ids is run by
-    a faster library, which then gives the same ids; any other file by its own.
+    a faster library, which then gives the same ids; any other file by its own, and so are
+    texts with more blanks in a row than the faster one's pattern can take.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -58,8 +59,17 @@ def _encoder(path: str):
         plain = made == sorted(made)
     if plain:
         fast = tiktoken.Encoding("own", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=added)
-        return lambda text: fast.encode_to_numpy(text, allowed_special="all")
-    return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def by_own(text: str) -> np.ndarray:
+        return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def by_fast(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern steps back through blanks, and gives up on about a million in a row
+            return by_own(text)
+
+    return by_fast if plain else by_own
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:

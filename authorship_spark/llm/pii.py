@@ -4,13 +4,15 @@ A pattern finds the entities of a text. Each is made of one or two units (an
 address has its local part and its domain, a person a first name and a surname),
 and a unit's surrogate is a function of the key, the unit's kind and its canonical
 value: so every mention of one value gets one surrogate, in whatever document and
-format it stands. Surrogates keep length, separators, letter case, script, the
-gender of a title, country codes and check digits. The distinct units of the whole
+format it stands. Surrogates keep separators, letter case, script, the gender of a
+title, country codes and check digits; numbers, keys and mail names also their length
+(names of people and octets of an address don't). The distinct units of the whole
 corpus are then checked: no two of a kind may have one surrogate, and none may be
 a value that occurs; units that fail are hashed again until all are distinct, and
 from the fourth time on surrogates grow, so that short values never run out of
 them. Masks (one sign again and again, as in ``********``) stay, and so do numbers of
-a card's form whose check digit isn't a card's. Only SQL functions are used.
+a card's form whose check digit isn't a card's. Only SQL functions are used. No pattern
+repeats a group that it could step back into, so a match of any length takes bounded stack.
 """
 
 from __future__ import annotations
@@ -30,13 +32,13 @@ TITLES = {
 SECRETS = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key")
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 #: A capitalised name with its apostrophes and hyphens, but not a possessive ending; and initials before it.
-_NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{Lu}\p{L}|\p{L}{3})|-(?=\p{Lu}))+"
+_NAME = r"\p{Lu}(?=\p{L}|['’-])(?!['’](?!\p{Lu}\p{L}|\p{L}{3})|-(?!\p{Lu}))\p{L}*+(?:(?:['’](?=\p{Lu}\p{L}|\p{L}{3})|-(?=\p{Lu}))\p{L}++)*+"
 _INITIALS = r"(?:\p{Lu}\. ?){0,3}"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 CARD = "[0-9](?:[ -]?[0-9]){12,18}"
 #: One alternative for each kind; the first that fits at a place counts.
 KINDS = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)++",
     "secret": rf"(?<!\w)(?i:{'|'.join(SECRETS)})\s{{0,2}}[=:]\s{{0,2}}[\"']?[^\s\"',;]{{8,}}",
     "aws_key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
     "api_key": r"(?<!\w)(?:sk|pk|ghp|gho|xox[bp])[_-][A-Za-z0-9_-]{16,}",
@@ -61,6 +63,8 @@ HINTS = {
     "phone": r"\+[0-9]|[0-9]{3}[ .-][0-9]",
     "person": rf"(?:{_TITLE})\.? \p{{Lu}}",
 }
+#: Kinds of units whose surrogates are made of syllables.
+NAMES = ("first_f", "first_m", "first_n", "last")
 _HINT = "|".join(HINTS.values())
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 _LATIN = "ba de fi go ku la me ni ro su ta ve wi jo pa ze".split()
@@ -96,7 +100,7 @@ def _digits(x: Column) -> Column:
 
 
 def _surname(person: Column) -> Column:
-    return F.regexp_extract(person, r"([^ .]+)$", 1)
+    return F.substring_index(F.substring_index(person, " ", -1), ".", -1)
 
 
 def _pattern_with(surnames: Column) -> Column:
@@ -114,7 +118,7 @@ def with_units(entities: DataFrame) -> DataFrame:
     gender = F.when(title.isin(*TITLES["f"]), "first_f").when(title.isin(*TITLES["m"]), "first_m").otherwise("first_n")
     surname = _surname(F.col("rest"))
     last = unit(F.lit("last"), F.lower(surname))
-    first = unit(gender, F.lower(F.regexp_replace(F.regexp_extract("rest", r"^((?:\p{Lu}\. ?)+|\S+)", 1), " ", "")))
+    first = unit(gender, F.lower(F.regexp_replace(F.regexp_extract("rest", r"^((?:\p{Lu}\. ?)++|\S++)", 1), " ", "")))
     parts = (
         F.when(kind == "email", F.array(unit(F.lit("email"), F.lower(m)), unit(F.lit("domain"), F.lower(F.substring_index(m, "@", -1)))))
         .when(kind == "person", F.when(F.col("rest") != surname, F.array(first, last)).otherwise(F.array(last)))
@@ -159,7 +163,7 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     more = F.greatest(F.col("attempt") - 3, F.lit(0))  # characters by which the surrogate is longer than the value
     added = lambda one: F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), one), "")).otherwise("")
 
-    def char(c: Column, i: Column) -> Column:
+    def char(c: Column, i: Column, most: Column, bare: Column) -> Column:
         b = byte(i)
         cyrillic = F.lit(_CYRILLIC).substr((b % len(_CYRILLIC) + 1).cast("int"), F.lit(1))
         return (
@@ -174,11 +178,16 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
         )
 
     longer = added(lambda k: F.char(F.when(kind.isin("aws_key", "iban"), 65).otherwise(97) + byte(F.length("spelled") + k) % most))
-    rows = rows.withColumn("text", F.concat(F.array_join(F.transform(F.split("spelled", ""), char), ""), longer))
+    # through an array of one, so that a value is searched once and not for each of its characters
+    about = F.array(F.struct(most.alias("most"), bare.alias("bare")))
+    spelt = F.transform(about, lambda x: F.array_join(F.transform(F.split("spelled", ""), lambda c, i: char(c, i, x["most"], x["bare"])), ""))[0]
+    rows = rows.withColumn("text", F.when(~kind.isin(*NAMES, "card", "phone", "ssn", "ip"), F.concat(spelt, longer)))
     # digits are counted from the right, so a number with and without its country code agree
-    n = n + more
+    rows = rows.withColumn("long", n + more)
+    n = F.col("long")
     digit = lambda k: F.when(k == 1, byte(n - k) % 9 + 1).otherwise(byte(n - k) % 10).cast("string")
-    rows = rows.withColumn("number", F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), digit), ""))
+    numeric = kind.isin("card", "phone", "ssn")
+    rows = rows.withColumn("number", F.when(numeric, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), digit), "")))
     ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(F.left("number", n - 1), d.cast("string")))
     luhn = lambda x: F.call_function("luhn_check", x)
     rows = rows.withColumn("valid", F.when(luhn(canon), F.array_join(F.filter(ends, luhn), "")).otherwise(F.col("number")))
@@ -187,6 +196,7 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
     fits = _mod97(F.concat(F.substring(canon, 5, 1 << 30), F.substring(canon, 1, 4))) == 1
     checked = F.when(fits, F.lpad((98 - _mod97(F.concat(turned, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.concat(*((byte(F.lit(60 + k)) % 10).cast("string") for k in (0, 1))))
     octets = F.concat_ws(".", *((byte(F.lit(k)) % 254 + 1).cast("string") for k in range(4)))
+    octets = F.concat(octets, added(lambda k: F.concat(F.lit("."), (byte(k + 3) % 254 + 1).cast("string"))))
     # names of three syllables; a first name ends as its gender's names tend to
     script = canon.rlike(r"\p{IsCyrillic}")
     syllables = F.when(script, F.lit(list(_SLAVIC))).otherwise(F.lit(list(_LATIN)))
@@ -200,7 +210,7 @@ def with_surrogates(units: DataFrame, key: str) -> DataFrame:
         .when(kind.isin("phone", "ssn"), F.col("number"))
         .when(kind == "ip", octets)
         .when(kind == "iban", F.concat(checked, "text"))
-        .when(kind.isin("first_f", "first_m", "first_n", "last"), F.col("name"))
+        .when(kind.isin(*NAMES), F.col("name"))
         .otherwise(F.col("text"))
     )
     return rows.withColumn("new", new).select("kind", "canon", "attempt", "new")
@@ -249,7 +259,7 @@ def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
         domain = F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1))
         twice = now.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "new", domain).orderBy("attempt", "canon"))).where("nth > 1")
         there = now.select("kind", F.when(F.col("kind") == "email", F.substring_index("canon", "@", 1)).when(F.col("kind") == "iban", F.substring("canon", 3, 1 << 30)).otherwise(F.col("canon")).alias("low")).distinct()
-        taken = now.withColumn("low", F.when(F.col("kind").isin("first_f", "first_m", "first_n", "last"), F.lower("new")).otherwise(F.col("new"))).join(there, ["kind", "low"], "left_semi")
+        taken = now.withColumn("low", F.when(F.col("kind").isin(*NAMES), F.lower("new")).otherwise(F.col("new"))).join(there, ["kind", "low"], "left_semi")
         bad = twice.select("kind", "canon").unionByName(taken.select("kind", "canon")).distinct().withColumn("bad", F.lit(1))
         bad = materialize(bad, "taken")
         if bad.isEmpty():
