@@ -213,7 +213,30 @@ _LISTED = _rebased("l_", {
     "d": _VIEWS["d"],
     "pr": "SELECT doc_id AS doc_a, doc_id - 1 AS doc_b FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id - 1 IN (SELECT doc_id FROM documents)",
 })
-_VIEWS |= _WITHIN | _ACROSS | _LISTED
+# groups with all kinds of pairs: neighbours' first chunks, and copies
+_KINDS = _rebased("f_", {"d": _ACROSS["e_d"], "pr": "SELECT DISTINCT doc_a, doc_b FROM f_lb"})
+_VIEWS |= _WITHIN | _ACROSS | _LISTED | _KINDS
+_VIEWS["nx"] = "SELECT *, row_number() OVER (PARTITION BY doc_a ORDER BY doc_b) AS nth FROM pr"
+_VIEWS["cp"] = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM ld"
+_VIEWS["f_lb"] = (
+    "SELECT doc_id - 1 AS doc_a, doc_id AS doc_b, doc_id // 4 AS g, 'AA' AS kind FROM f_t WHERE doc_id % 4 = 1 "
+    "UNION ALL SELECT doc_a * 4, doc_b * 4, doc_a, CASE nth WHEN 1 THEN 'AB' ELSE 'AC' END FROM nx WHERE nth <= 2 "
+    "UNION ALL SELECT x.doc_b * 4, y.doc_b * 4, x.doc_a, 'BC' FROM nx x JOIN nx y ON x.doc_a = y.doc_a AND x.nth = 1 AND y.nth = 2 "
+    "UNION ALL SELECT first * 4, doc_id * 4, doc_id, 'II' FROM cp WHERE first < doc_id"
+)
+# a report: its heading, metrics, sums, reasons and warnings
+_NAMED = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{name}'" for m, name in NAMES.items()) + " END"
+_VIEWS["rl"] = (
+    f"SELECT doc_a, doc_b, string_agg(rpad(metric, 4, ' ') || ' ' || rpad({_NAMED}, 28, ' ') || ' ' || CASE WHEN neutral THEN 'neutral' ELSE printf('d=%.3f w=%.2f', round(distance, 3), weight) END, chr(10) ORDER BY metric_no) AS lines "
+    "FROM (SELECT doc_a, doc_b, metric_no, metric, distance, weight, neutral FROM lg UNION ALL SELECT doc_a, doc_b, 16, 'M16', 0.5, 0.10, true FROM pr) GROUP BY doc_a, doc_b"
+)
+_VIEWS["rn"] = (
+    "SELECT *, 'alike' AS part, wa AS want, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance, metric_no) AS nth FROM ra WHERE na > 0 AND distance <= 0.5 UNION ALL "
+    "SELECT *, 'alike', wa, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance DESC, metric_no DESC) FROM ra WHERE na = 0 UNION ALL "
+    "SELECT *, 'different', wd, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance, metric_no) FROM ra WHERE nd > 0 AND distance >= 0.5 UNION ALL "
+    "SELECT *, 'different', wd, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY distance, metric_no) FROM ra WHERE nd = 0"
+)
+_VIEWS["rw"] = f"SELECT doc_a, doc_b, string_agg(part || ': ' || {_NAMED} || ' (' || printf('%.3f', round(distance, 3)) || ')', chr(10) ORDER BY part, nth) AS why FROM rn WHERE nth <= want GROUP BY doc_a, doc_b"
 # letters a to z, or a to m, in another script; a table of these scripts' letters
 _FIRST = {"TIFINAGH": 0x2D30, "YI": 0xA000, "CANADIAN_ABORIGINAL": 0x1401, "NKO": 0x07CA, "CYRILLIC": 0x0430, "HAN": 0x4E00}
 _CASES = " ".join(
@@ -328,6 +351,11 @@ def oracle_sql() -> dict[str, str]:
         "s5_charsets": "SELECT doc_id, CASE WHEN kind = 3 AND NOT high THEN 'UTF-8' ELSE ['UTF-8', 'UTF-16LE', 'UTF-16BE', 'windows-1251', 'ISO-8859-1'][kind + 1] END AS charset, "
         "CASE kind WHEN 3 THEN translate(plain, 'abvgd', 'абвгд') WHEN 4 THEN translate(plain, 'abvgd', '') || '©' ELSE text END AS text, NULL::VARCHAR AS reject_reason "
         r"FROM (SELECT *, regexp_matches(plain, '[abvgd]') AS high FROM (SELECT doc_id, doc_id % 5 AS kind, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g') AS plain FROM documents))",
+        "x4_eval_kinds": "SELECT g AS \"group\", coalesce(max(pp) FILTER (kind = 'AA') > max(pp) FILTER (kind IN ('AB', 'AC', 'BC')), true) AND coalesce(min(pp) FILTER (kind = 'II') >= 0.9, true) AS passed FROM f_lb JOIN f_s3 USING (doc_a, doc_b) GROUP BY g",
+        "s8_reports_text": "SELECT doc_a, doc_b, verdict, printf('%s: P = %.1f%% +- %.1f%%', verdict, round(pp * 100, 1), round((0.03 + 0.25 * (1 - ff)) * 100, 1)) || "
+        + " || ".join(f"printf(chr(10) || 'text {n}: untitled (id %d), %d words, script Latin, charset given as text', doc_{s}, n{n})" for n, s in ((1, "a"), (2, "b")))
+        + " || chr(10) || chr(10) || lines || printf(chr(10) || chr(10) || 'D %.3f, S %.3f, P(topic) %.3f' || chr(10) || 'P0 %.3f, f %.3f', round(dd, 3), round(1 - dd, 3), round(pt, 3), round(pt, 3), round(ff, 3)) "
+        "|| coalesce(chr(10) || chr(10) || why, '') || CASE WHEN identical THEN chr(10) || chr(10) || 'warnings: identical' ELSE '' END AS report FROM s4 JOIN rl USING (doc_a, doc_b) LEFT JOIN rw USING (doc_a, doc_b)",
         "s7_scores_written": "SELECT doc_a, doc_b, round(pp, 4) AS p, verdict FROM s4",
         "s7_metrics_written": "SELECT doc_a, doc_b, metric, round(distance, 5) AS distance FROM lg",
         "s8_reports_written": "SELECT verdict, count(*) AS n FROM s4 GROUP BY verdict",

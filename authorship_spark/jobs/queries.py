@@ -378,6 +378,26 @@ def x4_eval(spark, sf_dir):
     return report.eval_ordering(score.scores(rows), labelled)
 
 
+def x4_eval_kinds(spark, sf_dir):
+    """Every kind of pair in a document's group: AA as in x4_eval, AB and AC with its next two neighbours, BC of these two, and II with an exact copy."""
+    whole, wanted = _long(spark, sf_dir)
+    chunks = documents.split_chunks(whole).where("chunk_no < 2").select(pairs.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("doc_id"), "text")
+    docs = stored(documents.documents(chunks, compose=False), "chunks")
+    chunk = lambda c, k=0: pairs.chunk_id(F.col(c), F.lit(k))
+    label = lambda df, a, b, group, kind: df.select(a.alias("doc_a"), b.alias("doc_b"), F.col(group).alias("group"), kind.alias("kind"))
+    same = label(docs.where("doc_id.chunk_no = 1"), chunk("doc_id.whole"), F.col("doc_id"), "doc_id.whole", F.lit("AA"))
+    near = wanted.groupBy("doc_a").agg(F.slice(F.array_sort(F.collect_list("doc_b")), 1, 2).alias("next"))  # WINDOW ids at most
+    near = near.select("doc_a", F.get("next", F.lit(0)).alias("b"), F.get("next", F.lit(1)).alias("c"))
+    other = label(near, chunk("doc_a"), chunk("b"), "doc_a", F.lit("AB"))
+    third = label(near.where("c IS NOT NULL"), chunk("doc_a"), chunk("c"), "doc_a", F.lit("AC"))
+    apart = label(near.where("c IS NOT NULL"), chunk("b"), chunk("c"), "doc_a", F.lit("BC"))
+    first = whole.groupBy("text_hash").agg(F.min("doc_id").alias("first"))
+    copies = label(whole.join(first, "text_hash").where("first < doc_id"), chunk("first"), chunk("doc_id"), "doc_id", F.lit("II"))
+    labelled = stored(same.unionByName(other).unionByName(third).unionByName(apart).unionByName(copies), "labelled")
+    rows = metrics.distances(docs, labelled.select(*PAIR), compression=False)
+    return report.eval_ordering(score.scores(rows), labelled)
+
+
 def x5_summary(spark, sf_dir):
     rows = report.verdict_summary(score.scores(_distances(spark, sf_dir)))
     return rows.select("verdict", "n", F.round("mean_p", 4).alias("mean_p"))
@@ -456,6 +476,16 @@ def s8_reports_written(spark, sf_dir):
     return spark.read.text(at).where(F.col("value").rlike(r"^\x{FEFF}?[a-z_]+: P = ")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def s8_reports_text(spark, sf_dir):
+    """Reports through their sink and back, whole: a record lies between two byte order marks."""
+    at = scratch(spark, "reports")
+    rows = _kept(spark, sf_dir)
+    sinks.write_reports(verify.reports(score.scores(rows), metrics.extract(rows)), at)
+    back = spark.read.option("lineSep", "\ufeff").text(at).where("value <> ''").select("verdict", F.rtrim("value", F.lit("\n")).alias("report"))
+    named = lambda n: F.regexp_extract("report", rf"text {n}: .* \(id (-?[0-9]+)\)", 1).cast("long")
+    return back.select(named(1).alias("doc_a"), named(2).alias("doc_b"), "verdict", "report")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -467,7 +497,7 @@ def queries() -> dict[str, Query]:
         j4_profile_align, j5_top_keys, j6_top_combined, j7_restrict_renorm, j8_top_diff, j9_drop_keys, j10_key_sets, j11_chunk_pairs, m1_trigram_cosine, m_all,
         r1_distance, r3_self_distance, r9_scores_core, r9_scores, x1_metric_table, x2_rationale, x3_report, x4_eval, x5_summary, w3_corpus_statistics,
         s1_read_files, s3_signature, s4_looks_binary, s5_charsets, s7_scores_written, s7_metrics_written, s8_reports_written, r3_self_distance_core, r9_scores_self,
-        t11_script_counts_mixed, t12_dominant_script_mixed, t14_scripts_differ_mixed, j1_pairs_listed,
+        t11_script_counts_mixed, t12_dominant_script_mixed, t14_scripts_differ_mixed, j1_pairs_listed, x4_eval_kinds, s8_reports_text,
     ]
     found: dict[str, Query] = {f.__name__: f for f in own}
     found |= {f"a2_char_profile_{n}": _a2(n) for n in (1, 2, 3)}

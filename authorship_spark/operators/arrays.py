@@ -42,7 +42,8 @@ def packed_columns(kinds: tuple[str, ...], chunked: bool) -> list[str]:
 
 def _numbered(*lists: pa.ListArray) -> tuple[list[np.ndarray], pa.Array]:
     """The strings of list columns as numbers in the strings' order, for each column one flat array; and the strings by number."""
-    flat = [a.flatten() for a in lists]
+    # a list array of no lists may come without offsets, so it isn't flattened
+    flat = [a.flatten() if len(a) else pa.array([], pa.string()) for a in lists]
     coded = pa.concat_arrays(flat).dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary)
     rank = np.empty(len(order), np.int64)
@@ -52,6 +53,8 @@ def _numbered(*lists: pa.ListArray) -> tuple[list[np.ndarray], pa.Array]:
 
 
 def _offsets(lists: pa.ListArray) -> np.ndarray:
+    if not len(lists):
+        return np.zeros(1, np.int32)
     at = lists.offsets.to_numpy()
     return at - at[0]
 
@@ -78,7 +81,7 @@ def _pack_words(words: pa.ListArray) -> dict[str, pa.Array]:
     doc, gram = key // many, key % many
     ends = np.searchsorted(doc, np.arange(docs + 1))
     share = count / sizes[doc]
-    total = lambda v: np.bincount(doc, weights=v, minlength=docs)
+    total = lambda v: np.bincount(doc, weights=v, minlength=docs).astype(float)
     stats = {
         "vocab": np.diff(ends), "once": total(count == 1).astype(np.int64), "n": sizes.astype(np.int64), "squares": total(count.astype(float) ** 2).astype(np.int64), "h": total(-share * np.log(share)),
         "slope": np.array([_slope(count[a:b]) for a, b in zip(ends, ends[1:], strict=False)]),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,25 @@ _HIGH = "".join(map(chr, range(0x80, 0x100)))
 def read_text_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, modificationTime, length, content) of the files under ``path`` with one of ``extensions`` (all if empty).
 
-    Spark's reader leaves out files without a byte.
+    Files without a byte are texts too, of no characters; their time isn't known.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-    return reader.load(path)
+    files = reader.load(path)
+    return files.unionByName(_without_bytes(files))
+
+
+def _without_bytes(files: DataFrame) -> DataFrame:
+    """The listed files that the reader leaves out, since it reads no file of no bytes: those without a row.
+
+    Their paths are held against the listing, which Spark keeps on the driver anyway; no content is read for it.
+    """
+    alike = lambda p: re.sub(r"^([A-Za-z][\w+.-]*):/{2,}(?=/)", r"\1:", unquote(p))
+    listed = files.sparkSession.createDataFrame([(alike(p),) for p in files.inputFiles()], "path string")
+    there = files.select(F.regexp_replace("path", r"^([A-Za-z][\w+.-]*):/{2,}(?=/)", "$1:").alias("path"))
+    none = F.lit(None).cast("timestamp").alias("modificationTime")
+    return listed.join(there, "path", "left_anti").select("path", none, F.lit(0).cast("long").alias("length"), F.unhex(F.lit("")).alias("content"))
 
 
 def binary_signature(content: Column) -> Column:

@@ -127,6 +127,16 @@ def test_self_distance(docs, texts):
     assert got == {i: pytest.approx(d, abs=1e-9) for i, d in want.items() if d is not None} and len(got) > 5
 
 
+def test_batches_of_short_texts_alone(spark):
+    """No text is long enough to be cut, or has a word: the arrays are empty, the distances those of empty profiles."""
+    texts = {1: "a b c", 2: "", 3: "!?", 4: "a c"}
+    short = verify.prepare(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), force=True)
+    wanted = spark.createDataFrame([(1, 2), (2, 3), (1, 4)], "doc_a long, doc_b long")
+    for r in metrics.distances(short, wanted).collect():
+        want = plain.distances(plain.Text(texts[r["doc_a"]]), plain.Text(texts[r["doc_b"]]))
+        assert [r[f"m{n}"] for n in range(1, 18)] == [None if d is None else pytest.approx(d, abs=1e-9) for d in want]
+
+
 def test_partial_selection():
     """The mask of the k highest, equal ones by place, against a full sort."""
     np = arrays.np

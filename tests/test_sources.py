@@ -35,15 +35,56 @@ def folder(tmp_path_factory):
 def test_decode(spark, folder):
     rows = ingest.detect_and_decode(ingest.read_text_files(spark, str(folder))).collect()
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["charset"], r["reject_reason"]) for r in rows}
-    assert got == {name: tuple(case[1:]) for name, case in CASES.items() if case[0]}  # Spark reads no empty files
+    assert got == {name: tuple(case[1:]) for name, case in CASES.items()}
     rows = spark.createDataFrame([(name, bytearray(case[0])) for name, case in CASES.items()] + [("null", None)], "path string, content binary")
     got = {r["path"]: (r["text"], r["charset"], r["reject_reason"]) for r in ingest.detect_and_decode(rows).collect()}
     assert got["j.txt"] == ("", "UTF-8", None) and got["null"][0] is None
 
 
+def test_files_without_bytes(spark, tmp_path):
+    """They are found whatever their names, in subfolders too, and only those with an extension that is asked for."""
+    (tmp_path / "in ner").mkdir()
+    names = ["a b.txt", "50%25.txt", "é+x.txt", "in ner/none.md", "some.txt", "none.bin"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"x" if name == "some.txt" else b"")
+    rows = ingest.read_text_files(spark, str(tmp_path)).collect()
+    got = {r["path"].split(tmp_path.name + "/", 1)[1]: (r["length"], bytes(r["content"])) for r in rows}
+    assert got == {n: (1, b"x") if n == "some.txt" else (0, b"") for n in names[:-1]} and len(rows) == 5
+    assert {r["charset"] for r in ingest.detect_and_decode(ingest.read_text_files(spark, str(tmp_path))).collect()} == {"UTF-8"}
+    assert ingest.read_text_files(spark, str(tmp_path), extensions=()).count() == 6
+
+
+def test_scopes(spark, tmp_path):
+    """What one job stores goes at its end; another's tables, and those of no job, stay."""
+    from authorship_spark import storage
+
+    plain = storage.stored(spark.range(3), "plain")
+    with storage.job(spark) as outer:
+        mine = storage.stored(spark.range(4), "mine")
+        with storage.job(spark) as inner:
+            its = storage.stored(spark.range(5), "its")
+            assert its.count() == 5 and inner.startswith(outer)
+        assert mine.count() == 4 and plain.count() == 3
+        with pytest.raises(Exception):
+            spark.read.parquet(its.inputFiles()[0]).count()
+    assert plain.count() == 3
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):
+        spark.read.parquet(outer).count()
+    # a job that runs to its end leaves a lazy result of another readable
+    docs = spark.createDataFrame([(i, write("AB"[i % 2], i, 120)) for i in range(4)], "doc_id long, text string")
+    scored, _ = verify.verify(verify.prepare(docs, force=True), spark.createDataFrame([(0, 1)], "doc_a long, doc_b long"), self_baseline=False)
+    listed = spark.createDataFrame([(0, 1), (0, 1), (2, 3)], "doc_a long, doc_b long")
+    verify.run_pairs(spark, docs, listed, str(tmp_path / "out"), force=True, self_baseline=False)
+    assert scored.count() == 1
+    written = spark.read.parquet(f"{tmp_path}/out/scores")
+    assert written.count() == 3 and written.select("pair_id").distinct().count() == 3
+    assert spark.read.parquet(f"{tmp_path}/out/metrics").count() == 3 * 17
+
+
 def test_job(spark, folder, tmp_path):
     job.ingest(spark, str(folder), str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/corpus").count() == 6
+    assert spark.read.parquet(f"{tmp_path}/corpus").count() == 7
     assert spark.read.parquet(f"{tmp_path}/refused").count() == 4
     assert not spark.read.parquet(f"{tmp_path}/summary").isEmpty()
 
