@@ -7,7 +7,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from authorship_spark.llm import fim, jaccard_join, line_dedup, mixing, packing, pii, spotsigs, token_counts, toxicity
+from authorship_spark.llm import fim, jaccard_join, line_dedup, mixing, packing, pii, spotsigs, toxicity
 
 MILLION = 1_000_000
 TEXTS = {
@@ -65,5 +65,3 @@ def test_others(spark, docs):
     labels = docs.select("doc_id", F.lit(0).alias("toxic"))
     lexicon, weights = toxicity.learn(docs, labels)
     assert len(took(toxicity.score(docs, lexicon, weights))) == len(TEXTS)
-    some = docs.where(F.col("doc_id").isin([i for i, n in enumerate(TEXTS) if n in ("blanks", "line ends", "numbers", "signs")]))
-    assert len(took(token_counts.count_tokens(some, P.path("piece_bpe_32k.model")))) == 4
