@@ -7,12 +7,20 @@ target before or after it in its clause, the negation transducer what is denied,
 reported-speech transducer what is only quoted. An arc may carry a weight; weights
 add up along a clause, so a clause is worth what its whole path says: an insult
 without a target little, one aimed at someone much, a denied or quoted one less. The
-composition is compiled into one table, so a text is read once. A text's score is
-the logistic of its matched clauses' weights and an intercept.
+composition is compiled into one table, so a text is read once.
+
+A text is judged by its worst passage, that of PASSAGE tokens whose matched clauses
+weigh most: its score is the logistic of that weight and an intercept, less the
+logarithm of how many passages long the text is, since the worst of many is bad by
+chance. So a word here and there in a long text doesn't decide, and a passage of
+abuse does.
 
 The weights of the arcs are learned from labelled documents, and so are further
 insults and what each is worth: a word that stands in many toxic documents and in
-hardly any other.
+hardly any other. What the grammar knows bounds what may be learned (see limits): a
+denied or quoted hit is worth next to nothing, and one word of the fixed list without
+a target stays under the cut, unless labels of texts with nothing else in them say
+otherwise; one aimed at someone is over it in a short text, and so is an aimed threat.
 """
 
 from __future__ import annotations
@@ -47,14 +55,26 @@ MAX_LABELLED = 10_000
 COVER = 0.015
 #: ...and is so much more likely there than elsewhere.
 LIFT = 100.0
+#: What a learned word is worth in fixed insults, from this on, as labels vouch for it...
+VOUCHED = 1.25
+#: ...and at most.
+MOST_WORTH = 2.0
 #: Documents get label 1 from this score on.
 CUT = 0.3
+#: Tokens of a passage; a clause that goes on for longer is cut there.
+PASSAGE = 200
+#: What a denied or quoted hit is worth at most, whatever else is on its path.
+TAKEN_BACK = 0.25
+#: One fixed insult without a target stays so far under the cut, on the logistic scale...
+MARGIN = 0.2
+#: ...unless so many labelled texts hold nothing else, and most of them are toxic.
+LONE_TEXTS = 30
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]|[\"“”«»]")
 #: The weighted arcs: a first insult of a clause, a further one, a threat, and what hits are aimed, denied, told.
 ARCS = ("insult", "again", "threat", "aimed", "denied", "reported")
 #: The model before any label: the intercept, then each arc's weight.
-PRIOR = np.array([-3.0, 1.5, 0.5, 2.0, 2.5, -1.5, -1.5])
+PRIOR = np.array([-3.0, 1.5, 0.5, 2.0, 2.5, -3.9, -3.9])
 #: Arcs whose weight is multiplied by what the word is worth.
 _LEXICAL = ("insult", "again")
 
@@ -105,7 +125,7 @@ class Reader:
     """Reads texts with the compiled grammar under a lexicon of insults and what each is worth."""
 
     def __init__(self, lexicon: dict[str, float], weights: np.ndarray = PRIOR):
-        self.lexicon = dict.fromkeys(INSULTS, 1.0) | lexicon
+        self.lexicon = lexicon | dict.fromkeys(INSULTS, 1.0)  # everyday words too: worth one whatever is learned
         self.fixed = {w: s for s, ws in ((THREAT, THREATS), (MODAL, MODALS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
         self.fixed |= dict.fromkeys(".!?;\n", STOP) | dict.fromkeys("\"“”«»", QUOTE)
         self.memory = WordMemory(self._symbols, limit=500_000)
@@ -128,25 +148,58 @@ class Reader:
             low = word.lower()
             yield (INSULT, self.lexicon[low]) if low in self.lexicon else (self.fixed.get(low, OTHER), 1.0)
 
-    def clauses(self, values: list[tuple[int, float]]) -> Iterator[dict[str, float]]:
-        """Per matched clause: what was met on each weighted arc of its path."""
-        state, clause = 0, {}
-        for symbol, worth in values:
+    def placed(self, values: list[tuple[int, float]]) -> Iterator[tuple[int, dict[str, float]]]:
+        """Per matched clause: the token that it ends before, and what was met on each weighted arc of its path."""
+        state, clause, since = 0, {}, 0
+        for at, (symbol, worth) in enumerate(values):
+            if at - since == PASSAGE:
+                if clause:
+                    yield at, clause
+                state, clause, since = 0, {}, at
             state, taken, ends = self.table[state][symbol]
             if taken:
                 for k, name in enumerate(ARCS):
                     if taken >> k & 1:
                         clause[name] = clause.get(name, 0.0) + (worth if name in _LEXICAL else 1.0)
-            if ends and clause:
-                yield clause
-                clause = {}
+            if ends:
+                if clause:
+                    yield at, clause
+                clause, since = {}, at + 1
         if clause:
-            yield clause
+            yield len(values), clause
+
+    def clauses(self, values: list[tuple[int, float]]) -> Iterator[dict[str, float]]:
+        """Per matched clause: what was met on each weighted arc of its path."""
+        return (clause for _, clause in self.placed(values))
+
+    def worst(self, placed: list[tuple[int, dict[str, float]]]) -> list[dict[str, float]]:
+        """The clauses that end in the passage that weighs most, the first of such."""
+        weights = [self.weight(clause) for _, clause in placed]
+        total, most, first, span = 0.0, 0.0, 0, (0, 0)
+        for k, (at, _) in enumerate(placed):
+            total += weights[k]
+            while placed[first][0] <= at - PASSAGE:
+                total -= weights[first]
+                first += 1
+            if total > most + 1e-9:
+                most, span = total, (first, k + 1)
+        return [clause for _, clause in placed[span[0] : span[1]]]
+
+    def judged(self, texts: list[str]) -> Iterator[tuple[list[dict[str, float]], list[dict[str, float]], int]]:
+        """Per text its matched clauses, those of its worst passage, and how many passages long it is."""
+        for values in self.memory.texts(texts, _TOKEN.findall):
+            placed = list(self.placed(values)) if any(v[0] == INSULT or v[0] == THREAT for v in values) else []
+            yield [clause for _, clause in placed], self.worst(placed), max(1, -(-len(values) // PASSAGE))
 
     def read(self, texts: list[str]) -> Iterator[list[dict[str, float]]]:
         """Per text its matched clauses."""
-        for values in self.memory.texts(texts, _TOKEN.findall):
-            yield list(self.clauses(values)) if any(v[0] == INSULT or v[0] == THREAT for v in values) else []
+        return (found for found, _, _ in self.judged(texts))
+
+    def scores(self, texts: list[str], intercept: float) -> Iterator[tuple[float, list[dict[str, float]]]]:
+        """Per text its score and its matched clauses."""
+        for found, worst, passages in self.judged(texts):
+            total = intercept + sum(map(self.weight, worst)) - math.log(passages)
+            yield 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), found
 
     def weight(self, clause: dict[str, float]) -> float:
         """What a clause is worth: the weights along its path, at least nothing."""
@@ -167,26 +220,30 @@ def _reader(lexicon: tuple, weights: tuple) -> Reader:
 def _feature_batches(batches: Iterator[pa.RecordBatch], lexicon: tuple) -> Iterator[pa.RecordBatch]:
     reader = _reader(lexicon, tuple(PRIOR.tolist()))
     for batch in batches:
-        x = [[1.0, *(sum(c.get(name, 0.0) for c in found) for name in ARCS)] for found in reader.read(batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+        x, passages, lone = [], [], []
+        for found, worst, n in reader.judged(batch.column(1).to_pylist()):
+            x.append([1.0, *(sum(c.get(name, 0.0) for c in worst) for name in ARCS)])
+            passages.append(n)
+            lone.append(found == [{"insult": 1.0}])
+        columns = [batch.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(passages, pa.int32()), pa.array(lone, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "x", "passages", "lone"])
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], lexicon: tuple, weights: tuple) -> Iterator[pa.RecordBatch]:
     reader = _reader(lexicon, weights)
     for batch in batches:
-        total, kinds = [], []
-        for found in reader.read(batch.column(1).to_pylist()):
-            total.append(weights[0] + sum(map(reader.weight, found)))
+        score, kinds = [], []
+        for value, found in reader.scores(batch.column(1).to_pylist(), weights[0]):
+            score.append(value)
             kinds.append([" ".join(name for name in ARCS if name in c) for c in found])
-        score = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(kinds, pa.list_(pa.string()))], names=[batch.schema.names[0], "score", "clauses"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(kinds, pa.list_(pa.string()))], names=[batch.schema.names[0], "score", "clauses"])
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Words that tell toxic (label 1) from other texts, and what each is worth: (text, label) rows, no null.
 
-    A word that is as much likelier in toxic texts as LIFT says is worth one fixed
-    insult, at most two. Each word stands in a share of COVER of the toxic texts, so
+    A word that is as much likelier in toxic texts as LIFT says is worth VOUCHED fixed
+    insults, likelier ones up to MOST_WORTH. Each word stands in a share of COVER of the toxic texts, so
     there are at most as many as one toxic text has words, over COVER.
     """
     n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows
@@ -196,22 +253,46 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     words = labelled.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}']+", -1))).alias("word")).where("word <> ''")
     counted = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all"))
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("all") - F.col("bad") + 0.25) / (good + 1))
-    told = counted.where((F.col("bad") >= max(4, COVER * bad)) & (lift >= LIFT)).select("word", F.least(F.lit(2.0), F.log(lift) / math.log(LIFT)).alias("worth"))
+    told = counted.where((F.col("bad") >= max(4, COVER * bad)) & (lift >= LIFT)).select("word", F.least(F.lit(MOST_WORTH), VOUCHED * F.log(lift) / math.log(LIFT)).alias("worth"))
     return {r["word"]: r["worth"] for r in told.collect()}
 
 
-def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """Logistic weights by Newton steps, drawn to PRIOR; a step that does harm is halved."""
+def limits(lone_decides: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """What weights have to keep to: rows c and bounds b, with c @ weights <= b."""
+    at = {name: k for k, name in enumerate(ARCS, 1)}
+    rows = [({at[a]: -1}, 0.0) for a in ("insult", "again", "threat", "aimed")]
+    worth = {name: MOST_WORTH if name in _LEXICAL else 1.0 for name in ("insult", "again", "threat")}
+    rows += [({at[hit]: n, at["aimed"]: 1, at[back]: 1}, TAKEN_BACK) for hit, n in worth.items() for back in ("denied", "reported")]
+    cut = math.log(CUT / (1 - CUT))
+    rows += [({0: -1, at[hit]: -1, at["aimed"]: -1}, -cut - MARGIN) for hit in ("insult", "threat")]
+    if not lone_decides:
+        rows.append(({0: 1, at["insult"]: 1}, cut - MARGIN))
+    c = np.zeros((len(rows), len(PRIOR)))
+    for k, (row, _) in enumerate(rows):
+        c[k, list(row)] = list(row.values())
+    return c, np.array([b for _, b in rows])
+
+
+def fit(x: np.ndarray, bad: np.ndarray, n: np.ndarray, offset: np.ndarray, lone_decides: bool = False, strength: float = 1.0) -> np.ndarray:
+    """Logistic weights by Newton steps, drawn to PRIOR and held within limits; a step that does harm is halved.
+
+    Row k of ``x`` stands for n[k] texts, bad[k] of them toxic. What is beyond a limit
+    costs its square so many times that all texts together move it by a few
+    thousandths, less than MARGIN.
+    """
+    c, b = limits(lone_decides)
+    bound = 1e3 * max(10.0, float(n.sum()))
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + strength / 2 * ((w - PRIOR) ** 2).sum())
+        z, over = x @ w + offset, np.maximum(c @ w - b, 0)
+        return float((n * np.logaddexp(0, z)).sum() - bad @ z + strength / 2 * ((w - PRIOR) ** 2).sum() + bound / 2 * (over**2).sum())
 
     w = PRIOR.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - strength * (w - PRIOR)
-        bend = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
+        over = np.maximum(c @ w - b, 0)
+        slope = x.T @ (bad - n * p) - strength * (w - PRIOR) - bound * (c.T @ over)
+        bend = (x * (n * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)) + bound * (c[over > 0].T @ c[over > 0])
         step, now = np.linalg.solve(bend, slope), loss(w)
         while loss(w + step) > now and np.abs(step).max() > 1e-8:
             step = step / 2
@@ -235,13 +316,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     held = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(sample, "_id")
     held = materialize(held.select("text", "label"), "labelled")
     lexicon = learn_lexicon(held)
-    seen = held.select("label", "text").mapInArrow(lambda it, lex=tuple(sorted(lexicon.items())): _feature_batches(it, lex), "label int, x array<double>")
-    rows = seen.groupBy("x").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).collect()  # the sample's distinct feature vectors
+    seen = held.select("label", "text").mapInArrow(lambda it, lex=tuple(sorted(lexicon.items())): _feature_batches(it, lex), "label int, x array<double>, passages int, lone boolean")
+    # the sample's distinct feature vectors: no more than it has ids, but for ids of several texts
+    rows = seen.groupBy("x", "passages", "lone").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).collect()
     if not rows:
         return lexicon, PRIOR.copy()
-    x = np.array([r["x"] for r in rows for _ in range(r["n"])])
-    y = np.array([float(k < r["bad"]) for r in rows for k in range(r["n"])])
-    return lexicon, fit(x, y)
+    bad, n = (np.array([r[k] for r in rows], float) for k in ("bad", "n"))
+    lone = np.array([r["lone"] for r in rows])
+    decides = n[lone].sum() >= LONE_TEXTS and bad[lone].sum() > n[lone].sum() / 2
+    return lexicon, fit(np.array([r["x"] for r in rows]), bad, n, -np.log([r["passages"] for r in rows]), bool(decides))
 
 
 def _scored(docs: DataFrame, first: Column, lexicon: dict[str, float], weights: np.ndarray, text_col: str) -> DataFrame:
@@ -256,7 +339,7 @@ def _scored(docs: DataFrame, first: Column, lexicon: dict[str, float], weights:
 def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, score (0 to 1), predicted (1 from CUT on) and clauses (arcs of the matched ones) of every whole text.
 
-    A null or empty text has the score of a text without matches. One row per
+    A null or empty text has the score of a short text without matches. One row per
     input row; only the text is looked at. Map-only. An empty table gives no rows.
     """
     return _scored(docs, F.col(id_col), lexicon, weights, text_col).withColumnRenamed("row", id_col)

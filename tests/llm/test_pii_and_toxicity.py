@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from authorship_spark.llm import pii, toxicity
@@ -203,8 +204,60 @@ def test_model(spark):
     rows = toxicity.score_rows(twice.withColumn("score", F.lit("old")), lexicon, weights)
     assert rows.columns == [*twice.columns, "clauses"] and rows.where("doc_id = 4").select("score").distinct().count() == 1
     assert {r["doc_id"]: r["score"] for r in rows.collect()} == {i: r["score"] for i, r in got.items()}
-    long = spark.createDataFrame([(1, "fine words here. " * 200_000 + "zorgle"), (2, "x" * 1_000_000)], "doc_id long, text string")
-    assert [r["predicted"] for r in toxicity.score(long, lexicon, weights).orderBy("doc_id").collect()] == [1, 0]
+    # one word doesn't decide about a long text, a passage of them does
+    # (not "here", which only toxic texts of these hold)
+    fine = "fine words stay. "
+    long = [(1, fine * 200_000 + "zorgle"), (2, "x" * 1_000_000), (3, fine * 200_000 + "You zorgle! " * 20), (4, (fine * 500 + "zorgle. ") * 20)]
+    scored = toxicity.score(spark.createDataFrame(long, "doc_id long, text string"), lexicon, weights)
+    assert [r["predicted"] for r in scored.orderBy("doc_id").collect()] == [0, 0, 1, 0]
     none = docs.where("false")
     lexicon, weights = toxicity.learn(none, labels)
     assert toxicity.score(none, lexicon, weights).count() == 0
+
+
+def test_worst_passage():
+    """Against all windows of tokens; the clauses that end in one are added up."""
+    rng = random.Random(7)
+    reader = toxicity.Reader({})
+    for _ in range(200):
+        ends = sorted(rng.sample(range(1, 2000), rng.randrange(1, 30)))
+        placed = [(at, {"insult": 1.0} if rng.random() < 0.7 else {"insult": 1.0, "aimed": 1.0}) for at in ends]
+        weigh = lambda clauses: sum(map(reader.weight, clauses))
+        want = max(weigh([c for at, c in placed if end - toxicity.PASSAGE < at <= end]) for end in ends)
+        assert abs(weigh(reader.worst(placed)) - want) < 1e-9
+    assert reader.worst([]) == []
+    # a clause without an end is cut, so its insults don't all meet
+    assert len(next(reader.read(["trash " + "word " * 500 + "trash"]))) == 2
+
+
+def test_limits_hold_whatever_the_labels_say():
+    """Labels under which every kind of clause looks toxic, or none does."""
+    rng = np.random.default_rng(3)
+    cut = math.log(toxicity.CUT / (1 - toxicity.CUT))
+    for share in (1.0, 0.5, 0.0):
+        x = np.column_stack([np.ones(400), rng.integers(0, 3, (400, len(toxicity.ARCS)))]).astype(float)
+        x[:100, 1:] = 0
+        n = np.full(400, 50.0)
+        bad = np.where(x[:, 1:].any(axis=1), share, 0) * n
+        w = dict(zip(("first", *toxicity.ARCS), toxicity.fit(x, bad, n, np.zeros(400)), strict=True))
+        assert w["first"] + w["insult"] < cut
+        assert min(w["first"] + w["insult"] + w["aimed"], w["first"] + w["threat"] + w["aimed"]) > cut
+        for back in ("denied", "reported"):
+            assert max(2 * w["insult"], w["threat"]) + w["aimed"] + w[back] < 0.3
+    # texts with one insult only, most of them toxic, lift the limit on it
+    one = np.array([[1.0, 1, 0, 0, 0, 0, 0], [1.0, 0, 0, 0, 0, 0, 0]])
+    free = toxicity.fit(one, np.array([90.0, 0]), np.array([100.0, 900]), np.zeros(2), lone_decides=True)
+    assert free[0] + free[1] > cut
+
+
+def test_held_out_labels_and_everyday_sentences(spark):
+    """Learned on sf0.01, judged on the held-out quarter and on sentences that no label shows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon, weights = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    got = toxicity.score(docs, lexicon, weights).join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out(F.col("doc_id")))
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert counts.get((0, 1), 0) <= 1 and counts[1, 1] >= counts.get((1, 0), 0)
+    reader = toxicity.Reader(lexicon, weights)
+    fine = ["The circus clown juggled.", "Put the trash in the green bin.", "He is not an idiot", "She said he is a moron", "circus clown. " + "harmless word. " * 7500, ""]
+    bad = ["You are a moron", "We will kill you", "What a stupid clown. Such trash, you scum"]
+    assert all(s < toxicity.CUT for s, _ in reader.scores(fine, weights[0])) and all(s >= toxicity.CUT for s, _ in reader.scores(bad, weights[0]))
