@@ -153,6 +153,11 @@ def _search_rows(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFra
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
+def dealt(points: DataFrame, shards: int) -> DataFrame:
+    """``points`` with a shard from 0 to ``shards`` - 1: rows are dealt, not ids, so rows that repeat an id spread like any others."""
+    return points.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product for each of ``queries``.
 
@@ -176,7 +181,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     asked = whole(queries).groupBy("id").agg(F.min_by(F.struct("vector", "dim"), F.struct("dim", "vector")).alias("x")).select("id", "x.vector", "x.dim")
     n_points, n_asked = points.count(), asked.count()
     shards, blocks = max(1, -(-n_points // SHARD_ROWS)), max(1, -(-n_asked // BLOCK_ROWS))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    points = dealt(points, shards)
     trees = materialize(points.groupBy("dim", "shard").applyInPandas(_tree_rows, "dim int, shard int, tree binary"), "trees")
     salts = -(-blocks // BLOCKS)  # a shard meets its blocks in so many pieces of work, each in a task of its own
     salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

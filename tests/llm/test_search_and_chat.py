@@ -37,6 +37,23 @@ def test_top_k(spark, monkeypatch):
     assert len(got) == 3 and [v for _, v in got].count(2) == 2
 
 
+def test_hot_id(spark, monkeypatch):
+    """A third of all rows are of one id, some of them alike: no shard gets them all, and each stays a candidate."""
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 50)
+    rng = random.Random(4)
+    rows = [(7, [rng.choice([0.5, 0.25, 1.0]), 0.5]) for _ in range(300)] + [(i, [rng.gauss(0, 0.2), rng.gauss(0, 0.2)]) for i in range(100, 700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sizes = [r["count"] for r in kdtree.dealt(df.withColumnRenamed("vec_id", "id"), 18).groupBy("shard").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) < 100
+    got = kdtree.top_k(df, df.where("vec_id IN (7, 100, 150)"), k=40).collect()
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for q in (100, 150):
+        own = next(v for i, v in ints if i == q)
+        want = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in ints if i != q)[:40]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert 7 not in [r["vec_id"] for r in got if r["query_id"] == 7] and sum(r["query_id"] == 7 for r in got) == 40
+
+
 def test_fold(spark):
     log = [
         (1, 0, "message", 0, "user", "Hi <|im_end|> <\\|im"), (1, 1, "message", 1, "assistant", "He"), (1, 2, "delta", 1, None, "llo"), (1, 3, "message", 2, "user", "more"),
