@@ -1,11 +1,14 @@
 """Exact top-k search by inner product: a KD-tree for each shard of the vectors.
 
-Vectors are dealt into shards of bounded size; each shard becomes one row that
-holds a KD-tree (median splits, tight bounding boxes). Queries are packed into
-blocks. A block meets every shard: each of its queries walks the tree best-first,
-a box being worth the largest product any point in it could have, and stops when
-the best box left is below the kth score it already holds. The first shard that
-a block meets gives kth scores which then go along to all the others.
+Space is cut into cells by the upper levels of a KD-tree, fitted on a bounded sample;
+a cell's rows are dealt into shards of bounded size, and each shard becomes one row
+that holds a KD-tree of its own (median splits, tight bounding boxes). Queries are
+packed into blocks. A box is worth the largest product that any point in it could
+have. The queries of a block go to cells in three waves: to one shard of the cell
+that is worth most to each, to the eighth of the cells that are worth most, to the
+others; what a wave finds raises each query's kth score, and a query goes only to
+cells worth as much as that. Within a shard it walks the tree best-first and stops
+when the best box left is below the kth score.
 """
 
 from __future__ import annotations
@@ -16,16 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ready
+from .common import FEW, join_hot, materialize, ready
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 256
 LEAF_ROWS = 64
 #: Blocks of queries that go through a tree in one piece of work.
 BLOCKS = 8
+#: Cells at most, and rows of the sample that their cuts are fitted on. They bear on speed only.
+CELLS = 64
+SAMPLE = 4096
+#: Vector lengths that get cuts, the most frequent ones; vectors of others lie in one cell a length.
+CUT_DIMS = 8
+#: Lengths whose cell boxes are broadcast: 2 x CELLS vectors each.
+BROADCAST_DIMS = 16
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -132,7 +142,8 @@ def _tree_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     vectors = np.array(pdf["vector"].tolist(), np.int64).reshape(len(ids), -1)
     tree = build_tree(ids, vectors)
     tree = {k: v if k == "ids" else _small(v) for k, v in tree.items()}
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "tree": [_packed(**tree)]})
+    first = pdf[["dim", "cell", "shard"]].head(1).reset_index(drop=True)
+    return first.assign(low=[tree["low"][0].tolist()], high=[tree["high"][0].tolist()], tree=[_packed(**tree)])
 
 
 def _block_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,11 +164,115 @@ def _search_rows(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFra
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
-def dealt(points: DataFrame, shards: int) -> DataFrame:
+def dealt(points: DataFrame, shards: int | Column) -> DataFrame:
     """``points`` with a shard from 0 to ``shards`` - 1: rows are dealt, not ids, so rows that repeat an id spread like any others."""
     return points.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
 
+def fit_cuts(vectors: np.ndarray, depth: int) -> tuple[list[int], list[int]]:
+    """(axes, cuts) of the upper levels of a KD-tree, in heap order: a vector below the cut on the axis goes left.
+
+    The axis is the one of the greatest variance, the cut its median. Where no cut parts the vectors, all go left.
+    """
+    axes, cuts, members = [], [], [vectors]
+    for n in range(2**depth - 1):
+        own = members[n]
+        axis, cut = 0, np.iinfo(np.int64).max
+        if len(own):
+            widest = int(own.astype(np.float64).var(axis=0).argmax())
+            values = own[:, widest]
+            above = values[values > values.min()]
+            if len(above):
+                axis, cut = widest, max(int(np.sort(values)[len(values) // 2]), int(above.min()))
+        below = own[:, axis] < cut
+        axes.append(axis), cuts.append(int(cut))
+        members += [own[below], own[~below]]
+    return axes, cuts
+
+
+def _leaf(axes: list[int], cuts: list[int], depth: int) -> Column:
+    """The number of the leaf that ``vector`` comes to, from 0."""
+    axis, cut = F.array(*map(F.lit, axes)), F.array(*(F.lit(c).cast("long") for c in cuts))
+    down = lambda n, _: n * 2 + 1 + (F.get("vector", F.get(axis, n)) >= F.get(cut, n)).cast("int")
+    return F.aggregate(F.array_repeat(F.lit(0), depth), F.lit(0), down) - (2**depth - 1)
+
+
+def with_cells(points: DataFrame, n_points: int) -> DataFrame:
+    """``points`` with a cell each, of as many as there are shards, ``CELLS`` at most."""
+    depth = max(0, min(CELLS, -(-n_points // SHARD_ROWS)).bit_length() - 1)
+    cell = F.lit(0)
+    if depth:
+        sample = points.sample(min(1.0, SAMPLE / n_points), 1).select("vector", "dim").limit(2 * SAMPLE).toPandas()
+        for dim in sample["dim"].value_counts().index[:CUT_DIMS]:
+            if dim:
+                axes, cuts = fit_cuts(np.array(sample["vector"][sample["dim"] == dim].tolist(), np.int64), depth)
+                cell = F.when(F.col("dim") == int(dim), _leaf(axes, cuts, depth)).otherwise(cell)
+    return points.withColumn("cell", cell.cast("int"))
+
+
+def cell_boxes(trees: DataFrame) -> DataFrame:
+    """(dim, cells): for each vector length its cells' shards and boxes, an entry per cell and axis."""
+    sides = trees.select("dim", "cell", F.posexplode_outer(F.arrays_zip("low", "high")).alias("axis", "x"))
+    sides = sides.groupBy("dim", "cell", "axis").agg(F.count(F.lit(1)).alias("shards"), F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    return sides.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("axis", F.lit(0)).alias("axis"), "shards", "low", "high"))).alias("cells"))
+
+
+def _route_rows(batches: Iterator[pd.DataFrame], wave: int) -> Iterator[pd.DataFrame]:
+    """What of each block goes to which cell in this wave: 0, the best cell; 1, the best eighth; 2, the others.
+
+    A query's home, one shard of its best cell, is met in wave 0 and left out (``home``, else -1) in wave 1.
+    """
+    for pdf in batches:
+        for dim, block, data, cells in pdf[["dim", "block", "queries", "cells"]].itertuples(index=False):
+            q, per_cell = _unpacked(data), max(1, dim)
+            # cells come sorted, each with an entry per axis
+            numbers = [c["cell"] for c in cells[::per_cell]]
+            shards = [c["shards"] for c in cells[::per_cell]]
+            low, high = (np.array([c[side] or 0 for c in cells], object).reshape(-1, per_cell)[:, :dim] for side in ("low", "high"))
+            vectors = q["vectors"].astype(object)
+            most = [max((abs(int(v)) for v in x.flat), default=0) for x in (vectors, low, high)]
+            kind = np.float64 if most[0] * max(most[1:]) * per_cell < 2**52 else object  # exact either way
+            vectors, low, high = (x.astype(kind) for x in (vectors, low, high))
+            bounds = np.where(vectors > 0, vectors, 0) @ high.T + np.where(vectors < 0, vectors, 0) @ low.T
+            rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+            near = max(1, -(-len(numbers) // 8))
+            due = {0: rank == 0, 1: rank < near, 2: rank >= near}[wave]
+            due &= ~q["has_floor"][:, None] | (bounds >= q["floor"][:, None]).astype(bool)
+            out = []
+            for j, number in enumerate(numbers):
+                home = block % shards[j]
+                for skip, chosen in ((home, due[:, j] & (rank[:, j] == 0)), (-1, due[:, j] & (rank[:, j] != 0))):
+                    if chosen.any():
+                        out.append((dim, block, number, shards[j], skip, _packed(**{k: v[chosen] for k, v in q.items()})))
+            yield pd.DataFrame(out, columns=["dim", "block", "cell", "shards", "home", "queries"])
+
+
+def routed(packed: DataFrame, boxes: DataFrame, wave: int) -> DataFrame:
+    """(dim, cell, shard, block, queries): the pieces of query blocks that shards meet in a wave."""
+    rows = packed.join(boxes, "dim").mapInPandas(lambda it: _route_rows(it, wave), "dim int, block int, cell int, shards int, home int, queries binary")
+    if wave == 0:
+        return rows.withColumn("shard", F.col("home")).drop("shards", "home")
+    all_shards = F.array_remove(F.sequence(F.lit(0), F.col("shards") - 1), F.col("home"))
+    return rows.withColumn("shard", F.explode(all_shards)).drop("shards", "home")
+
+
+def blocks_of(asked: DataFrame) -> DataFrame:
+    """Queries (id, vector, dim, block, floor) packed by block; ``floor``: a score that k other rows are known to reach, or null."""
+    return asked.groupBy("dim", "block").applyInPandas(_block_rows, "dim int, block int, queries binary")
+
+
+def grow_trees(points: DataFrame, n_points: int) -> DataFrame:
+    """(dim, cell, shard, low, high, tree): a tree per shard, with its box."""
+    celled = with_cells(points, n_points)
+    sizes = materialize(celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.col("n") / SHARD_ROWS).cast("int")), "cells")
+    if sizes.count() <= FEW:
+        celled = celled.join(F.broadcast(sizes.drop("n")), ["dim", "cell"])
+    else:
+        celled = join_hot(celled, sizes, ["dim", "cell"], "n", n_points)
+    trees = dealt(celled, F.col("shards")).groupBy("dim", "cell", "shard")
+    return materialize(trees.applyInPandas(_tree_rows, "dim int, cell int, shard int, low array<long>, high array<long>, tree binary"), "trees")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product for each of ``queries``.
 
@@ -180,25 +295,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     points = whole(vectors)
     asked = whole(queries).groupBy("id").agg(F.min_by(F.struct("vector", "dim"), F.struct("dim", "vector")).alias("x")).select("id", "x.vector", "x.dim")
     n_points, n_asked = points.count(), asked.count()
-    shards, blocks = max(1, -(-n_points // SHARD_ROWS)), max(1, -(-n_asked // BLOCK_ROWS))
-    points = dealt(points, shards)
-    trees = materialize(points.groupBy("dim", "shard").applyInPandas(_tree_rows, "dim int, shard int, tree binary"), "trees")
+    trees = grow_trees(points, n_points)
+    boxes = materialize(cell_boxes(trees), "boxes")
+    boxes = F.broadcast(boxes) if boxes.count() <= BROADCAST_DIMS else boxes
+    blocks = max(1, -(-n_asked // BLOCK_ROWS))
     salts = -(-blocks // BLOCKS)  # a shard meets its blocks in so many pieces of work, each in a task of its own
-    salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = trees.select("dim", "cell", "shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-
-    def meet(asked: DataFrame, shard_list) -> DataFrame:
-        packed = asked.groupBy("dim", "block").applyInPandas(_block_rows, "dim int, block int, queries binary")
-        met = packed.withColumn("shard", F.explode(shard_list)).withColumn("salt", F.pmod("block", F.lit(salts)).cast("int"))
-        met = met.groupBy("dim", "shard", "salt").agg(F.collect_list("queries").alias("blocks"))  # about BLOCKS
-        pairs = met.join(salted, ["dim", "shard", "salt"]).select("tree", "blocks")
-        return pairs.mapInPandas(lambda it: _search_rows(it, k), "query_id long, vec_id long, score long")
-
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = materialize(meet(asked.withColumn("floor", F.lit(None).cast("long")), F.array(home)), "first-shards")
-    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    seeded = asked.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left")
-    others = F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), home)
-    found = first.unionByName(meet(seeded, others)) if shards > 1 else first
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = None
+    for wave in range(3):
+        if found is None:
+            seeded = asked.withColumn("floor", F.lit(None).cast("long"))
+        else:
+            floors = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+            seeded = asked.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left")
+        met = routed(blocks_of(seeded), boxes, wave).withColumn("salt", F.pmod("block", F.lit(salts)).cast("int"))
+        met = met.groupBy("dim", "cell", "shard", "salt").agg(F.collect_list("queries").alias("blocks"))  # about BLOCKS
+        pairs = met.join(salted, ["dim", "cell", "shard", "salt"]).select("tree", "blocks")
+        new = pairs.mapInPandas(lambda it: _search_rows(it, k), "query_id long, vec_id long, score long")
+        new = new if found is None else found.unionByName(new)
+        ranked = new.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = ranked if wave == 2 else materialize(ranked.drop("rank"), "found")
+    return found

@@ -54,6 +54,30 @@ def test_hot_id(spark, monkeypatch):
     assert 7 not in [r["vec_id"] for r in got if r["query_id"] == 7] and sum(r["query_id"] == 7 for r in got) == 40
 
 
+def test_blocks_meet_few_shards(spark, monkeypatch):
+    """Vectors in 16 far clusters: with kth scores known, blocks go to a part of the shards, and nothing is lost."""
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 40)
+    monkeypatch.setattr(kdtree, "BLOCK_ROWS", 8)
+    rng = random.Random(6)
+    far = [[rng.choice([-4.0, 4.0]) + rng.random() for _ in range(8)] for _ in range(16)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in far[i % 16]]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = list(range(0, 1600, 50))
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in kdtree.top_k(df, df.where("vec_id % 50 = 0")).collect()}
+    assert got == brute(rows, asked, 5)
+    ints = F.transform("embedding", lambda v: F.floor(256.0 * v))
+    points = df.select(F.col("vec_id").alias("id"), ints.alias("vector"), F.lit(8).alias("dim"))
+    trees = kdtree.grow_trees(points, 1600)
+    floors = spark.createDataFrame([(q, s) for q, n, _, s in got if n == 5], "id long, floor long")
+    seeded = points.join(floors, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int"))
+    boxes, packed = kdtree.cell_boxes(trees), kdtree.blocks_of(seeded)
+    pieces = [(r["block"], r["cell"], r["shard"]) for w in range(3) for r in kdtree.routed(packed, boxes, w).select("block", "cell", "shard").collect()]
+    assert trees.count() >= 40 and len(pieces) < 4 * trees.count() / 2
+    # a query meets no shard twice: its home is left out of the second wave
+    queries = [(q, r["cell"], r["shard"]) for w in range(3) for r in kdtree.routed(packed, boxes, w).collect() for q in kdtree._unpacked(bytes(r["queries"]))["ids"].tolist()]
+    assert len(queries) == len(set(queries))
+
+
 def test_fold(spark):
     log = [
         (1, 0, "message", 0, "user", "Hi <|im_end|> <\\|im"), (1, 1, "message", 1, "assistant", "He"), (1, 2, "delta", 1, None, "llo"), (1, 3, "message", 2, "user", "more"),
