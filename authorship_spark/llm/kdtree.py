@@ -26,7 +26,8 @@ from .common import FEW, join_hot, materialize, ready
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 256
-LEAF_ROWS = 64
+#: A leaf's products are one matrix row; smaller leaves cost more steps than they save products.
+LEAF_ROWS = 256
 #: Blocks of queries that go through a tree in one piece of work.
 BLOCKS = 8
 #: Cells at most, and rows of the sample that their cuts are fitted on. They bear on speed only.

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from authorship_spark.llm import chat_format, kdtree
@@ -54,6 +55,26 @@ def test_hot_id(spark, monkeypatch):
     assert 7 not in [r["vec_id"] for r in got if r["query_id"] == 7] and sum(r["query_id"] == 7 for r in got) == 40
 
 
+def test_tree(monkeypatch):
+    """A tree of many leaves, with equal vectors and ids that repeat, against all products, with and without kth scores."""
+    monkeypatch.setattr(kdtree, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.integers(-300, 300, (900, 4)), np.tile([[250, -7, 0, 90]], (300, 1)), rng.integers(-2, 3, (300, 4))])
+    ids = rng.permutation(1500) // 2
+    tree = kdtree.build_tree(ids, vectors)
+    assert (tree["left"] < 0).sum() > 60
+    asked = np.arange(0, 1500, 30)
+    unique = {int(q): n for n, q in zip(asked, ids[asked])}
+    want = {q: sorted((-int(s), int(i)) for s, i in zip(vectors[n] @ vectors.T, ids) if i != q)[:6] for q, n in unique.items()}
+    rows, names = np.array(list(unique.values())), np.array(list(unique))
+    kth = np.array([-want[int(q)][-1][0] for q in names])
+    for floor, known in ((np.zeros_like(kth), False), (kth, True)):
+        got = {}
+        for q, i, s in kdtree.search(tree, names, vectors[rows], floor, np.full(len(names), known), 6):
+            got.setdefault(q, []).append((-s, i))
+        assert {q: sorted(x) for q, x in got.items()} == want
+
+
 def test_blocks_meet_few_shards(spark, monkeypatch):
     """Vectors in 16 far clusters: with kth scores known, blocks go to a part of the shards, and nothing is lost."""
     monkeypatch.setattr(kdtree, "SHARD_ROWS", 40)
