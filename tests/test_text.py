@@ -100,3 +100,11 @@ def test_chunks(spark):
     assert "".join(r["text"] for r in got if r["doc_id"] == 1) == text
     assert [r["chunk_no"] for r in got if r["doc_id"] == 1] == [0, 1, 2, 3]
     assert len([r for r in got if r["doc_id"] == 3]) == 2 and not [r for r in got if r["doc_id"] == 2]
+
+
+def test_top_habit_rounds_as_printf(spark):
+    """Halves go to even, and the exact value is rounded, not its shortest decimal form."""
+    values = [515.625, 0.125, 0.375, 1.005, 2.675, 0.145, 0.165, 1234567.895, 0.0, 0.004, 1e-9, 999.995, 12345678901.625]
+    rows = spark.createDataFrame([(i, [0.0, v] + [0.0] * 10) for i, v in enumerate(values)], "i int, typo array<double>")
+    got = {r["i"]: r["habit"] for r in rows.select("i", V.top_habit(F.col("typo")).alias("habit")).collect()}
+    assert got == {i: f"{V.HABITS[1] if v else V.HABITS[0]}={v:.2f}" for i, v in enumerate(values)}
