@@ -1,11 +1,15 @@
 """Values are rounded as SQL rounds them, also where their decimal form ends in a half that is no double."""
 
+import functools
+import math
+
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from authorship_spark.functions.kernels import rounded
-from authorship_spark.operators import report
+from authorship_spark.operators import arrays, report
 
 
 def test_as_sql(spark):
@@ -49,3 +53,13 @@ def test_metrics_are_shuffled_once(spark):
     assert [r["metric"] for r in report.rationale(long, scored, strongest=True).where("part = 'different'").orderBy("nth").collect()] == ["M8", "M7"]
     far = long.where("metric_no > 5")
     assert [r["metric"] for r in report.rationale(far, scored).where("part = 'alike'").orderBy("nth").collect()] == ["M8", "M7"]
+
+
+def test_sums_from_the_first_gram_on():
+    rng = np.random.default_rng(1)
+    pairs = [rng.random((2, 300)) / 300 for _ in range(50)]
+    for x, y in pairs:
+        xy, xx, yy = (functools.reduce(lambda s, v: s + v, (a * b).tolist(), 0.0) for a, b in ((x, y), (x, x), (y, y)))
+        assert arrays.cosine(x, y) == xy / (math.sqrt(xx) * math.sqrt(yy))
+    assert [float(x @ x) for x, _ in pairs] != [arrays._dot(x, x) for x, _ in pairs]
+    assert arrays.cosine(np.zeros(0), np.zeros(0), both_zero=1.0) == 1.0
